@@ -1,4 +1,5 @@
 """Registered queries, one module per operator family."""
 
 from kotonoha.catalog.registry import ORACLE, QUERIES  # noqa: F401
-from kotonoha.catalog import text_queries  # noqa: F401,E402
+from kotonoha.catalog import (  # noqa: F401,E402
+    index_queries, reshape_queries, text_queries)

@@ -91,9 +91,9 @@ VIEWS = {
     "v_query_words": f"""SELECT w AS query_id, CASE WHEN length(w) >= 5 THEN substr(w, 1, 2) || substr(w, 4)
         ELSE w END AS q FROM (SELECT DISTINCT unnest({tokens('text')}) AS w FROM benchmark)""",
     "v_passages": "SELECT item_id AS query_id, text AS q FROM benchmark",
-    "v_part": """SELECT p_partkey AS sequence, p_name, p_type, p_size,
+    "v_part": """SELECT p_partkey AS sequence, p_name, p_type, CAST(p_size AS BIGINT) AS p_size,
         string_split(p_name, ' ')[1] AS w1, string_split(p_name, ' ')[2] AS w2,
-        CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) AS brand FROM part""",
+        CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) AS brand FROM part""",
     "v_words": f"""SELECT sequence, p_name, p_type, p_size, w1, w2, brand, sequence % 5 = 0 AS kata_word,
         CASE WHEN sequence % 5 = 0 THEN {kata('w1')} || {kata('w2')} ELSE {hira('w1')} || {hira('w2')} END AS kana,
         CASE WHEN sequence % 5 <> 0 THEN {han('w1')} || {hira('w2')} END AS kanji,
@@ -108,7 +108,7 @@ VIEWS = {
         p_size % 4 = 0 AS has_coll, [{', '.join(lit(m) for m in v.BRAND_MISC)}][brand % 8 + 1] AS misc,
         CASE {' '.join(f"WHEN p_type = {lit(k)} THEN {sql_list(c)}" for k, c in v.PART_POS.items())} END AS pos_codes
         FROM v_part""",
-    "v_senses": f"""SELECT sequence, 0 AS sense_id, 'English' AS language, misc,
+    "v_senses": f"""SELECT sequence, CAST(0 AS BIGINT) AS sense_id, 'English' AS language, misc,
           CASE WHEN p_size % 4 = 1 THEN 'Mathematics' END AS field,
           CASE WHEN p_size % 6 = 0 THEN {hira('w2')} || '・1' END AS xref,
           CASE WHEN p_size % 9 = 0 THEN {hira('w1')} || '・' || {hira('w2')} END AS antonym,
@@ -123,7 +123,7 @@ VIEWS = {
         FROM v_senses""",
     "v_glosses": """SELECT sequence, sense_id, sense_pos, language, unnest(glosses) AS gloss,
         generate_subscripts(glosses, 1) - 1 AS gloss_id FROM v_senses_pos""",
-    "v_readings": """SELECT sequence, 'kana' AS kind, kana AS reading, 0 AS ord FROM v_words
+    "v_readings": """SELECT sequence, 'kana' AS kind, kana AS reading, CAST(0 AS BIGINT) AS ord FROM v_words
         UNION ALL SELECT sequence, 'kanji', kanji, 1 FROM v_words WHERE kanji IS NOT NULL
         UNION ALL SELECT sequence, 'alt', alt, 2 FROM v_words WHERE alt IS NOT NULL""",
     "v_pos_dim": "SELECT * FROM " + values(
@@ -153,7 +153,7 @@ VIEWS = {
           END AS t4,
         [{', '.join(lit(n) for n, _ in fixed.SENTENCE_TAGS)}][CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) + 1] AS tag1,
         doc_id % 4 = 0 AS slang FROM documents""",
-    "v_translations": """SELECT id, 0 AS pos, text, language FROM v_sentences
+    "v_translations": """SELECT id, CAST(0 AS BIGINT) AS pos, text, language FROM v_sentences
         UNION ALL SELECT id, 1, source, 'English' FROM v_sentences WHERE has_second""",
     "v_sentence_tags": """SELECT 'sentence' AS tag_type, tag1 AS tag, id AS item_id FROM v_sentences
         UNION SELECT 'sentence', 'Slang', id FROM v_sentences WHERE slang
@@ -177,7 +177,7 @@ VIEWS = {
     "v_radicals": f"""SELECT {han('substr(term, 1, 1)')} AS literal, term, freq FROM v_terms
         WHERE lang = 'en' AND regexp_full_match(term, '[a-z]+')""",
     "v_ids": """SELECT parent, pos, child FROM (
-        SELECT term AS parent, 0 AS pos, substr(term, 1, length(term) // 2) AS child
+        SELECT term AS parent, CAST(0 AS BIGINT) AS pos, substr(term, 1, length(term) // 2) AS child
           FROM (SELECT DISTINCT term FROM v_terms WHERE length(term) > 1)
         UNION ALL SELECT term, 1, substr(term, length(term) // 2 + 1)
           FROM (SELECT DISTINCT term FROM v_terms WHERE length(term) > 1))""",

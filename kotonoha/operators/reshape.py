@@ -282,11 +282,11 @@ def compound_words(words: DataFrame) -> DataFrame:
 
 def app_words(words: DataFrame) -> DataFrame:
     """The row shape of the detail and list views."""
-    return words.select(
+    return words.withColumn("accents", pitches()).select(
         "sequence", F.col("common").alias("is_common"),
         F.coalesce("furigana", main_reading()).alias("reading"),
-        F.transform("reading.alternative", lambda r: r["reading"]).alias("alt_readings"),
-        "senses", pitches().alias("accents"), "jlpt_lvl", "transive_version",
+        F.col("reading.alternative.reading").alias("alt_readings"),
+        "senses", "accents", "jlpt_lvl", "transive_version",
         "intransive_version", "sentences_available")
 
 
