@@ -141,9 +141,27 @@ def normalised_reading_frequency(freq: Column, total: Column, threshold: int = 2
     return F.when(total >= threshold, freq / total)
 
 
-def reading_keys(aligned: DataFrame) -> DataFrame:
-    """key (literal + reading), item_id from aligned (item_id, literal, reading)."""
-    return aligned.select(F.concat("literal", "reading").alias("key"), "item_id").distinct()
+def reading_keys(aligned: DataFrame, kanji: DataFrame | None = None) -> DataFrame:
+    """key (literal + reading), item_id from aligned (item_id, literal, reading).
+
+    With a kanji table the key carries every dictionary reading, as written, that
+    the aligned kana stands for; that is what a search asks for.
+    """
+    if kanji is None:
+        return aligned.select(F.concat("literal", "reading").alias("key"), "item_id").distinct()
+    seen = aligned.select("item_id", "literal", text.to_hiragana("reading").alias("folded")).distinct()
+    written = salted_join(seen, dictionary_readings(kanji), ["literal", "folded"], ["item_id"])
+    return written.select(F.concat("literal", "reading").alias("key"), "item_id").distinct()
+
+
+def gloss_terms(words: DataFrame) -> DataFrame:
+    """doc_id, lang, term, tf: the words of all glosses and each whole gloss."""
+    g = words.select(F.col("sequence").alias("doc_id"), F.explode("senses").alias("s")).select(
+        "doc_id", F.col("s.language").alias("lang"), F.explode("s.glosses.gloss").alias("gloss"))
+    phrase = text.drop_leading_to(text.strip_punctuation(F.trim("gloss")))
+    terms = F.filter(F.concat(F.array(phrase), F.split(phrase, " ")), lambda t: t != "")
+    return (g.select("doc_id", "lang", F.explode(terms).alias("term"))
+            .groupBy("doc_id", "lang", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 # -- term vectors ---------------------------------------------------------------------

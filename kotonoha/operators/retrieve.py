@@ -23,12 +23,13 @@ def query_grams(queries: DataFrame, col: str = "q", n: int = fixed.NGRAM_N,
 def length_window(n_grams: Column, q_grams: Column, threshold: Column | float) -> Column:
     """Dice >= t needs t/(2-t) * q <= n <= (2-t)/t * q (exact, prunes early)."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    low = n_grams * (F.lit(2.0) - t) >= q_grams * t
-    high = n_grams * t <= q_grams * (F.lit(2.0) - t)
+    slack = F.lit(1e-6)  # keeps pairs that sit exactly on the bound
+    low = n_grams * (F.lit(2.0) - t) + slack >= q_grams * t
+    high = n_grams * t <= q_grams * (F.lit(2.0) - t) + slack
     return low & high
 
 
-def ngram_candidates(grams: DataFrame, postings: DataFrame, threshold: float | None = None,
+def ngram_candidates(grams: DataFrame, postings: DataFrame, threshold: float | Column | None = None,
                      on: list[str] | None = None, salts: int | None = None) -> DataFrame:
     """query_id, item_id, overlap, q_grams, n_grams: items sharing a gram.
 
@@ -38,7 +39,7 @@ def ngram_candidates(grams: DataFrame, postings: DataFrame, threshold: float | N
     keys = [*(on or []), "gram"]
     posts = postings if on else postings.drop("posting")
     pairs = salted_join(posts, grams, keys, ["item_id"], salts=salts)
-    if threshold:
+    if threshold is not None:
         pairs = pairs.where(length_window(F.col("n_grams"), F.col("q_grams"), threshold))
     carried = [c for c in grams.columns if c not in ("query_id", "gram", "q_grams", *(on or []))]
     return pairs.groupBy("query_id", "item_id", "q_grams", "n_grams", *carried).agg(
