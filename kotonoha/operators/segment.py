@@ -133,47 +133,47 @@ KANJI_RUN = f"[{text.HAN}々０-９Ａ-Ｚａ-ｚ0-9A-Za-z]"
 SYMBOLS = r"[、。・「」『』（）！？!?,.\s]"
 
 
-def alignment_pattern(kanji: Column) -> Column:
-    """A pattern that reads a kana text along the runs of a kanji text.
-
-    Every kanji run takes at least one kana per character, as few as possible,
-    up to the next kana run; earlier runs are never reconsidered; a kana run in
-    front of the first kanji run is skipped by length.
-    """
-    folded = text.to_hiragana(kanji)
-    lead = F.regexp_extract(folded, f"^((?:(?!{KANJI_RUN}).)*)", 1)
-    body = F.substring(folded, F.length(lead) + 1, F.length(folded))
-    runs = F.regexp_extract_all(body, F.lit(f"({KANJI_RUN}+)((?:(?!{KANJI_RUN}).)*)"), F.lit(0))
-    last = F.size(runs) - 1
-
-    def part(run, i):
-        k = F.regexp_extract(run, f"^({KANJI_RUN}+)", 1)
-        rest = F.substring(run, F.length(k) + 1, F.length(run))
-        size = F.length(k).cast("string")
-        lazy = F.concat(F.lit("(?>(.{"), size, F.lit(",}?)"), rest, F.lit(")"))
-        final = F.when(rest == "", F.lit("(.+)")).otherwise(
-            F.concat(F.lit("(.{"), size, F.lit(",}?)"), rest))
-        return F.when(i == last, final).otherwise(lazy)
-
-    return F.concat(F.lit("^.{"), F.length(lead).cast("string"), F.lit("}"),
-                    F.array_join(F.transform(runs, part), ""), F.lit("$"))
+PAIRS = "array<struct<kanji:string,kana:string>>"
 
 
 def align_runs(df: DataFrame, kanji: str = "kanji", kana: str = "kana") -> DataFrame:
-    """Adds ``pairs`` ARRAY<STRUCT<kanji, kana>>; null when no alignment exists."""
-    bare_kanji = F.regexp_replace(F.col(kanji), SYMBOLS, "")
-    bare_kana = F.regexp_replace(F.col(kana), SYMBOLS, "")
-    df = df.withColumn("_k", bare_kanji).withColumn("_r", bare_kana)
-    df = df.withColumn("_runs", F.regexp_extract_all("_k", F.lit(f"({KANJI_RUN}+)"), F.lit(1)))
-    df = df.withColumn("_pattern", alignment_pattern(F.col("_k")))
-    df = df.withColumn("_folded", text.to_hiragana("_r"))
-    ok = F.expr("_folded rlike _pattern")
-    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_runs"), F.lit(1))),
-                       lambda i: F.call_function("regexp_extract", F.col("_folded"), F.col("_pattern"), i))
-    # the groups are read from the folded text; their places give the original
-    pairs = F.when(F.size("_runs") == 0, F.array().cast("array<struct<kanji:string,kana:string>>")).when(
-        ok, F.zip_with("_runs", ends, lambda k, r: F.struct(k.alias("kanji"), r.alias("kana"))))
-    return df.withColumn("pairs", pairs).drop("_k", "_r", "_runs", "_pattern", "_folded")
+    """Adds ``pairs`` ARRAY<STRUCT<kanji, kana>>; null when no alignment exists.
+
+    Each row gets its own pattern, made from the runs of its kanji text: a kanji
+    run takes at least one kana per character, as few as possible, up to the next
+    kana run; earlier runs are never reconsidered; the last kana run ends the
+    text; kana in front of the first kanji run are skipped by length.
+    """
+    size = lambda c: F.length(c).cast("string")
+    df = (df.withColumn("_k", text.to_hiragana(F.regexp_replace(F.col(kanji), SYMBOLS, "")))
+          .withColumn("_r", F.regexp_replace(F.col(kana), SYMBOLS, "")))
+    df = df.withColumn("_lead", F.length(F.regexp_extract("_k", f"^((?:(?!{KANJI_RUN}).)*)", 1)))
+    df = df.withColumn("_segs", F.transform(
+        F.regexp_extract_all(F.col("_k"), F.lit(f"({KANJI_RUN}+(?:(?!{KANJI_RUN}).)*)"), F.lit(1)),
+        lambda s: F.struct(F.regexp_extract(s, f"^({KANJI_RUN}+)", 1).alias("run"),
+                           F.regexp_replace(s, f"^{KANJI_RUN}+", "").alias("tail"))))
+
+    def piece(seg, i):
+        take = F.concat(F.lit("(.{"), size(seg["run"]), F.lit(",}"))
+        return F.when(i < F.size("_segs") - 1, F.concat(F.lit("(?>"), take, F.lit("?)"), seg["tail"], F.lit(")"))).when(
+            seg["tail"] == "", F.lit("(.+)")).otherwise(F.concat(take, F.lit("?)"), seg["tail"]))
+
+    df = df.withColumn("_pattern", F.concat(F.lit("^.{"), F.col("_lead").cast("string"), F.lit("}"),
+                                            F.array_join(F.transform("_segs", piece), ""), F.lit("$")))
+    df = df.withColumn("_fold", text.to_hiragana("_r"))
+    df = df.withColumn("_sizes", F.transform("_segs", lambda s, i: F.length(F.call_function(
+        "regexp_extract", F.col("_fold"), F.col("_pattern"), i + 1))))
+    # the sizes of the groups place each reading in the unfolded kana
+    start = F.struct(F.col("_lead").alias("at"), F.array().cast(PAIRS).alias("out"))
+    walked = F.aggregate(
+        F.zip_with("_segs", "_sizes", lambda s, n: F.struct(s["run"].alias("run"), s["tail"].alias("tail"), n.alias("n"))),
+        start, lambda acc, x: F.struct(
+            (acc["at"] + x["n"] + F.length(x["tail"])).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(
+                x["run"].alias("kanji"), F.substring(F.col("_r"), acc["at"] + 1, x["n"]).alias("kana")))).alias("out")),
+        lambda acc: acc["out"])
+    pairs = F.when(F.size("_segs") == 0, F.array().cast(PAIRS)).when(F.expr("_fold rlike _pattern"), walked)
+    return df.withColumn("pairs", pairs).drop("_k", "_r", "_lead", "_segs", "_pattern", "_fold", "_sizes")
 
 
 def split_compounds(pairs: DataFrame, readings: DataFrame) -> DataFrame:
