@@ -2,4 +2,4 @@
 
 from kotonoha.catalog.registry import ORACLE, QUERIES  # noqa: F401
 from kotonoha.catalog import (  # noqa: F401,E402
-    index_queries, reshape_queries, retrieval_queries, text_queries)
+    index_queries, ranking_queries, reshape_queries, retrieval_queries, text_queries)

@@ -220,7 +220,7 @@ VIEWS = {
     "v_lang_dim": "SELECT * FROM " + values([(i, n) for i, n, _ in fixed.LANGUAGES]) + " AS t(lang_id, lang)",
 }
 MATERIALIZED = {"v_tok", "v_terms", "v_cand", "v_vec", "v_doc_terms", "v_grams", "v_qgrams", "v_words"}
-_NAME = re.compile(r"\bv_[a-z_]+\b")
+_NAME = re.compile(r"\bv_[a-z0-9_]+\b")
 
 
 def _needs(sql: str, seen: list[str], views: dict[str, str]) -> None:
