@@ -211,7 +211,7 @@ CASC = {**HITS, "v_c2": f"""SELECT query_id, item_id, round({DICE}, 6) AS releva
 def col2(spark, sf):
     """Exact headwords; close ones for queries with fewer than two; loose ones for
     longer queries with fewer than five."""
-    posts = views.gram_postings(spark, sf)
+    posts = cut_lineage(views.gram_items(spark, sf), "gram-items")
     t = views.terms(spark, sf)
 
     def close(limit):

@@ -18,7 +18,7 @@ DICE = "2.0 * overlap / (n_grams + q_grams)"
 def candidates(spark, sf, threshold=None):
     """Misspelt words against all headwords."""
     return retrieve.ngram_candidates(retrieve.query_grams(views.query_words(spark, sf)),
-                                     views.gram_postings(spark, sf), threshold)
+                                     views.gram_items(spark, sf), threshold)
 
 
 @query("ret1_ngram_candidates", "SELECT query_id, count(*) AS items, CAST(sum(overlap) AS BIGINT) AS overlap, max(overlap) AS best FROM v_cand GROUP BY query_id")
@@ -213,7 +213,7 @@ def ret11(spark, sf):
     """Latin words read as kana, against the headwords that can be read so."""
     from kotonoha.functions import kana
     t = views.terms(spark, sf).select("item_id", kana.search_hiragana("term").alias("k"), kana.romaji_to_hiragana("term").alias("k0"))
-    posts = index.ngram_postings(t.where(text.is_kana("k0")), "item_id", "k")
+    posts = index.ngram_items(t.where(text.is_kana("k0")), "item_id", "k")
     v = retrieve.romaji_variants(views.query_words(spark, sf).select("query_id", "q"))
     grams = retrieve.query_grams(v.select(F.concat_ws("/", "query_id", "variant").alias("query_id"), "q"))
     c = retrieve.ngram_candidates(grams, posts).groupBy("query_id").agg(F.count(F.lit(1)).alias("items"), F.max("overlap").alias("best"))
@@ -279,7 +279,7 @@ def split_name_hits(spark, sf):
     v = retrieve.part_variants(parts)
     keyed = v.withColumn("query_id", F.concat_ws("/", "query_id", F.col("pos").cast("string")))
     grams = retrieve.query_grams(keyed, keep=["pos", "n_parts"])
-    posts = index.ngram_postings(views.names(spark, sf), "sequence", "kana")
+    posts = index.ngram_items(views.names(spark, sf), "sequence", "kana")
     c = retrieve.ngram_candidates(grams, posts)
     s = score.split_name_score(score.dice_weighted(score.NAME_DICE_WEIGHT), F.col("n_parts"), F.col("pos"))
     return c.select(F.split("query_id", "/")[0].alias("query_id"), "pos", "item_id", "overlap", s.alias("relevance"))

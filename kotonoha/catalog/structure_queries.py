@@ -30,7 +30,7 @@ def letter_parts(spark, sf):
 
 
 def with_all(spark, sf):
-    return radicals.kanji_with_all(radical_requests(spark, sf), letter_parts(spark, sf))
+    return radicals.kanji_with_all(radical_requests(spark, sf), views.letters(spark, sf))
 
 
 @query("rad1_characters_by_radicals", "SELECT query_id, literal, CAST(stroke_count AS BIGINT) AS stroke_count FROM v_all", RAD)

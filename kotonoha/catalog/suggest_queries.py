@@ -41,7 +41,7 @@ def sug1(spark, sf):
 
 @query("sug2_typo_suggestions", f"SELECT query_id, item_id, round({rq.DICE}, 6) AS score FROM v_cand JOIN v_query_words USING (query_id) WHERE length(q) >= 5 AND {rq.DICE} >= 0.5")
 def sug2(spark, sf):
-    return suggest.ngram_suggestions(views.query_words(spark, sf), views.gram_postings(spark, sf), 0.5, 5)
+    return suggest.ngram_suggestions(views.query_words(spark, sf), views.gram_items(spark, sf), 0.5, 5)
 
 
 @query("sug3_language_suggestions", """SELECT query_id, item_id, text, score, rank FROM (SELECT query_id, item_id, text, round(s, 6) AS score,

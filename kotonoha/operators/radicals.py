@@ -7,22 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kotonoha.functions import text
-from kotonoha.plans.scaling import salted_join
+from kotonoha.plans.scaling import by_key, salted_join
 from kotonoha.session import cut_lineage
 
 
-def kanji_with_all(requests: DataFrame, parts: DataFrame, salts: int | None = None) -> DataFrame:
+def kanji_with_all(requests: DataFrame, kanji: DataFrame, salts: int | None = None) -> DataFrame:
     """query_id, literal, stroke_count: characters with **all** asked radicals.
 
-    Relational division by counting; radicals no character has are ignored.
-    The part table is salted, because a common part sits in most characters.
+    ``requests``: query_id, radical; ``kanji``: literal, stroke_count, parts.
+    Relational division by access path: a character with all radicals has the
+    rarest one, so only that posting list is read and the others are tested on
+    the part array in the row.  Radicals no character has are ignored.
     """
-    known = requests.select("query_id", "radical").distinct().join(
-        parts.select("radical").distinct(), "radical", "left_semi")
-    need = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    got = (salted_join(parts, known, ["radical"], ["literal"], salts=salts)
-           .groupBy("query_id", "literal", "stroke_count").agg(F.count(F.lit(1)).alias("got")))
-    return got.join(need, "query_id").where("got = need").select("query_id", "literal", "stroke_count")
+    freq = kanji.select(F.explode("parts").alias("radical")).groupBy("radical").agg(F.count(F.lit(1)).alias("n"))
+    known = requests.select("query_id", "radical").distinct().join(freq, "radical")
+    asked = known.groupBy("query_id").agg(F.min_by("radical", F.struct("n", "radical")).alias("radical"),
+                                          F.collect_set("radical").alias("wanted"))
+    posts = by_key(kanji.select("literal", "stroke_count", "parts"), "literal").select(
+        "literal", "stroke_count", "parts", F.explode("parts").alias("radical"))
+    hit = salted_join(posts, asked, ["radical"], ["literal"], salts=salts)
+    return hit.where(F.size(F.array_except("wanted", "parts")) == 0).select("query_id", "literal", "stroke_count")
 
 
 def possible_radicals(found: DataFrame, parts: DataFrame, strokes: DataFrame) -> DataFrame:

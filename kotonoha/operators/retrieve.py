@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from kotonoha import fixed
 from kotonoha.functions import kana, text
-from kotonoha.plans.scaling import salted_join
+from kotonoha.plans.scaling import by_key, salted_join
 
 
 # -- character n-grams ---------------------------------------------------------------
@@ -29,21 +29,32 @@ def length_window(n_grams: Column, q_grams: Column, threshold: Column | float) -
     return low & high
 
 
-def ngram_candidates(grams: DataFrame, postings: DataFrame, threshold: float | Column | None = None,
+def ngram_candidates(grams: DataFrame, items: DataFrame, threshold: float | Column | None = None,
                      on: list[str] | None = None, salts: int | None = None) -> DataFrame:
     """query_id, item_id, overlap, q_grams, n_grams: items sharing a gram.
 
-    ``threshold`` drops, before the shuffle of the counts, the pairs whose sizes
-    alone rule out the score.  ``on`` adds join columns (a posting).
+    ``items`` has one row per item with its gram array (``index.ngram_items``), or
+    one row per gram (stored postings).  Items are hash-partitioned by id before
+    their grams fan out: while the query grams are small enough to be broadcast
+    (the optimizer's size check), all pairs of an item arise in one task and are
+    counted there without another exchange.  Larger query logs join on the
+    salted gram instead.
+
+    ``threshold`` drops, before counting, the pairs whose sizes alone rule out
+    the score.  ``on`` adds join columns (a posting).
     """
     keys = [*(on or []), "gram"]
-    posts = postings if on else postings.drop("posting")
+    if "grams" in items.columns:
+        placed = by_key(items, "item_id")
+        posts = placed.select(*(on or []), "item_id", "n_grams", F.explode("grams").alias("gram"))
+    else:
+        posts = by_key(items.select(*(on or []), "item_id", "n_grams", "gram"), "item_id")
     pairs = salted_join(posts, grams, keys, ["item_id"], salts=salts)
     if threshold is not None:
         pairs = pairs.where(length_window(F.col("n_grams"), F.col("q_grams"), threshold))
     carried = [c for c in grams.columns if c not in ("query_id", "gram", "q_grams", *(on or []))]
-    return pairs.groupBy("query_id", "item_id", "q_grams", "n_grams", *carried).agg(
-        F.count(F.lit(1)).alias("overlap"))
+    first = [F.first(c).alias(c) for c in ("q_grams", "n_grams", *carried)]
+    return pairs.groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("overlap"), *first)
 
 
 # -- term vectors -----------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions import text
 from kotonoha.operators import index
+from kotonoha.plans.scaling import spread
 
 # -- fixed values: letter maps of the derived views ------------------------------
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -52,13 +53,13 @@ def _map(values: dict[str, str]):
 
 # -- terms of the documents --------------------------------------------------------
 def doc_tokens(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"))
     return docs.select("doc_id", "lang", F.posexplode(text.letter_terms("text")).alias("pos", "term"))
 
 
 def terms(spark, sf) -> DataFrame:
     """item_id, lang, term, freq: the headwords."""
-    tok = (table(spark, sf, "documents").select("lang", "text")
+    tok = (spread(table(spark, sf, "documents").select("lang", "text"))
            .select("lang", F.explode(text.letter_terms("text")).alias("term")))
     out = tok.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("freq"))
     return out.select(F.concat_ws(":", "lang", "term").alias("item_id"), "lang", "term", "freq")
@@ -356,6 +357,11 @@ def hashtag_lines(spark, sf) -> DataFrame:
     return src.select(line.alias("value"))
 
 
+def gram_items(spark, sf) -> DataFrame:
+    """The headwords with their gram arrays, posting = language."""
+    return index.ngram_items(terms(spark, sf), "item_id", "term", posting=F.col("lang"))
+
+
 def gram_postings(spark, sf) -> DataFrame:
     """Postings of the headwords, posting = language."""
     return index.ngram_postings(terms(spark, sf), "item_id", "term", posting=F.col("lang"))
