@@ -257,7 +257,7 @@ def idx15(spark, sf):
 
 
 @query("idx16_feature_vectors", """SELECT item_id, count(*) AS dims, round(sum(log2(total / freq)), 4) AS idf_weight, CAST(count(*) AS DOUBLE) AS unit_weight FROM
-    (SELECT item_id, gram FROM v_grams) JOIN v_gfreq USING (gram), (SELECT sum(freq) AS total FROM v_gfreq) GROUP BY item_id""", GFREQ)
+    (SELECT item_id, gram FROM v_vgrams) JOIN v_gfreq USING (gram), (SELECT sum(freq) AS total FROM v_gfreq) GROUP BY item_id""", GFREQ)
 def idx16(spark, sf):
     t = views.terms(spark, sf)
     freq = index.ngram_frequency(t, "term")

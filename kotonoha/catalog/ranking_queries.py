@@ -42,14 +42,14 @@ def sco1(spark, sf):
 
 VEC = {**GFREQ, "v_w": "SELECT gram, log2(total / freq) AS w FROM v_gfreq, (SELECT sum(freq) AS total FROM v_gfreq)",
        "v_oov": "SELECT log2(sum(freq)) AS w1 FROM v_gfreq",
-       "v_isum": "SELECT item_id, sum(w) AS s FROM v_grams JOIN v_w USING (gram) GROUP BY item_id",
-       "v_qsum": "SELECT query_id, sum(coalesce(w, w1)) AS s FROM v_qgrams LEFT JOIN v_w USING (gram), v_oov GROUP BY query_id",
+       "v_isum": "SELECT item_id, sum(w) AS s FROM v_vgrams JOIN v_w USING (gram) GROUP BY item_id",
+       "v_qsum": "SELECT query_id, sum(coalesce(w, w1)) AS s FROM v_vqgrams LEFT JOIN v_w USING (gram), v_oov GROUP BY query_id",
        "v_shared": f"""SELECT g.query_id, g.item_id, sum(w) AS sw FROM (SELECT query_id, item_id FROM v_cand WHERE {DICE} >= 0.5) g
-         JOIN v_qgrams USING (query_id) JOIN v_grams i ON i.item_id = g.item_id AND i.gram = v_qgrams.gram JOIN v_w ON v_w.gram = i.gram GROUP BY ALL"""}
+         JOIN v_vqgrams vq ON vq.query_id = g.query_id JOIN v_vgrams i ON i.item_id = g.item_id AND i.gram = vq.gram JOIN v_w ON v_w.gram = i.gram GROUP BY ALL"""}
 
 
-@query("sco2_weighted_overlap", """SELECT sh.query_id AS a, sh.item_id AS b, round(2 * sw / (i.s + s.s), 6) AS score FROM v_shared sh
-    JOIN v_isum i USING (item_id) JOIN v_qsum s ON s.query_id = sh.query_id""", VEC)
+@query("sco2_weighted_overlap", f"""SELECT c.query_id AS a, c.item_id AS b, round(coalesce(2 * sw / (i.s + s.s), 0), 6) AS score FROM v_cand c LEFT JOIN v_shared USING (query_id, item_id)
+    JOIN v_isum i ON i.item_id = c.item_id JOIN v_qsum s ON s.query_id = c.query_id WHERE {DICE} >= 0.5""", VEC)
 def sco2(spark, sf):
     pairs = rq.candidates(spark, sf, 0.5).where(score.dice() >= 0.5).select(F.col("query_id").alias("a"), F.col("item_id").alias("b"))
     t = views.terms(spark, sf)

@@ -198,9 +198,9 @@ def ret10(spark, sf):
     return out.select("query_id", F.col("rank").alias("pos"), F.col("item_id").alias("literal"), "total")
 
 
-ROMA = {"v_kana_items": f"""SELECT item_id, k, {q.gram_set('k')} AS g FROM (SELECT item_id, {sql_hiragana('term')} AS k,
+ROMA = {"v_kana_items": f"""SELECT item_id, k, {q.index_grams('k')} AS g FROM (SELECT item_id, {sql_hiragana('term')} AS k,
        {sql_hiragana('term', nn=False)} AS k0 FROM v_terms) WHERE regexp_full_match(k0, '[ぁ-ゟ゠-ヿ]+')""",
-        "v_rvar": f"""SELECT query_id, variant, q, {q.gram_set('q')} AS g FROM (SELECT query_id, 'hira' AS variant, h AS q FROM v_rq UNION ALL
+        "v_rvar": f"""SELECT query_id, variant, q, {q.index_grams('q')} AS g FROM (SELECT query_id, 'hira' AS variant, h AS q FROM v_rq UNION ALL
        SELECT query_id, 'kata', {q.to_kata('h')} FROM v_rq)""",
         "v_rq": f"""SELECT query_id, {sql_hiragana('q')} AS h FROM v_query_words
        WHERE regexp_full_match({sql_hiragana('q', nn=False)}, '[\\p{{Han}}ぁ-ゟ゠-ヿ＀-￯　-〿]+')"""}
@@ -269,8 +269,8 @@ SPLIT = {"v_split": f"""SELECT DISTINCT p_name AS query_id, CAST(0 AS BIGINT) AS
        SELECT DISTINCT p_name, CAST(1 AS BIGINT), {q.hira('w2')} FROM v_part""",
          "v_split_hits": f"""SELECT query_id, pos, item_id, overlap / (0.1 * n_grams + 0.9 * q_grams) * (2 - pos) * 0.001 AS relevance FROM
        (SELECT query_id, pos, item_id, q_grams, n_grams, count(*) AS overlap FROM
-        (SELECT query_id, pos, unnest(g) AS gram, len(g) AS q_grams FROM (SELECT *, {q.gram_set('q')} AS g FROM v_split)) JOIN
-        (SELECT item_id, unnest(g) AS gram, len(g) AS n_grams FROM (SELECT sequence AS item_id, {q.gram_set('kana')} AS g FROM v_names)) USING (gram) GROUP BY ALL)"""}
+        (SELECT query_id, pos, unnest(g) AS gram, len(g) AS q_grams FROM (SELECT *, {q.index_grams('q')} AS g FROM v_split)) JOIN
+        (SELECT item_id, unnest(g) AS gram, len(g) AS n_grams FROM (SELECT sequence AS item_id, {q.index_grams('kana')} AS g FROM v_names)) USING (gram) GROUP BY ALL)"""}
 
 
 def split_name_hits(spark, sf):

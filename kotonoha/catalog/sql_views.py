@@ -60,6 +60,13 @@ def gram_set(x, n=3):
     return f"list_distinct({grams(x, n)})"
 
 
+def index_grams(x, n=3):
+    """Distinct padded n-grams of fixed size."""
+    pad = PAD * (n - 1)
+    return (f"list_distinct(CASE WHEN trim({x}) <> '' THEN list_transform(range(1, length({x}) + {n}), "
+            f"lambda i: substr('{pad}' || {x} || '{pad}', i, {n})) ELSE [] END)")
+
+
 def chars(x):
     return f"list_filter(string_split({x}, ''), lambda c: c <> '')"
 
@@ -204,9 +211,11 @@ VIEWS = {
     "v_hashtags": """SELECT '#' || source || '-' || lang AS tag, n / 8 AS freq, n % 4 AS target
         FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) WHERE n % 5 <> 0""",
     "v_grams": f"""SELECT item_id, lang, unnest(g) AS gram, len(g) AS n_grams
-        FROM (SELECT item_id, lang, {gram_set('term')} AS g FROM v_terms)""",
+        FROM (SELECT item_id, lang, {index_grams('term')} AS g FROM v_terms)""",
     "v_qgrams": f"""SELECT query_id, unnest(g) AS gram, len(g) AS q_grams
-        FROM (SELECT query_id, {gram_set('q')} AS g FROM v_query_words)""",
+        FROM (SELECT query_id, {index_grams('q')} AS g FROM v_query_words)""",
+    "v_vgrams": f"SELECT item_id, unnest({gram_set('term')}) AS gram FROM v_terms",
+    "v_vqgrams": f"SELECT query_id, unnest({gram_set('q')}) AS gram FROM v_query_words",
     "v_cand": """SELECT query_id, item_id, q_grams, n_grams, count(*) AS overlap
         FROM v_grams JOIN v_qgrams USING (gram) GROUP BY ALL""",
     "v_vec": """SELECT lang AS posting, doc_id, term, tf * log2(n_docs / df) AS weight FROM v_doc_terms

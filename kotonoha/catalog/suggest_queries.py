@@ -167,8 +167,8 @@ def hashtags(spark, sf):
 
 TAGS = {"v_hq": """SELECT DISTINCT source || '@' || t AS query_id, '#' || source AS q, t AS target FROM documents, (VALUES (0), (1), (2), (3)) AS v(t)
       UNION ALL SELECT '@' || t, '', t FROM (VALUES (0), (1), (2), (3)) AS v(t)""",
-        "v_hg": f"SELECT tag, target, unnest(g) AS gram, len(g) AS n FROM (SELECT tag, target, {q.gram_set('tag', 2)} AS g FROM v_hashtags)",
-        "v_hqg": f"SELECT query_id, target, unnest(g) AS gram, len(g) AS qn FROM (SELECT query_id, target, {q.gram_set('q', 2)} AS g FROM v_hq WHERE q <> '')",
+        "v_hg": f"SELECT tag, target, unnest(g) AS gram, len(g) AS n FROM (SELECT tag, target, {q.index_grams('tag', 2)} AS g FROM v_hashtags)",
+        "v_hqg": f"SELECT query_id, target, unnest(g) AS gram, len(g) AS qn FROM (SELECT query_id, target, {q.index_grams('q', 2)} AS g FROM v_hq WHERE q <> '')",
         "v_hs": "SELECT query_id, tag, s FROM (SELECT query_id, tag, count(*) / (0.5 * n + 0.5 * qn) AS s FROM v_hg JOIN v_hqg USING (target, gram) GROUP BY query_id, tag, n, qn) WHERE s > 0.2"}
 
 

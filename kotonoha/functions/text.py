@@ -177,3 +177,16 @@ def ngrams(col, n: int = fixed.NGRAM_N) -> Column:
 def gram_set(col, n: int = fixed.NGRAM_N) -> Column:
     """Distinct n-grams of the padded text."""
     return F.array_distinct(ngrams(col, n))
+
+
+def index_grams(col, n: int = fixed.NGRAM_N) -> Column:
+    """Distinct n-grams of fixed size, n-1 pads on each side, also for short texts.
+
+    This is the form candidates are looked up by: a two-character query still
+    meets the longer words that start with it.
+    """
+    col = _c(col)
+    pad = F.lit(fixed.PAD * (n - 1))
+    padded = F.concat(pad, col, pad)
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n)))
+    return F.array_distinct(F.when(F.trim(col) != "", grams).otherwise(F.array().cast("array<string>")))

@@ -16,7 +16,7 @@ def ngram_items(df: DataFrame, item: str, col: str, n: int = fixed.NGRAM_N,
     """posting, item_id, grams, n_grams: one row per item, no shuffle."""
     posting = F.lit("all") if posting is None else posting
     return (df.select(posting.alias("posting"), F.col(item).alias("item_id"),
-                      text.gram_set(col, n).alias("grams"))
+                      text.index_grams(col, n).alias("grams"))
             .withColumn("n_grams", F.size("grams")))
 
 
@@ -33,7 +33,7 @@ def ngram_postings(df: DataFrame, item: str, col: str, n: int = fixed.NGRAM_N,
 
 def multi_text_items(df: DataFrame, item: str, col: str, n: int = fixed.NGRAM_N) -> DataFrame:
     """item_id, grams, n_grams for items with several texts (one row per text)."""
-    grams = df.select(F.col(item).alias("item_id"), F.explode(text.gram_set(col, n)).alias("g"))
+    grams = df.select(F.col(item).alias("item_id"), F.explode(text.index_grams(col, n)).alias("g"))
     return (grams.groupBy("item_id").agg(F.collect_set("g").alias("grams"))
             .withColumn("n_grams", F.size("grams")))
 

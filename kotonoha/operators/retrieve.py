@@ -16,7 +16,7 @@ def query_grams(queries: DataFrame, col: str = "q", n: int = fixed.NGRAM_N,
                 keep: list[str] | None = None) -> DataFrame:
     """query_id, q_grams (distinct), gram, plus the ``keep`` columns."""
     keep = keep or []
-    q = queries.select("query_id", *keep, text.gram_set(col, n).alias("g"))
+    q = queries.select("query_id", *keep, text.index_grams(col, n).alias("g"))
     return q.select("query_id", *keep, F.size("g").alias("q_grams"), F.explode("g").alias("gram"))
 
 
@@ -157,10 +157,25 @@ def wildcard_candidates(queries: DataFrame, postings: DataFrame, readings: DataF
     known = lit.join(freq, "ch", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = known.groupBy("query_id").agg(F.min_by("ch", F.struct("n", "ch")).alias("ch"),
                                            F.min("n").alias("n")).where("n > 0")
-    q = queries.join(rarest.select("query_id", "ch"), "query_id").select("query_id", "pattern", "ch")
-    items = salted_join(postings, q, ["ch"], ["item_id"], salts=salts)
-    return (items.join(readings, "item_id").where(F.expr("reading rlike pattern"))
-            .select("query_id", "item_id", "reading"))
+    q = queries.join(rarest.select("query_id", "ch"), "query_id").select(
+        "query_id", "pattern", "ch", _literal_head("pattern").alias("head"), _literal_tail("pattern").alias("tail"))
+    # readings travel with their rarest-character candidates in one row
+    posts = by_key(readings.select("item_id", "reading"), "item_id").select(
+        "item_id", "reading", F.explode(F.array_distinct(text.chars("reading"))).alias("ch"))
+    hit = salted_join(posts, q, ["ch"], ["item_id"], salts=salts)
+    # the fixed ends are compared first; the pattern only sees what is left
+    hit = hit.where(F.col("reading").startswith(F.col("head")) & F.col("reading").endswith(F.col("tail")))
+    return hit.where(F.expr("reading rlike pattern")).select("query_id", "item_id", "reading")
+
+
+def _literal_head(pattern: str) -> Column:
+    """The text a match must start with: the pattern up to its first wildcard."""
+    return F.regexp_replace(F.regexp_extract(pattern, r"^\^((?:\\.|[^.\\])*)", 1), r"\\(.)", "$1")
+
+
+def _literal_tail(pattern: str) -> Column:
+    """The text a match must end with: the pattern behind its last wildcard."""
+    return F.regexp_replace(F.regexp_extract(pattern, r"\.\*?((?:\\.|[^.\\*])*)\$$", 1), r"\\(.)", "$1")
 
 
 # -- kanji + reading -----------------------------------------------------------------------------

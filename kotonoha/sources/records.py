@@ -127,6 +127,6 @@ def parse_news_files(files: DataFrame) -> DataFrame:
 
 
 def read_news(spark: SparkSession, path: str) -> DataFrame:
-    files = (spark.read.option("wholetext", True).text(path)
+    files = (spark.read.text(path, wholetext=True)
              .select("value", F.url_decode(F.col("_metadata.file_name")).alias("file_name")))
     return keep_newest(parse_news_files(files))
