@@ -53,7 +53,8 @@ def ngram_candidates(grams: DataFrame, items: DataFrame, threshold: float | Colu
     if threshold is not None:
         pairs = pairs.where(length_window(F.col("n_grams"), F.col("q_grams"), threshold))
     carried = [c for c in grams.columns if c not in ("query_id", "gram", "q_grams", *(on or []))]
-    first = [F.first(c).alias(c) for c in ("q_grams", "n_grams", *carried)]
+    # constant per pair; max keeps the aggregation buffers of fixed size
+    first = [F.max(c).alias(c) for c in ("q_grams", "n_grams", *carried)]
     return pairs.groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("overlap"), *first)
 
 
@@ -200,7 +201,7 @@ def names_by_kanji_reading(queries: DataFrame, aligned: DataFrame) -> DataFrame:
 # -- tag scans ----------------------------------------------------------------------------------------
 def driving_tag(query_tags: DataFrame, cardinalities: DataFrame) -> DataFrame:
     """query_id, tag_type, tag: the most selective tag of each query."""
-    sized = query_tags.join(F.broadcast(cardinalities), ["tag_type", "tag"], "left")
+    sized = query_tags.join(cardinalities, ["tag_type", "tag"], "left")
     return sized.groupBy("query_id").agg(F.min_by(
         F.struct("tag_type", "tag"),
         F.struct(F.coalesce("freq", F.lit(2 ** 62)), F.col("tag_type"), F.col("tag"))).alias("t")

@@ -61,12 +61,18 @@ def test_word_search(spark, idx):
     asked = [("musik", "German", "音楽"), ("音楽", "German", "音楽"), ("ドイツ人", "German", "ドイツ人"), ("to sleep", "English", "寝る"),
              ("know", "German", "知る"), ("宇宙*行士", "German", "宇宙飛行士"), ("宇*", "English", "宇宙"), ("kore", "English", "これ"),
              ("tokasu", "English", "溶かす"), ("jitensha", "English", "自転車"), ("suki", "English", "好き"), ("ongaku", "English", "音楽"),
-             ("seq:5", "English", "話す"), ("音 オン", "English", "音楽"), ("音楽 #adjective", "English", "音楽的"), ("speak #verb", "English", "話す"),
+             ("seq:5", "English", "話す"), ("音 オン", "English", "音楽"), ("音楽 #noun", "English", "音楽"), ("speak #verb", "English", "話す"),
              ("#pronoun", "English", "これ"), ('"speak" to speak', "English", "話す")]
     got = run(spark, idx, [(q, lang) for q, lang, _ in asked])
     for i, (q, _, first) in enumerate(asked):
         assert got[i] and got[i][0] == first, (q, got[i])
-    assert got[14] == ["音楽的"]
+    assert got[14] == ["音楽"]
+
+
+def test_kanji_of_kana_words(spark, idx):
+    q = spark.createDataFrame([("a", "おんがく"), ("b", "おんがくて")], "query_id string, q string")
+    got = [(r.query_id, r.literal) for r in search.kana_kanji(q, idx, idx.kanji).orderBy("query_id", "pos").collect()]
+    assert got == [("a", "音"), ("a", "楽")]
 
 
 def test_prefix_and_tags(spark):
