@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +37,22 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(quoted(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
+_shipped: set[str] = set()
+
+
+def ship(context: SparkContext) -> None:
+    """Gives the executors this package's source, once per application."""
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in package.rglob("*.py"):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable], inputs: list[str], keep: list[str],
              fields: list[T.StructField]) -> DataFrame:
     """The columns ``keep`` and what a function makes of the columns ``inputs``, row by row.
@@ -41,6 +61,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], inputs: list[str], kee
     (string inputs are valid UTF-8 or None) to a tuple with a value per field.
     Rows pass in Arrow batches, so a task holds one batch and no more.
     """
+    ship(df.sparkSession.sparkContext)
     types = {f.name: f.dataType for f in df.schema.fields}
     narrow = df.select(*[quoted(c) for c in keep], *[
         (F.make_valid_utf8(quoted(c)) if isinstance(types[c], T.StringType) else quoted(c)).alias(f"_in{i}")

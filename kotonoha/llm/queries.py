@@ -4,9 +4,51 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kotonoha.llm import bpe
-from kotonoha.llm.common import table
+from kotonoha.llm import bpe, langmix, layout, linefreq, media, neighbours, spread, unigram
+from kotonoha.llm.common import held_out, table
+
+
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text of documents, learned outside the test fold."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    settings = langmix.Mixture()
+    labels, shares = langmix.fit(docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()), settings)
+    return langmix.identify(docs, labels, shares, settings, keep=("held_out",))
+
+
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every text of documents; a host is a source."""
+    return linefreq.judge(table(spark, sf_dir, "documents"))
+
+
+def op3_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text of documents, from labels outside the test fold."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    return neighbours.score(docs, neighbours.fit(docs, labels, neighbours.Neighbours()), keep=("held_out",))
+
+
+def op4_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents without its boilerplate, by digest; a site is a source."""
+    cut = spread.remove_boilerplate(table(spark, sf_dir, "documents"), counts=True)
+    return cut.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+def op6_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page as laid out."""
+    return layout.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text of documents by a unigram vocabulary."""
+    return unigram.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_image_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents stored as a Netpbm image and read back."""
+    return media.store_texts(table(spark, sf_dir, "documents"))
 
 
 def encoded(docs: DataFrame) -> DataFrame:
@@ -18,5 +60,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op9_byte_bpe,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_language_mixture, op2_line_frequency, op3_toxic_neighbours, op4_site_spread, op6_layout_text, op7_unigram_counts,
+    op8_image_payloads, op9_byte_bpe)}
+ORACLE: dict[str, str] = {"op2_line_frequency": linefreq.oracle(), "op4_site_spread": spread.oracle()}
