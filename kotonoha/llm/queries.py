@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotonoha.llm import bpe, langmix, layout, linefreq, media, neighbours, spread, unigram
+from kotonoha.llm import bpe, langmix, layout, linefreq, media, neighbours, partenum, spread, unigram
 from kotonoha.llm.common import held_out, table
 
 
@@ -36,6 +36,11 @@ def op4_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every text of documents by 3-word shingles at 90 per cent."""
+    return partenum.near_duplicates(table(spark, sf_dir, "documents"), partenum.Join(size=3, percent=90))
+
+
 def op6_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of every page as laid out."""
     return layout.extract(table(spark, sf_dir, "pages"))
@@ -61,6 +66,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_mixture, op2_line_frequency, op3_toxic_neighbours, op4_site_spread, op6_layout_text, op7_unigram_counts,
-    op8_image_payloads, op9_byte_bpe)}
+    op1_language_mixture, op2_line_frequency, op3_toxic_neighbours, op4_site_spread, op5_shingle_join, op6_layout_text,
+    op7_unigram_counts, op8_image_payloads, op9_byte_bpe)}
 ORACLE: dict[str, str] = {"op2_line_frequency": linefreq.oracle(), "op4_site_spread": spread.oracle()}
