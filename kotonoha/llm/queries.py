@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotonoha.llm import bpe, langmix, layout, linefreq, media, neighbours, partenum, spread, unigram
+from kotonoha.llm import bpe, langmix, layout, linefreq, media, mixing, neighbours, partenum, spread, unigram
 from kotonoha.llm.common import held_out, table
 
 
@@ -65,7 +65,17 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
 
+DOMAINS, WEIGHTS = ["good", "poor", "toxic"], [0.9, 0.09, 0.01]
+
+
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents for 90 % good, 9 % poor and 1 % toxic tokens."""
+    labels = mixing.labelled_domains(table(spark, sf_dir, "labels"))
+    out = mixing.mix(table(spark, sf_dir, "documents"), labels, DOMAINS, WEIGHTS)
+    return out.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "copies")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_mixture, op2_line_frequency, op3_toxic_neighbours, op4_site_spread, op5_shingle_join, op6_layout_text,
-    op7_unigram_counts, op8_image_payloads, op9_byte_bpe)}
+    op7_unigram_counts, op8_image_payloads, op9_byte_bpe, op10_soft_mixing)}
 ORACLE: dict[str, str] = {"op2_line_frequency": linefreq.oracle(), "op4_site_spread": spread.oracle()}
