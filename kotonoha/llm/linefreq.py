@@ -107,7 +107,7 @@ def frequent_words(df: DataFrame, limits: Limits, id_col: str, text_col: str, ho
     of_texts = (lines.groupBy("host", F.col("x.line").alias("line"), "content")
                 .agg(F.min("doc").alias("doc"), F.max("x.n").alias("n")))
     frequent = (of_texts.groupBy("host", "line")
-                .agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct("doc", "content")).alias("first"))
+                .agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct(F.col("doc").isNull(), "doc", "content")).alias("first"))
                 .where(F.col("documents") > limits.documents)
                 # Joined by a key of its own, both sides are exchanged and a hot line's partition can be split.
                 .select(F.xxhash64("host", "line").alias("key"), F.col("host").alias("its_host"),
@@ -123,7 +123,8 @@ def judge(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept of every row.
 
     A null text is empty, a null host is the host ''.  Equal texts of a host are
-    one document when lines are counted, and share their verdict; repeated rows
+    one document when lines are counted, and share their verdict; rows without an
+    id keep a line only if no row with one has it.  Repeated rows
     give repeated rows.  Of equal ids with different texts, the smaller hash keeps
     a line.  Other columns are left out.
     """
@@ -141,19 +142,23 @@ def reject(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", tex
            host_col: str = "source") -> DataFrame:
     """The rows of ``df`` whose text is kept, with all their columns.
 
-    The verdict depends on host and text alone, so rejected texts leave by an
-    anti-join on these; rows that fail the counts are filtered where they are read.
+    The verdict depends on host and text alone and is joined by these; rows that
+    fail the counts are filtered where they are read.
     """
-    bad = (frequent_words(df, limits, id_col, text_col, host_col)
-           .select(F.col("host").alias("_host"), F.col("content").alias("_content"), F.col("gone").alias("_gone")))
+    names = ["_host", "_content", "_words", "_all", "_gone"]
+    while set(names) & set(df.columns):
+        names = [n + "_" for n in names]
+    host, content, counted, whole, gone = names
+    bad = frequent_words(df, limits, id_col, text_col, host_col).toDF(host, content, gone)
     text = F.coalesce(quoted(text_col), F.lit(""))
     counts = let(words(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r")))
     rows = df.withColumns({
-        "_host": F.coalesce(quoted(host_col).cast("string"), F.lit("")), "_content": F.xxhash64(text), "_w": counts,
-        "_all": F.aggregate(distinct_lines(text), F.lit(0), lambda a, x: a + x["n"])})
-    passed = rows.where((F.col("_w.n") >= limits.words) & (100 * F.col("_w.r") <= limits.repeated * F.col("_w.n")))
-    joined = passed.join(bad, ["_host", "_content"], "left")
-    ok = joined.where(F.col("_gone").isNull() | (100 * (F.col("_all") - F.col("_gone")) >= limits.remaining * F.col("_all")))
+        host: F.coalesce(quoted(host_col).cast("string"), F.lit("")), content: F.xxhash64(text), counted: counts,
+        whole: F.aggregate(distinct_lines(text), F.lit(0), lambda a, x: a + x["n"])})
+    passed = rows.where((F.col(counted)["n"] >= limits.words)
+                        & (100 * F.col(counted)["r"] <= limits.repeated * F.col(counted)["n"]))
+    joined = passed.join(bad, [host, content], "left")
+    ok = joined.where(F.col(gone).isNull() | (100 * (F.col(whole) - F.col(gone)) >= limits.remaining * F.col(whole)))
     return ok.select(*[quoted(c) for c in df.columns])
 
 

@@ -25,16 +25,16 @@ class Spread:
 
 def lines_of(df: DataFrame, settings: Spread, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """row, doc, site, place, line: a row per line, without its text."""
-    rows = df.select(row_key(df).alias("row"), quoted(id_col).alias("doc"), quoted(site_col).cast("string").alias("site"),
+    rows = df.select(row_key(id_col, text_col, site_col).alias("row"), quoted(id_col).alias("doc"), quoted(site_col).cast("string").alias("site"),
                      F.posexplode(F.split(quoted(text_col), "\n")).alias("place", "x"))
     cut = rows.select("row", "doc", "site", "place", normal(F.col("x")).alias("x"))
     return (cut.where(F.size(F.split("x", " ")) >= settings.words)
             .select("row", "doc", "site", "place", F.xxhash64("x").alias("line")))
 
 
-def row_key(df: DataFrame) -> Column:
-    """A hash of all columns; equal rows share it and are treated alike."""
-    return F.xxhash64(*[quoted(c) for c in df.columns])
+def row_key(*names: str) -> Column:
+    """A hash of what decides about a row; rows that share it are treated alike."""
+    return F.xxhash64(*[c for name in names for c in (quoted(name).isNull(), quoted(name))])
 
 
 def boilerplate(lines: DataFrame, settings: Spread) -> DataFrame:
@@ -60,7 +60,7 @@ def remove_boilerplate(df: DataFrame, settings: Spread = Spread(), id_col: str =
     The rows of the smallest id that has a line keep it, so every line stays
     somewhere.  A null text stays null; a null site counts for nothing; rows
     without an id keep a line only if no row with one has it.  ``counts`` adds
-    ``n_lines`` and ``n_removed``.  The sites of a hot line merge before the
+    ``n_lines`` and ``n_removed``, in place of columns of these names.  The sites of a hot line merge before the
     shuffle, and rows are joined by keys whose partitions can be split.
     """
     names = {"_row", "_places"}
@@ -78,10 +78,11 @@ def remove_boilerplate(df: DataFrame, settings: Spread = Spread(), id_col: str =
     keep = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(places))
     left = F.when(F.col(places).isNull(), text).otherwise(
         F.array_join(F.transform(F.array(cut), lambda x: F.transform(keep, lambda i: x[i]))[0], "\n"))
-    joined = df.withColumn(row, row_key(df)).join(gone, row, "left")
+    joined = df.withColumn(row, row_key(id_col, text_col, site_col)).join(gone, row, "left")
     extra = [F.when(text.isNull(), 0).otherwise(F.size(cut)).cast("long").alias("n_lines"),
              F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_removed")] if counts else []
-    return joined.select(*[left.alias(c) if c == text_col else quoted(c) for c in df.columns], *extra)
+    kept = [c for c in df.columns if not counts or c not in ("n_lines", "n_removed")]
+    return joined.select(*[left.alias(c) if c == text_col else quoted(c) for c in kept], *extra)
 
 
 def oracle(settings: Spread = Spread()) -> str:
