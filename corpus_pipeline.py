@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotonoha.llm import linefreq, mixing, partenum, queries, spread
-from kotonoha.llm.common import quoted, table
+from kotonoha.llm.common import table
 from kotonoha.session import cut_lineage
 
-#: Tokens that poor and toxic documents keep, as shares of what they have.
-DOMAINS, KEPT = ["good", "poor", "toxic"], [1.0, 0.2, 0.02]
+#: Tokens that domains keep, as shares of what they have.  Asking for more good ones than
+#: there are holds the rates of good documents at 1, the most that is allowed.
+DOMAINS, KEPT = ["good", "poor", "toxic"], [1.1, 0.2, 0.02]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by their rates, at most 1, for the domains' target tokens."""
     labels = mixing.labelled_domains(table(spark, sf_dir, "labels"))
-    rates = mixing.mix(docs, labels, DOMAINS, KEPT, most=1.0, relative=True)
-    chosen = rates.where("copies > 0").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(chosen, quoted("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    return mixing.choose(docs, labels, DOMAINS, KEPT)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,17 +95,19 @@ def base_counts(df: DataFrame, limits: Limits, id_col: str, text_col: str, host_
 
 
 def frequent_words(df: DataFrame, limits: Limits, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """host, content, gone: words of the lines that a text loses.
+    """host, content, gone, line_words: words of the frequent lines that a text loses, and of all its lines.
 
     Rows of a line are merged per text before they are counted, on either side of
     each shuffle, and counted per host and line.  The text of the smallest id
     that has a line keeps it, so that no line vanishes from its host.
     """
     text = F.coalesce(quoted(text_col), F.lit(""))
-    lines = df.select(quoted(id_col).alias("doc"), F.coalesce(quoted(host_col).cast("string"), F.lit("")).alias("host"),
-                      F.xxhash64(text).alias("content"), F.explode(distinct_lines(text)).alias("x"))
+    texts = df.select(quoted(id_col).alias("doc"), F.coalesce(quoted(host_col).cast("string"), F.lit("")).alias("host"),
+                      F.xxhash64(text).alias("content"), distinct_lines(text).alias("lines"))
+    lines = texts.select("doc", "host", "content", F.aggregate("lines", F.lit(0), lambda a, x: a + x["n"]).alias("line_words"),
+                         F.explode("lines").alias("x"))
     of_texts = (lines.groupBy("host", F.col("x.line").alias("line"), "content")
-                .agg(F.min("doc").alias("doc"), F.max("x.n").alias("n")))
+                .agg(F.min("doc").alias("doc"), F.max("x.n").alias("n"), F.max("line_words").alias("line_words")))
     frequent = (of_texts.groupBy("host", "line")
                 .agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct(F.col("doc").isNull(), "doc", "content")).alias("first"))
                 .where(F.col("documents") > limits.documents)
@@ -115,7 +117,7 @@ def frequent_words(df: DataFrame, limits: Limits, id_col: str, text_col: str, ho
     met = of_texts.withColumn("key", F.xxhash64("host", "line")).join(frequent, "key")
     met = met.where((F.col("host") == F.col("its_host")) & (F.col("line") == F.col("its_line"))
                     & (F.col("content") != F.col("keeper")))
-    return met.groupBy("host", "content").agg(F.sum("n").alias("gone"))
+    return met.groupBy("host", "content").agg(F.sum("n").alias("gone"), F.max("line_words").alias("line_words"))
 
 
 def judge(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text",
@@ -142,24 +144,24 @@ def reject(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", tex
            host_col: str = "source") -> DataFrame:
     """The rows of ``df`` whose text is kept, with all their columns.
 
-    The verdict depends on host and text alone and is joined by these; rows that
-    fail the counts are filtered where they are read.
+    Rows that fail the counts are filtered where they are read.  The verdict on
+    lines depends on host and text alone; only the depleted texts, by hash, are
+    joined, so the texts themselves seldom need a shuffle.
     """
-    names = ["_host", "_content", "_words", "_all", "_gone"]
+    names = ["_host", "_content", "_words"]
     while set(names) & set(df.columns):
         names = [n + "_" for n in names]
-    host, content, counted, whole, gone = names
-    bad = frequent_words(df, limits, id_col, text_col, host_col).toDF(host, content, gone)
+    host, content, counted = names
+    bad = (frequent_words(df, limits, id_col, text_col, host_col)
+           .where(100 * (F.col("line_words") - F.col("gone")) < limits.remaining * F.col("line_words"))
+           .select(F.col("host").alias(host), F.col("content").alias(content)))
     text = F.coalesce(quoted(text_col), F.lit(""))
     counts = let(words(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r")))
-    rows = df.withColumns({
-        host: F.coalesce(quoted(host_col).cast("string"), F.lit("")), content: F.xxhash64(text), counted: counts,
-        whole: F.aggregate(distinct_lines(text), F.lit(0), lambda a, x: a + x["n"])})
+    rows = df.withColumns({host: F.coalesce(quoted(host_col).cast("string"), F.lit("")),
+                           content: F.xxhash64(text), counted: counts})
     passed = rows.where((F.col(counted)["n"] >= limits.words)
                         & (100 * F.col(counted)["r"] <= limits.repeated * F.col(counted)["n"]))
-    joined = passed.join(bad, [host, content], "left")
-    ok = joined.where(F.col(gone).isNull() | (100 * (F.col(whole) - F.col(gone)) >= limits.remaining * F.col(whole)))
-    return ok.select(*[quoted(c) for c in df.columns])
+    return passed.join(bad, [host, content], "left_anti").select(*[quoted(c) for c in df.columns])
 
 
 def oracle(limits: Limits = Limits()) -> str:

@@ -125,15 +125,16 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], setti
     return made
 
 
-def memberships(df: DataFrame, classifier: Classifier, id_col: str, text_col: str) -> DataFrame:
-    """id, n_tokens (words), p (a probability per domain) of every row."""
+def memberships(df: DataFrame, classifier: Classifier, id_col: str, text_col: str,
+                keep: list[str] | None = None) -> DataFrame:
+    """id (or the columns ``keep``), n_tokens (words), p (a probability per domain) of every row."""
     sent = df.sparkSession.sparkContext.broadcast(classifier)  # bounded by the settings
 
     def make():
         known = sent.value
         return lambda text: (len((text or "").split()), known.posteriors(text or "").round(9).tolist())
 
-    return map_rows(df, make, [text_col], [id_col], [T.StructField("n_tokens", T.LongType()),
+    return map_rows(df, make, [text_col], keep or [id_col], [T.StructField("n_tokens", T.LongType()),
                                                     T.StructField("p", T.ArrayType(T.DoubleType()))])
 
 
@@ -150,31 +151,28 @@ def fit_rates(members: DataFrame, targets: np.ndarray, settings: Mixing, most: f
     """Steps of projected gradient descent on the squared misses of the domains' expected token totals.
 
     A step moves every rate against its gradient, in the metric where documents
-    weigh as many as they have tokens and misses are measured by the inverse of
-    the domains' overlap; then rates below 0 (or above ``most``) return to the
-    bound.  Each round is one aggregate over all documents; a rate is a function
+    weigh as many as they have tokens and a domain's miss is measured by its own
+    expected tokens; then rates below 0 (or above ``most``) return to the bound.
+    In this metric the full step never overshoots, as a document's probabilities
+    sum to 1.  Each round is one aggregate over all documents; a rate is a function
     of the steps so far, so only the totals and steps pass through the driver.
     """
     d = len(targets)
-    pairs = [F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(d) for j in range(i, d)]
-    found = members.agg(F.count(F.lit(1)), *pairs).head()[1:]
-    overlap = np.zeros((d, d))
-    for value, (i, j) in zip(found, [(i, j) for i in range(d) for j in range(i, d)]):
-        overlap[i, j] = overlap[j, i] = float(value or 0.0)
-    inverse = np.linalg.pinv(overlap, rcond=1e-9, hermitian=True)
     steps: list[np.ndarray] = []
-    size, last = max(1.0, np.abs(targets).sum()), None
+    own, size, last = np.zeros(d), max(1.0, np.abs(targets).sum()), None
     for _ in range(settings.rounds):
         rate = after(steps, most)
-        rated = members.select((F.col("n_tokens") * rate).alias("t"), "p")
-        totals = rated.agg(*[F.sum(F.col("t") * F.col("p")[i]) for i in range(d)]).head()
-        miss = np.array([float(v or 0.0) for v in totals]) - targets
+        totals = members.select((F.col("n_tokens") * rate).alias("t"), "p").agg(
+            *[F.sum(F.col("t") * F.col("p")[i]) for i in range(d)]).head()
+        now = np.array([float(v or 0.0) for v in totals])
+        own = own if steps else now  # every rate is 1 before the first step
+        miss = now - targets
         if np.abs(miss).sum() <= settings.tolerance * size:
             break
         if last is not None and np.abs(miss - last).sum() <= settings.tolerance * size:
             break
         last = miss
-        steps.append(inverse @ miss)
+        steps.append(np.divide(miss, own, out=np.zeros(d), where=own > 0))
     return steps
 
 
@@ -184,24 +182,49 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
         F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good").alias("domain"))
 
 
+def targets_of(members: DataFrame, weights: list[float], relative: bool) -> np.ndarray:
+    """Token totals to reach: shares of all tokens or, if ``relative``, of each domain's own expected tokens."""
+    d = len(weights)
+    totals = members.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i]) for i in range(d)]).head()
+    own = np.array([float(v or 0.0) for v in totals])
+    return np.array(weights) * (own if relative else own.sum())
+
+
+def rated(members: DataFrame, steps: list[np.ndarray], most: float | None, id_col: str) -> DataFrame:
+    """The members with their rate and copies."""
+    draw = F.pmod(F.xxhash64(quoted(id_col), F.col("p")), F.lit(1 << 20)) / (1 << 20)
+    return members.withColumn("rate", F.round(after(steps, most), 6)).withColumn(
+        "copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
+
+
 def mix(df: DataFrame, labels: DataFrame, domains: list[str], weights: list[float], settings: Mixing = Mixing(),
         id_col: str = "doc_id", text_col: str = "text", most: float | None = None, relative: bool = False) -> DataFrame:
     """id, n_tokens, p, rate, copies of every row.
 
     ``labels`` has (id, domain).  The targets are ``weights`` of all tokens, or,
     if ``relative``, of each domain's own expected tokens.  Rates are never
-    negative, and at most ``most`` if given; ``copies`` is the rate's whole part, plus one with the
-    probability of the rest, drawn by the hash of id and probabilities.  Null and
-    empty texts have no tokens, so their rate moves no total.  Repeated rows give
-    repeated rows; other columns are left out.
+    negative, and at most ``most`` if given; ``copies`` is the rate's whole part,
+    plus one with the probability of the rest, drawn by the hash of id and
+    probabilities.  Null and empty texts have no tokens, so their rate moves no
+    total.  Repeated rows give repeated rows; other columns are left out.
     """
     classifier = fit_classifier(df, labels, domains, settings, id_col, text_col)
     members = cut_lineage(memberships(df, classifier, id_col, text_col), "members")
-    d = len(domains)
-    totals = members.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i]) for i in range(d)]).head()
-    own = np.array([float(v or 0.0) for v in totals])
-    targets = np.array(weights) * (own if relative else own.sum())
-    rate = F.round(after(fit_rates(members, targets, settings, most), most), 6)
-    draw = F.pmod(F.xxhash64(quoted(id_col), F.col("p")), F.lit(1 << 20)) / (1 << 20)
-    return members.withColumn("rate", rate).withColumn(
-        "copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
+    steps = fit_rates(members, targets_of(members, weights, relative), settings, most)
+    return rated(members, steps, most, id_col)
+
+
+def choose(df: DataFrame, labels: DataFrame, domains: list[str], kept: list[float], settings: Mixing = Mixing(),
+           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` drawn by rates of at most 1 that keep these shares of the
+    domains' tokens, with all their columns.  Texts are classified again where
+    they are read rather than joined with their rates."""
+    classifier = fit_classifier(df, labels, domains, settings, id_col, text_col)
+    members = cut_lineage(memberships(df, classifier, id_col, text_col).select("n_tokens", "p"), "members")
+    steps = fit_rates(members, targets_of(members, kept, True), settings, 1.0)
+    names = ["n_tokens", "p", "rate", "copies"]
+    inner = {c: f"_kept_{i}" for i, c in enumerate(df.columns)}
+    plain = df.toDF(*inner.values())
+    again = memberships(plain, classifier, inner[id_col], inner[text_col], keep=list(inner.values()))
+    drawn = rated(again, steps, 1.0, inner[id_col]).where("copies > 0").drop(*names)
+    return drawn.toDF(*df.columns)

@@ -78,7 +78,7 @@ def remove_boilerplate(df: DataFrame, settings: Spread = Spread(), id_col: str =
     keep = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(places))
     left = F.when(F.col(places).isNull(), text).otherwise(
         F.array_join(F.transform(F.array(cut), lambda x: F.transform(keep, lambda i: x[i]))[0], "\n"))
-    joined = df.withColumn(row, row_key(id_col, text_col, site_col)).join(gone, row, "left")
+    joined = df.withColumn(row, row_key(id_col, text_col, site_col)).join(gone.hint("merge"), row, "left")
     extra = [F.when(text.isNull(), 0).otherwise(F.size(cut)).cast("long").alias("n_lines"),
              F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_removed")] if counts else []
     kept = [c for c in df.columns if not counts or c not in ("n_lines", "n_removed")]

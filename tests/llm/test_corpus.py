@@ -321,7 +321,7 @@ def test_rates_reach_the_targets(spark, documents, marked):
         assert r["rate"] >= 0 and abs(sum(r["p"]) - 1) < 1e-6 and math.floor(r["rate"]) <= r["copies"] <= r["rate"] + 1
     by_id = {r["doc_id"]: r for r in out}
     assert sum(by_id[i]["p"][2] > 0.5 for i, _, toxic in labels if toxic) >= 38
-    capped = mixing.mix(df, table, ["good", "poor", "toxic"], [1.0, 1.0, 0.0], most=1.0, relative=True).collect()
+    capped = mixing.mix(df, table, ["good", "poor", "toxic"], [1.1, 1.1, 0.0], most=1.0, relative=True).collect()
     assert all(0 <= r["rate"] <= 1 for r in capped)
     assert sum(r["copies"] for r in capped if r["doc_id"] in {i for i, q, x in labels if x}) < 8
     assert all(r["copies"] for r in capped if r["doc_id"] in {i for i, q, x in labels if q and not x})
@@ -333,13 +333,13 @@ def test_projected_gradient_equals_plain(spark):
     n, p = rnd.integers(1, 90, 60), rnd.dirichlet([0.4] * 3, 60)
     members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>")
     targets = np.array([0.5, 0.35, 0.15]) * n.sum()
-    settings = mixing.Mixing(rounds=60, tolerance=1e-7)
+    settings = mixing.Mixing(rounds=60, tolerance=1e-6)
     steps = mixing.fit_rates(members, targets, settings)
     rates = np.array([r[0] for r in members.select(mixing.after(steps, None)).collect()])
-    assert (rates >= 0).all() and np.allclose((n * rates) @ p, targets, rtol=1e-3)
-    plain, inverse = np.ones(60), np.linalg.inv((p * n[:, None]).T @ p)
+    assert (rates >= 0).all() and np.allclose((n * rates) @ p, targets, rtol=5e-3)
+    plain = np.ones(60)
     for _ in steps:
-        plain = np.maximum(0, plain - p @ (inverse @ ((n * plain) @ p - targets)))
+        plain = np.maximum(0, plain - p @ (((n * plain) @ p - targets) / (n @ p)))
     assert np.allclose(sorted(plain), sorted(rates), atol=1e-6)
 
 
