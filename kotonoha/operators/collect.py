@@ -92,14 +92,15 @@ def top_k(hits: DataFrame, k: int, order: list[Column] | None = None) -> DataFra
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def page(hits: DataFrame, queries: DataFrame, max_page: int = fixed.MAX_PAGE,
-         max_size: int = 100) -> DataFrame:
-    """The rows of each query's page; ``queries``: query_id, page_offset, page_size."""
-    bound = max_page * max_size
-    ranked = top_k(hits, bound)
-    return (ranked.join(queries.select("query_id", "page_offset", "page_size"), "query_id")
-            .where((F.col("rank") > F.col("page_offset"))
-                   & (F.col("rank") <= F.col("page_offset") + F.col("page_size"))))
+def page(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """The rows of each query's page; ``queries``: query_id, page_offset, page_size.
+
+    No page is too far behind: a query's ranks end only where its own page does.
+    """
+    asked = queries.select("query_id", "page_offset", "page_size")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*_order()))
+    return hits.join(asked, "query_id").withColumn("rank", rank).where(
+        (F.col("rank") > F.col("page_offset")) & (F.col("rank") <= F.col("page_offset") + F.col("page_size")))
 
 
 def cut_by_distance(hits: DataFrame, distance: float | None, exempt: Column | None = None) -> DataFrame:
@@ -163,13 +164,11 @@ def last_page(items: Column, size: Column, max_pages: int = fixed.MAX_PAGE) -> C
 
 
 def page_buttons(current: Column, last: Column, buttons: int = 5) -> Column:
-    """Page numbers shown around the current page."""
-    n = F.least(F.lit(buttons), last)
-    half = F.floor(n / 2).cast("int")
-    missing_right = half - F.least(last - current, half)
-    start = F.greatest(F.greatest(current - (half + missing_right), F.lit(0)), F.lit(1))
-    end = F.least(start + n, last + 1) - 1
-    return F.when(end >= start, F.sequence(start, F.greatest(start, end))).otherwise(
+    """Page numbers around the current page: as many as there are up to ``buttons``,
+    the current one in the middle where both ends leave room."""
+    shown = F.least(F.lit(buttons), last)
+    first = F.greatest(F.lit(1), F.least(current - buttons // 2, last - shown + 1))
+    return F.when(shown > 0, F.sequence(first, first + F.greatest(shown, F.lit(1)) - 1)).otherwise(
         F.array().cast("array<int>"))
 
 

@@ -64,7 +64,7 @@ def resolve_tags(tags: DataFrame, tag_dim: DataFrame) -> DataFrame:
     One hashtag may stand for several tags; levels are clamped to 1..5, lessons
     to 3..23.  Unknown hashtags give no rows.
     """
-    t = tags.withColumn("alias", F.lower(F.substring(F.col("tag"), 2, 1000)))
+    t = tags.withColumn("alias", F.lower(F.substr(F.col("tag"), F.lit(2))))
     named = t.join(F.broadcast(tag_dim), "alias").select("query_id", "pos", "kind", "value")
 
     def numbered(kind, pattern, low, high):
@@ -105,7 +105,7 @@ def resolved_tags(hashtags: Column) -> Column:
     named = _tag_struct_array(tag_rows())
 
     def one(tag):
-        alias = F.lower(F.substring(tag, 2, 1000))
+        alias = F.lower(F.substr(tag, F.lit(2)))
         jlpt = F.regexp_extract(alias, "^(?:n|jlpt)([0-9]+)$", 1).try_cast("int")
         genki = F.regexp_extract(alias, "^genki([0-9]+)$", 1).try_cast("int")
 

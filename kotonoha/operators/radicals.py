@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -181,13 +183,13 @@ def preferred_edges(edges: DataFrame) -> DataFrame:
     return edges.join(chosen, ["parent", "origin"]).select("parent", "pos", "child")
 
 
-def decompose(roots: DataFrame, edges: DataFrame, stop: DataFrame | None = None, max_depth: int = 32
-              ) -> DataFrame:
+def decompose(roots: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """root, depth, path, literal: the decomposition trees of all roots.
 
     Level by level: the frontier joins the edge table, its rows are written to
-    the shared folder, and the loop ends with an empty frontier.  A character
-    that is already on the path is not opened again, so cycles end too.
+    the shared folder, and the loop ends with an empty frontier, however deep the
+    trees are.  A character that is already on the path is not opened again, so
+    cycles end too.
     Characters of ``stop`` (radicals) are kept but not opened.  ``path`` lists
     the child positions.  Children without an own entry are not shown.
     """
@@ -198,10 +200,10 @@ def decompose(roots: DataFrame, edges: DataFrame, stop: DataFrame | None = None,
         "root", F.lit(0).alias("depth"), F.lit("").alias("path"), F.col("root").alias("literal"),
         F.array("root").alias("seen"))
     out = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         open_ = level
         if stop is not None:
-            open_ = open_.join(F.broadcast(stop), "literal", "left_anti")
+            open_ = open_.join(stop, "literal", "left_anti")
         nxt = (open_.join(first, open_.literal == first.parent)
                .where(~F.array_contains("seen", F.col("child")))
                .select("root", F.lit(depth).alias("depth"),

@@ -40,10 +40,16 @@ def ngram_candidates(grams: DataFrame, items: DataFrame, threshold: float | Colu
     counted there without another exchange.  Larger query logs join on the
     salted gram instead.
 
-    ``threshold`` drops, before counting, the pairs whose sizes alone rule out
-    the score.  ``on`` adds join columns (a posting).
+    With a ``threshold`` only pairs that can reach the score need to be found:
+    those of fitting sizes that share one of the query's rarest grams (items with
+    gram arrays), or those of fitting sizes (postings).  ``on`` adds join columns
+    (a posting).
     """
     keys = [*(on or []), "gram"]
+    carried = [c for c in grams.columns if c not in ("query_id", "gram", "q_grams", *(on or []))]
+    if threshold is not None and "grams" in items.columns:
+        t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+        return _rarest_candidates(grams, items, t, keys, carried, salts)
     if "grams" in items.columns:
         placed = by_key(items, "item_id")
         posts = placed.select(*(on or []), "item_id", "n_grams", F.explode("grams").alias("gram"))
@@ -52,12 +58,38 @@ def ngram_candidates(grams: DataFrame, items: DataFrame, threshold: float | Colu
     pairs = salted_join(posts, grams, keys, ["item_id"], salts=salts)
     if threshold is not None:
         pairs = pairs.where(length_window(F.col("n_grams"), F.col("q_grams"), threshold))
-    carried = [c for c in grams.columns if c not in ("query_id", "gram", "q_grams", *(on or []))]
     # constant per pair; max keeps the aggregation buffers of fixed size
     first = [F.max(c).alias(c) for c in ("q_grams", "n_grams", *carried)]
     return pairs.groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("overlap"), *first)
 
 
+def _rarest_candidates(grams: DataFrame, items: DataFrame, t: Column, keys: list[str], carried: list[str],
+                       salts: int | None) -> DataFrame:
+    """Pairs by the query's rarest grams only; the overlap is counted in the row.
+
+    Dice >= t with an item of a fitting size needs t / (2 - t) of the query's
+    grams, so a pair shares one of any set that leaves out fewer than these.  The
+    set with the shortest postings is read.  A pair that shares several of them is
+    kept at the first, so nothing is grouped afterwards.
+    """
+    on = keys[:-1]
+    freq = items.select(*on, F.explode("grams").alias("gram")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    by_query = (grams.join(freq, keys, "left").groupBy("query_id", *on, *carried, "q_grams")
+                .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("known")))
+    needed = F.ceil(t * F.col("q_grams") / (2.0 - t) - 1e-6)
+    rare = F.transform(F.filter(F.slice("known", F.lit(1), (F.col("q_grams") - F.greatest(needed, F.lit(1)) + 1).cast("int")),
+                                lambda x: x["n"] > 0), lambda x: x["gram"])
+    asked = by_query.select("query_id", *on, *carried, "q_grams", F.transform("known", lambda x: x["gram"]).alias("all_grams"),
+                            rare.alias("rare_grams"))
+    asked = asked.withColumn("gram", F.explode("rare_grams"))
+    posts = by_key(items, "item_id").select(*on, "item_id", "n_grams", "grams", F.explode("grams").alias("gram"))
+    pairs = salted_join(posts, asked, keys, ["item_id"], salts=salts)
+    pairs = pairs.where(length_window(F.col("n_grams"), F.col("q_grams"), t)).where(
+        F.array_intersect("rare_grams", "grams")[0] == F.col("gram"))
+    return pairs.select("query_id", "item_id", F.size(F.array_intersect("all_grams", "grams")).cast("long").alias("overlap"),
+                        "q_grams", "n_grams", *carried)
+
+
 # -- term vectors -----------------------------------------------------------------------
 def gloss_query_terms(queries: DataFrame, col: str = "q", keep: list[str] | None = None
                       ) -> DataFrame:

@@ -86,28 +86,23 @@ def language_suggestions(queries: DataFrame, vocab: DataFrame, limit: int = LIMI
 def romaji_guess(col) -> Column:
     """Hiragana of a (possibly unfinished) romaji input; null when it is not one.
 
-    A final m is dropped; one letter is stripped if that helps, two when the text
-    ends in the first two letters of a three-letter syllable.
+    The last syllable may be half typed, so the guess is the longest of three
+    readings that can be spelled: the whole input (without a final m), the input
+    without its last letter, and without its last two where these begin a
+    syllable of three letters.  An input whose missing letters could all be n
+    keeps them.
     """
-    q = F.replace(text._c(col), F.lit("-"), F.lit("ー"))
-    q = F.when(q.endswith("m"), F.left(q, F.length(q) - 1)).otherwise(q)
-    n = F.length(q)
-    spare = F.greatest(F.lit(0), F.lit(3) - F.length(F.regexp_replace(q, "[^n]", "")))
-    one, two = F.left(q, n - 1), F.left(q, F.greatest(n - 2, F.lit(0)))
-    endings = "(" + "|".join(fixed.THREE_LETTER_ENDINGS) + ")$"
+    typed = F.regexp_replace(F.replace(text._c(col), F.lit("-"), F.lit("ー")), "m$", "")
+    size = F.length(typed)
+    nasal = F.greatest(F.lit(0), F.lit(3) - F.length(F.regexp_replace(typed, "[^n]", "")))
+    begun = typed.rlike("(?:" + "|".join(fixed.THREE_LETTER_ENDINGS) + ")$")
+    readings = [(0, F.lit(True)), (1, size > nasal), (2, (size >= nasal + 2) & begun)]
 
-    def spelled(t):
-        return kana.search_hiragana(kana.romaji_core(t))
+    def reading(cut: int, allowed: Column) -> Column:
+        part = F.left(typed, F.greatest(size - cut, F.lit(0)))
+        return F.when(allowed & kana.could_be_romaji(part), kana.search_hiragana(kana.romaji_core(part)))
 
-    usable = (n >= 3) & ~q.contains(" ")
-    return (F.when(~usable, F.lit(None)).when(kana.could_be_romaji(q), spelled(q))
-            .when((n > spare) & kana.could_be_romaji(one), spelled(one))
-            .when((n >= spare + 2) & q.rlike(endings) & kana.could_be_romaji(two), spelled(two)))
-
-
-def strip_end(col, n: int) -> Column:
-    col = text._c(col)
-    return F.left(col, F.greatest(F.length(col) - n, F.lit(0)))
+    return F.when((size >= 3) & ~typed.contains(" "), F.coalesce(*[reading(*r) for r in readings]))
 
 
 def romaji_suggestions(queries: DataFrame, vocab: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -34,16 +34,6 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: list
     return left.join(right, [*on, SALT], how).drop(SALT)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of an input with fewer partitions than cores over all cores.
-
-    Inputs of a cluster job have far more partitions than that and are returned
-    as they are, so this never shuffles a large table.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` into the session's number of shuffle partitions.
 

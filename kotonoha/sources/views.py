@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions import text
 from kotonoha.operators import index
-from kotonoha.plans.scaling import spread
 
 # -- fixed values: letter maps of the derived views ------------------------------
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -53,13 +52,13 @@ def _map(values: dict[str, str]):
 
 # -- terms of the documents --------------------------------------------------------
 def doc_tokens(spark, sf) -> DataFrame:
-    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
     return docs.select("doc_id", "lang", F.posexplode(text.letter_terms("text")).alias("pos", "term"))
 
 
 def terms(spark, sf) -> DataFrame:
     """item_id, lang, term, freq: the headwords."""
-    tok = (spread(table(spark, sf, "documents").select("lang", "text"))
+    tok = (table(spark, sf, "documents").select("lang", "text")
            .select("lang", F.explode(text.letter_terms("text")).alias("term")))
     out = tok.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("freq"))
     return out.select(F.concat_ws(":", "lang", "term").alias("item_id"), "lang", "term", "freq")
@@ -76,7 +75,7 @@ def query_words(spark, sf) -> DataFrame:
     character lost (words of five letters and more): a log of misspelt look-ups."""
     words = (table(spark, sf, "benchmark").select(F.explode(text.letter_terms("text")).alias("w"))
              .distinct())
-    typo = F.concat(F.substring("w", 1, 2), F.substring(F.col("w"), 4, 1000))
+    typo = F.concat(F.substring("w", 1, 2), F.substr(F.col("w"), F.lit(4)))
     return words.select(F.col("w").alias("query_id"),
                         F.when(F.length("w") >= 5, typo).otherwise(F.col("w")).alias("q"))
 

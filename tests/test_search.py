@@ -203,3 +203,33 @@ def test_news_files_and_hashtags(spark, tmp_path):
     lines = spark.createDataFrame([("#a 0.5 1 2",), ("#b",), ("",), ("#c x 1",), ("#d 2",)], "value string")
     tags = {r.tag: r.s_targets for r in records.parse_hashtags(lines).collect()}
     assert tags == {"#a": [1, 2], "#d": []}
+
+
+def test_page_buttons_against_every_position(spark):
+    rows = spark.range(1, 13).select(F.col("id").cast("int").alias("current")).crossJoin(
+        spark.range(0, 13).select(F.col("id").cast("int").alias("last"))).where("current <= greatest(last, 1)")
+    for r in rows.withColumn("b", collect.page_buttons(F.col("current"), F.col("last"))).collect():
+        n = min(5, r["last"])
+        starts = [s for s in range(1, r["last"] - n + 2)]
+        best = min(starts, key=lambda s: (abs(s + 2 - r["current"]), s)) if n else 0
+        assert r["b"] == list(range(best, best + n)), r
+
+
+def test_pages_behind_any_bound(spark):
+    hits = spark.range(12000).select(F.lit(1).alias("query_id"), F.col("id").alias("item_id"),
+                                     (F.lit(20000) - F.col("id")).cast("double").alias("relevance"), F.lit(0).alias("producer"))
+    asked = spark.createDataFrame([(1, 11500, 100)], "query_id int, page_offset int, page_size int")
+    assert sorted(r["item_id"] for r in collect.page(hits, asked).collect()) == list(range(11500, 11600))
+    keyed = hits.withColumn("query_id", F.lit("k"))
+    mapping = spark.createDataFrame([(7, "k"), (8, "k")], "query_id int, key string")
+    pages = spark.createDataFrame([(7, 1490, 10), (8, 1100, 100)], "query_id int, page_offset int, page_size int")
+    out = search.result_pages(keyed, mapping, pages).collect()
+    assert sorted(r["item_id"] for r in out if r["query_id"] == 7) == list(range(1490, 1500))
+    assert sum(r["query_id"] == 8 for r in out) == 100
+
+
+def test_deep_decomposition_comes_out_whole(spark):
+    edges = spark.createDataFrame([(f"c{i:02d}", 0, f"c{i + 1:02d}") for i in range(45)] + [("c45", 0, "c45")],
+                                  "parent string, pos int, child string")
+    roots = spark.createDataFrame([("c00",)], "root string")
+    assert radicals.decompose(roots, edges).agg(F.max("depth")).head()[0] == 45
