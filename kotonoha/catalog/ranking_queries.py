@@ -146,16 +146,16 @@ SCO9 = {**KOBS, "v_ent": """SELECT w.sequence, main, kana, common, jlpt_lvl, lis
 
 @query("sco9_reading_choice", """SELECT sequence, want, round(CASE WHEN list_contains(pos, want) THEN s + 20 ELSE greatest(s - 30, 0) END + CASE WHEN common THEN 2 ELSE 0 END
       + CASE WHEN jlpt_lvl IS NOT NULL THEN 2 ELSE 0 END, 6)::DOUBLE AS relevance FROM
-    (SELECT e.*, t.want, CASE WHEN main = kana THEN 100 ELSE 0 END + coalesce(CASE WHEN total >= 200 THEN freq / total END * 10, 0) AS s FROM v_ent e
+    (SELECT e.*, t.want, CASE WHEN main = kana THEN 100 ELSE 0 END + CASE WHEN length(main) = 1 THEN coalesce(CASE WHEN total >= 200 THEN freq / total END * 10, 0) ELSE 0 END AS s FROM v_ent e
      LEFT JOIN v_rfreq r ON r.literal = substr(e.main, 1, 1) AND r.reading = """ + q.to_kata("substr(e.kana, 1, 1)") + """, (VALUES ('Noun'), ('Verb')) AS t(want))""", SCO9)
 def sco9(spark, sf):
-    """Every word as noun and as verb; the reading frequency of its first kanji."""
+    """Every word as noun and as verb; words of one kanji by that kanji's reading frequency."""
     rf = index.reading_frequency(reading_observations(spark, sf), views.kanji(spark, sf))
     rf = rf.select("literal", F.col("reading").alias("r"), index.normalised_reading_frequency(F.col("freq"), F.col("total")).alias("rf"))
     w = rq.words_with_pos(spark, sf).select("sequence", reshape.main_reading().alias("main"), F.col("reading.kana.reading").alias("kana"),
                                             "common", "jlpt_lvl", "word_pos", F.explode(rq.arr("Noun", "Verb")).alias("want"))
     j = w.join(rf, (F.substring("main", 1, 1) == rf.literal) & (text.to_katakana(F.substring("kana", 1, 1)) == rf.r), "left")
-    s = score.reading_choice_score(F.col("main") == F.col("kana"), F.lit(True), F.col("rf"), F.array_contains("word_pos", F.col("want")),
+    s = score.reading_choice_score(F.col("main") == F.col("kana"), F.length("main") == 1, F.col("rf"), F.array_contains("word_pos", F.col("want")),
                                    F.lit(True), F.col("common"), F.col("jlpt_lvl").isNotNull())
     return j.select("sequence", "want", s.alias("relevance"))
 

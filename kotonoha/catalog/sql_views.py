@@ -228,7 +228,8 @@ VIEWS = {
     "v_pos_order": "SELECT * FROM " + values([(n, i) for i, n, _ in fixed.POS_SIMPLE]) + " AS t(pos_simple, pos_order)",
     "v_lang_dim": "SELECT * FROM " + values([(i, n) for i, n, _ in fixed.LANGUAGES]) + " AS t(lang_id, lang)",
 }
-MATERIALIZED = {"v_tok", "v_terms", "v_cand", "v_vec", "v_doc_terms", "v_grams", "v_qgrams", "v_words"}
+MATERIALIZED = {"v_tok", "v_terms", "v_cand", "v_vec", "v_doc_terms", "v_grams", "v_qgrams", "v_words", "v_wparts", "v_place",
+                *(f"v_{prefix}{step}" for prefix in "gp" for step in "abcde")}
 _NAME = re.compile(r"\bv_[a-z0-9_]+\b")
 
 

@@ -21,9 +21,9 @@ def dice_weighted(w: float, overlap="overlap", n_item="n_grams", n_query="q_gram
 def vector_overlap(vec_a, sum_a, vec_b, sum_b) -> Column:
     """Weighted n-gram overlap of two packed vectors with common gram weights:
     the weights of the shared grams on both sides over all weights."""
-    shared = F.aggregate(
-        F.filter(vec_a, lambda x: F.exists(vec_b, lambda y: y["gram"] == x["gram"])),
-        F.lit(0.0), lambda acc, x: acc + x["w"])
+    common = F.array_intersect(F.transform(vec_a, lambda x: x["gram"]), F.transform(vec_b, lambda x: x["gram"]))
+    shared = F.transform(F.array(common), lambda grams: F.aggregate(
+        F.filter(vec_a, lambda x: F.array_contains(grams, x["gram"])), F.lit(0.0), lambda acc, x: acc + x["w"]))[0]
     total = sum_a + sum_b
     return F.when((F.size(vec_a) == 0) | (F.size(vec_b) == 0) | (total == 0), F.lit(0.0)).otherwise(
         shared * 2.0 / total)
