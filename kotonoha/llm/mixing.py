@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kotonoha.llm.common import map_rows, quoted, ship
-from kotonoha.llm.neighbours import Neighbours, telling_terms, terms_of
+from kotonoha.llm.neighbours import Neighbours, known_terms, telling_terms
 from kotonoha.session import cut_lineage
 
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -55,9 +55,8 @@ class Classifier:
     def features(self, text: str) -> np.ndarray:
         out = np.zeros(8 + len(self.terms))
         out[:8] = shape_of(text)
-        counts = terms_of(text, self.stem) if self.terms else {}
-        for term in self.terms.keys() & counts.keys():
-            out[8 + self.terms[term]] = math.log1p(counts[term])
+        for term, n in known_terms(text, self.terms, self.stem).items() if self.terms else ():
+            out[8 + self.terms[term]] = math.log1p(n)
         return out
 
     def posteriors(self, text: str) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.llm.common import BLANK, quoted
 from kotonoha.llm.linefreq import normal
+from kotonoha.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,8 @@ def remove_boilerplate(df: DataFrame, settings: Spread = Spread(), id_col: str =
     while names & set(df.columns):
         names = {n + "_" for n in names}
     places, row = sorted(names)
-    lines = lines_of(df, settings, id_col, text_col, site_col)
+    # Read three times below; without their texts lines are small, and splitting texts again is not.
+    lines = cut_lineage(lines_of(df, settings, id_col, text_col, site_col), "lines")
     found = boilerplate(lines, settings).select(F.hash("line").alias("key"), F.col("line").alias("its_line"), "keeper")
     gone = (lines.withColumn("key", F.hash("line")).join(found, "key")
             .where((F.col("line") == F.col("its_line")) & ~F.col("doc").eqNullSafe(F.col("keeper")))
