@@ -20,12 +20,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
                         "edges")
-    before = None
+    before = fingerprint(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         edges = star(both, both.where("v > u"))
         edges = cut_lineage(star(edges, edges), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.hash("u", "v").cast("long"))).head()
+        now = fingerprint(edges)
         if now == before:
             break
         before = now
@@ -33,6 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def fingerprint(edges: DataFrame) -> tuple:
+    """Equal for equal sets of edges, and hardly ever else."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.hash("u", "v").cast("long"))).head())
+
+
 def star(known: DataFrame, handed: DataFrame) -> DataFrame:
     """Edges (larger, smaller) from the handed neighbours v of u, and u itself, to the smallest of u's known neighbours and u."""
     least = known.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kotonoha.llm.common import map_rows, quoted, ship
+from kotonoha.llm.common import SLICE, map_rows, quoted, ship
 from kotonoha.llm.components import components
 from kotonoha.session import cut_lineage
 
@@ -23,7 +23,9 @@ class Join:
     """Sets of ``size`` words link when 100 * intersection >= ``percent`` * union.
 
     Sizes fall into bands whose ends differ by the factor ``band``.  ``subset``
-    second-level partitions make up a signature.  Texts are compared in blocks of
+    second-level partitions make up a signature, and a first-level one may hold
+    ``apart`` shingles of only one set.  There are ``slack`` times the partitions
+    needed.  Texts are compared in blocks of
     about ``block`` texts and ``block_shingles`` shingles.
     """
 
@@ -31,8 +33,10 @@ class Join:
     percent: int = 90
     band: float = 1.5
     subset: int = 1
-    block: int = 256
-    block_shingles: int = 400_000
+    apart: int = 0
+    slack: float = 1.3
+    block: int = 3000
+    block_shingles: int = 1_500_000
 
 
 #: Odd numbers without meaning, as bases and mixers of 64-bit hashes.
@@ -109,96 +113,162 @@ def lowest(band: int, join: Join) -> int:
 
 
 @lru_cache(maxsize=256)
-def plan(band: int, join: Join) -> tuple[int, int, tuple]:
-    """(first-level partitions, second-level partitions of each, subsets of these).
+def plan(band: int, join: Join) -> tuple[int, int, int, tuple]:
+    """(first-level partitions, those that may be spoilt, second-level partitions of each, subsets of these).
 
     Of two linked sets whose larger one lies in the band, at most k shingles are
-    in only one.  So some first-level partition holds at most k2 of them, and some
-    subset of its second-level partitions without them is equal in both.
+    in only one.  A first-level partition with at most ``apart`` of them has a
+    subset of second-level partitions that is equal in both; the others are
+    spoilt.  There are ``slack`` times more partitions than may be spoilt.
     """
     largest = lowest(band + 1, join) - 1
     k = 2 * largest * (100 - join.percent) // (100 + join.percent)
-    first = max(1, (k + 1) // 2)
-    k2 = -(-(k + 1) // first) - 1
-    second = k2 + join.subset
-    return first, second, tuple(combinations(range(second), join.subset))
+    apart = min(k, join.apart)
+    spoilt = k // (apart + 1)
+    second = apart + join.subset
+    return math.ceil((spoilt + 1) * join.slack), spoilt, second, tuple(combinations(range(second), join.subset))
 
 
 def signatures(found: np.ndarray, join: Join) -> np.ndarray:
-    """Signed 64-bit signatures of a set, distinct."""
+    """Signed 64-bit signatures of a set, distinct.
+
+    Linked sets agree in a subset of all first-level partitions but the spoilt
+    ones.  Let every set rank its subsets by their shingles, the most first, then
+    by their hash: a rank that depends on nothing else.  Two sets that agree in all but
+    ``spoilt`` partitions also agree in one of the first ``spoilt + 1`` subsets by
+    this rank of each kind, so the rest is not needed.  What is left out is empty
+    or small, and would bring unlike sets together.
+    """
     out = []
     if not len(found):
         return np.zeros(0, np.int64)
     spread, worth = mixed(found ^ U(BASE_A)), mixed(found + U(BASE_B))
     for band in bands(len(found), join):
-        first, second, subsets = plan(band, join)
-        part = (spread >> U(32)) * U(first * second) >> U(32)  # equal shares of the hashes
+        first, spoilt, second, subsets = plan(band, join)
+        part = ((spread >> U(32)) * U(first * second) >> U(32)).astype(np.int64)  # equal shares of the hashes
         sums = np.zeros(first * second, np.uint64)
-        np.add.at(sums, part.astype(np.int64), worth)
+        np.add.at(sums, part, worth)
         sums = sums.reshape(first, second)
+        filled = np.bincount(part, minlength=first * second).reshape(first, second)
         place = np.arange(first, dtype=np.uint64) * U(len(subsets)) + U(band << 40)
+        values, sizes = [], []
         for i, subset in enumerate(subsets):
             value = place + U(i)
             for j in subset:
                 value = mixed(value ^ sums[:, j])
-            out.append(value)
+            values.append(value)
+            sizes.append(filled[:, list(subset)].sum(1))
+        values, sizes = np.concatenate(values), np.concatenate(sizes)
+        # All but so many subsets can differ between linked sets.
+        most = spoilt * len(subsets) + (first - spoilt) * (len(subsets) - 1)
+        out.append(values[np.lexsort((values, -sizes))[:most + 1]])
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
 def described(df: DataFrame, join: Join, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, node (a digest of the set, null if it is empty), signatures of every row."""
+    """id, n_shingles, node (a digest of the set, null if it is empty) of every row."""
     def row(text):
         found = shingles(text or "", join.size)
-        if not len(found):
-            return 0, None, None
-        return len(found), digest(found), signatures(found, join).tolist()
+        return len(found), digest(found) if len(found) else None
 
     return map_rows(df, lambda: row, [text_col], [id_col], [
-        T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()),
-        T.StructField("signatures", T.ArrayType(T.LongType()))])
+        T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())])
+
+
+def signature_rows(df: DataFrame, join: Join, text_col: str) -> DataFrame:
+    """node, signature: a row per signature of a set; a task gives those of equal sets once."""
+    ship(df.sparkSession.sparkContext)
+
+    def rows(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                nodes, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for text in batch.column(0).slice(at, SLICE).to_pylist():
+                    found = shingles(text or "", join.size)
+                    if not len(found) or (node := digest(found)) in seen:
+                        continue
+                    seen.add(node)
+                    values.append(signatures(found, join))
+                    nodes.append(np.full(len(values[-1]), node))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, values)], ["node", "signature"])
+
+    return df.select(F.make_valid_utf8(quoted(text_col))).mapInArrow(rows, "node long, signature long")
 
 
-def candidate_clusters(sets: DataFrame) -> DataFrame:
+def candidate_clusters(rows: DataFrame) -> DataFrame:
     """node, cluster: sets joined by shared signatures; only such sets can link.
 
-    A bucket's sets are all joined to its smallest, one edge each.  Equal sets
-    merge before the shuffle.
+    A bucket's sets are all joined to its smallest, one edge each.  Rows are
+    exchanged once, by signature; equal sets have been merged per task before.
     """
-    rows = sets.where("node is not null").select("node", F.explode("signatures").alias("signature")).distinct()
-    hubs = rows.groupBy("signature").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
-    edges = (rows.join(hubs.select("signature", "hub"), "signature").where("node <> hub")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # With the join's own conditions stated here, both uses below have one plan and share one exchange.
+    dealt = rows.where("signature is not null and node is not null").repartition(n, "signature")
+    hubs = dealt.groupBy("signature").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
+    edges = (dealt.join(hubs.select("signature", "hub"), "signature").where("node <> hub")
              .select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
-    found = components(edges)
-    return found.select("node", F.col("root").alias("cluster"))
+    return components(edges).select("node", F.col("root").alias("cluster"))
+
+
+class Buckets:
+    """Sets of one block by shared signatures."""
+
+    def __init__(self, sets: list[np.ndarray], join: Join):
+        given = [signatures(x, join) for x in sets]
+        values, owners = np.concatenate(given), np.repeat(np.arange(len(sets)), [len(x) for x in given])
+        order = np.argsort(values, kind="stable")
+        values, self.owners = values[order], owners[order]
+        starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        ends = np.append(starts[1:], len(values))
+        shared = ends - starts > 1
+        self.starts, self.ends = starts[shared], ends[shared]
+        of = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
+        holders = np.concatenate([self.owners[a:z] for a, z in zip(self.starts, self.ends)]) if len(of) else of
+        order = np.argsort(holders, kind="stable")
+        self.mine, self.cuts = of[order], np.searchsorted(holders[order], np.arange(len(sets) + 1))
+
+    def partners(self, i: int) -> np.ndarray:
+        """The sets that share a signature with set i, itself included; all sets where that is no less work."""
+        runs = self.mine[self.cuts[i]:self.cuts[i + 1]]
+        n = len(self.cuts) - 1
+        if (self.ends[runs] - self.starts[runs]).sum() > 2 * n:
+            return np.arange(n)
+        return np.unique(np.concatenate([self.owners[self.starts[r]:self.ends[r]] for r in runs])) if len(runs) else runs
 
 
 def links_of_block(nodes: list[int], blocks: list[int], sets: list[np.ndarray], join: Join) -> list[tuple[int, int]]:
     """Links that connect the sets of one block, or those of one block with another's.
 
-    Each set is compared with all later ones that its component does not hold yet,
-    by marking its shingles and counting marks along the others.
+    Each set is compared with the later ones that share a signature and are not
+    in its component yet, by marking its shingles and counting marks in the others.
     """
     sizes = np.array([len(x) for x in sets])
     _, places = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.append(0, np.cumsum(sizes)[:-1])
-    mark = np.zeros(places.max() + 1, np.int64)
-    root = np.arange(len(sets))
+    mark = np.zeros(places.max() + 1, np.int32)
+    root, side = np.arange(len(sets)), np.array(blocks)
     across = len(set(blocks)) > 1
-    side = np.array(blocks)
+    buckets = Buckets(sets, join)
     out = []
     for i in range(len(sets) - 1):
-        own = places[starts[i]:starts[i] + sizes[i]]
-        smaller, larger = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-        able = (100 * smaller >= join.percent * larger) & (root != root[i])
-        able[:i + 1] = False
+        near = buckets.partners(i)
+        near = near[near > i]
+        smaller, larger = np.minimum(sizes[near], sizes[i]), np.maximum(sizes[near], sizes[i])
+        able = (100 * smaller >= join.percent * larger) & (root[near] != root[i])
         if across:
-            able &= side != side[i]
-        if not able.any():
+            able &= side[near] != side[i]
+        near = near[able]
+        if not len(near):
             continue
+        own = places[starts[i]:starts[i] + sizes[i]]
         mark[own] = 1
-        shared = np.add.reduceat(mark[places], starts)
+        if 8 * len(near) > len(sets):
+            shared = np.add.reduceat(mark[places], starts)[near]
+        else:
+            shared = np.array([mark[places[starts[j]:starts[j] + sizes[j]]].sum() for j in near])
         mark[own] = 0
-        for j in np.flatnonzero(able & (100 * shared >= join.percent * (sizes + sizes[i] - shared))):
+        for j in near[100 * shared >= join.percent * (sizes[near] + sizes[i] - shared)]:
             if root[j] != root[i]:
                 root[root == root[j]] = root[i]
                 out.append((nodes[i], nodes[j]))
@@ -219,10 +289,11 @@ def links(texts: DataFrame, join: Join) -> DataFrame:
         held, rows = None, []
 
         def finish():
-            nodes, blocks, sets = [], [], []
+            nodes, blocks, sets, seen = [], [], [], set()
             for block, node, text in rows:
                 found = shingles(text, join.size)
-                if len(found) and digest(found) == node and node not in nodes:  # else another text of the same id
+                if len(found) and digest(found) == node and node not in seen:  # else another text of the same id
+                    seen.add(node)
                     nodes.append(node)
                     blocks.append(block)
                     sets.append(found)
@@ -255,7 +326,7 @@ def near_duplicates(df: DataFrame, join: Join = Join(), id_col: str = "doc_id",
     by 64-bit hashes.
     """
     sets = cut_lineage(described(df, join, id_col, text_col).withColumnRenamed(id_col, "doc"), "sets")
-    clusters = cut_lineage(candidate_clusters(sets), "clusters")
+    clusters = candidate_clusters(signature_rows(df, join, text_col))
     firsts = (sets.where("node is not null and doc is not null").groupBy("node")
               .agg(F.min("doc").alias("doc"), F.max("n_shingles").alias("n")))
     members = cut_lineage(clusters.join(firsts, "node"), "members")
@@ -263,7 +334,8 @@ def near_duplicates(df: DataFrame, join: Join = Join(), id_col: str = "doc_id",
         F.ceil(F.count(F.lit(1)) / join.block), F.ceil(F.sum("n") / join.block_shingles)).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     texts = df.select(quoted(id_col).alias("doc"), F.make_valid_utf8(quoted(text_col)).alias("text"))
-    pairs = (texts.join(placed, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Texts are exchanged once whatever the number of members, so the job behaves alike at every size.
+    pairs = (texts.where("doc is not null").join(placed.hint("merge"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")))
     linked_nodes = components(links(pairs, join))
     roots = linked_nodes.join(firsts, "node").groupBy("root").agg(F.min("doc").alias("first"))
@@ -272,3 +344,13 @@ def near_duplicates(df: DataFrame, join: Join = Join(), id_col: str = "doc_id",
     out = sets.select("doc", "n_shingles", "node").join(of_nodes, "node", "left")
     return out.select(F.col("doc").alias(id_col), "n_shingles", F.when(
         F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of its component, with all their columns.
+
+    Rows without an id, and rows that repeat a kept id, stay.
+    """
+    found = near_duplicates(df, join, id_col, text_col)
+    gone = (found.where(F.col("component_id") != quoted(id_col)).select(quoted(id_col).alias("_gone")).distinct())
+    return df.join(gone, quoted(id_col) == F.col("_gone"), "left_anti")
