@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from kotonoha.llm.common import map_rows
 
 #: States, and chunks of text, remembered by a worker process before it starts over.
-STATES = 160_000
-CHUNKS = 100_000
+STATES = 300_000
+CHUNKS = 350_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
