@@ -14,16 +14,19 @@ from kotonoha.session import cut_lineage
 DOMAINS, KEPT = ["good", "poor", "toxic"], [1.1, 0.2, 0.02]
 
 
+def measured(cut: DataFrame, docs: DataFrame) -> DataFrame:
+    """Texts with their lengths as they are now."""
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with enough words, few repeats and enough lines of their own."""
-    return linefreq.reject(docs)
+    """Documents with enough words, few repeats and enough lines of their own, without the frequent lines of their hosts."""
+    return measured(linefreq.reject(docs), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand on many sites; a document that loses all its words goes."""
-    cut = spread.remove_boilerplate(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).where(
-        F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return measured(spread.remove_boilerplate(docs), docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kotonoha.llm.common import BLANK, BLANKS, quoted
+from kotonoha.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
 
@@ -95,7 +96,8 @@ def base_counts(df: DataFrame, limits: Limits, id_col: str, text_col: str, host_
 
 
 def frequent_words(df: DataFrame, limits: Limits, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """host, content, gone, line_words: words of the frequent lines that a text loses, and of all its lines.
+    """host, content, gone, line_words, lines: words of the frequent lines that a text loses, and of all its
+    lines, and the hashes of the lines it loses.
 
     Rows of a line are merged per text before they are counted, on either side of
     each shuffle, and counted per host and line.  The text of the smallest id
@@ -117,7 +119,8 @@ def frequent_words(df: DataFrame, limits: Limits, id_col: str, text_col: str, ho
     met = of_texts.withColumn("key", F.xxhash64("host", "line")).join(frequent, "key")
     met = met.where((F.col("host") == F.col("its_host")) & (F.col("line") == F.col("its_line"))
                     & (F.col("content") != F.col("keeper")))
-    return met.groupBy("host", "content").agg(F.sum("n").alias("gone"), F.max("line_words").alias("line_words"))
+    return met.groupBy("host", "content").agg(
+        F.sum("n").alias("gone"), F.max("line_words").alias("line_words"), F.collect_list("line").alias("lines"))
 
 
 def judge(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text",
@@ -140,28 +143,52 @@ def judge(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text
         (~F.col("base_failed") & (100 * (F.col("line_words") - removed) >= limits.remaining * F.col("line_words"))).alias("kept"))
 
 
-def reject(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text",
-           host_col: str = "source") -> DataFrame:
-    """The rows of ``df`` whose text is kept, with all their columns.
+def without_lines(rows: DataFrame, df: DataFrame, limits: Limits, id_col: str, text_col: str, host_col: str,
+                  remaining: int = 0) -> DataFrame:
+    """Those of ``rows`` that keep ``remaining`` per cent of their words, without the lines frequent in ``df``.
 
-    Rows that fail the counts are filtered where they are read.  The verdict on
-    lines depends on host and text alone; only the depleted texts, by hash, are
-    joined, so the texts themselves seldom need a shuffle.
+    What a text loses depends on host and text alone.  It is written without the
+    texts and read back, so that its size is known: the texts are shuffled only
+    where it is too large to be sent to them.
     """
-    names = ["_host", "_content", "_words"]
+    names = ["_host", "_content", "_lines", "_left"]
     while set(names) & set(df.columns):
         names = [n + "_" for n in names]
-    host, content, counted = names
-    bad = (frequent_words(df, limits, id_col, text_col, host_col)
-           .where(100 * (F.col("line_words") - F.col("gone")) < limits.remaining * F.col("line_words"))
-           .select(F.col("host").alias(host), F.col("content").alias(content)))
-    text = F.coalesce(quoted(text_col), F.lit(""))
-    counts = let(words(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r")))
-    rows = df.withColumns({host: F.coalesce(quoted(host_col).cast("string"), F.lit("")),
-                           content: F.xxhash64(text), counted: counts})
-    passed = rows.where((F.col(counted)["n"] >= limits.words)
-                        & (100 * F.col(counted)["r"] <= limits.repeated * F.col(counted)["n"]))
-    return passed.join(bad, [host, content], "left_anti").select(*[quoted(c) for c in df.columns])
+    host, content, lines, share = names
+    gone = cut_lineage(frequent_words(df, limits, id_col, text_col, host_col).select(
+        F.col("host").alias(host), F.col("content").alias(content), F.col("lines").alias(lines),
+        (100 * (F.col("line_words") - F.col("gone")) >= remaining * F.col("line_words")).alias(share)), "frequent")
+    text = quoted(text_col)
+    left = F.when(F.col(lines).isNull(), text).otherwise(F.array_join(
+        F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col(lines), F.xxhash64(normal(x)))), "\n"))
+    keyed = rows.withColumns({host: F.coalesce(quoted(host_col).cast("string"), F.lit("")),
+                              content: F.xxhash64(F.coalesce(text, F.lit("")))})
+    return (keyed.join(gone, [host, content], "left").where(F.coalesce(share, F.lit(True)))
+            .select(*[left.alias(c) if c == text_col else quoted(c) for c in df.columns]))
+
+
+def remove_frequent(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text",
+                    host_col: str = "source") -> DataFrame:
+    """The rows of ``df`` with the frequent lines of their hosts taken out of their texts.
+
+    Every place of such a line goes, but not from texts equal to the one that
+    keeps it (see ``judge``).  Other lines, empty ones too, stay as they are; so
+    do all rows, null texts and further columns.
+    """
+    return without_lines(df, df, limits, id_col, text_col, host_col)
+
+
+def reject(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text",
+           host_col: str = "source") -> DataFrame:
+    """The rows of ``df`` whose text is kept, without the frequent lines, with all their columns.
+
+    Texts are judged whole, as in ``judge``.  Rows that fail the counts are
+    filtered where they are read; their lines count all the same, and one of them
+    may be the text that keeps a line.
+    """
+    passed = df.where(let(words(F.coalesce(quoted(text_col), F.lit(""))), lambda w: (
+        (F.size(w) >= limits.words) & (100 * repeated_words(w).cast("long") <= limits.repeated * F.size(w).cast("long")))))
+    return without_lines(passed, df, limits, id_col, text_col, host_col, limits.remaining)
 
 
 def oracle(limits: Limits = Limits()) -> str:

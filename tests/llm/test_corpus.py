@@ -117,6 +117,43 @@ def test_quality_equals_plain(documents, lined):
     assert linefreq.judge(df.limit(0)).count() == 0 and linefreq.reject(df.limit(0)).count() == 0
 
 
+def plain_removal(rows, limits):
+    """Ids and texts of the rows, without the frequent lines of their hosts."""
+    texts = {(s or "", t or "", i) for i, t, _, s in rows}
+    has = defaultdict(dict)  # (host, line): text: smallest id
+    for host, text, i in texts:
+        for line in {normal(x) for x in text.split("\n")} - {""}:
+            of = has[host, line]
+            of[text] = min(of.get(text, math.inf), math.inf if i is None else i)
+    keeper = {key: min(of, key=of.get) for key, of in has.items() if len(of) > limits.documents}
+    return [(i, None if t is None else "\n".join(
+        x for x in t.split("\n") if keeper.get((s or "", normal(x)), t) == t)) for i, t, _, s in rows]
+
+
+def test_removal_equals_plain(documents, lined):
+    limits = linefreq.Limits(documents=4, words=8)
+    rows = [*lined, lined[7]]
+    df, expected = documents(rows), plain_removal(rows, limits)
+    out = linefreq.remove_frequent(df, limits)
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(expected, key=str)
+    assert sum(t != r[1] for (_, t), r in zip(expected, rows)) > 30
+    verdicts = plain_quality(rows, limits)
+    kept = [x for x, (i, t, _, _) in zip(expected, rows) if verdicts[i, t or ""][-1]]
+    assert sorted(((r["doc_id"], r["text"]) for r in linefreq.reject(df, limits).collect()), key=str) == sorted(kept, key=str)
+    assert linefreq.remove_frequent(df.limit(0), limits).count() == 0
+
+
+def test_quality_stage_takes_a_line_of_one_host(spark, documents, prose):
+    rows = [(i, "\n".join([prose("aa", 40), "Footer of  the host", "", prose("bb", 40), "footer of the host "]), "aa", "s1")
+            for i in range(12)]
+    rows += [(50 + i, prose("cc", 60) + "\nfooter of the host", "cc", "s2") for i in range(10)]  # at the limit
+    out = corpus_pipeline.quality_rules(spark, documents(rows), "").collect()
+    assert {r["doc_id"]: r["text"] for r in out} == dict(plain_removal(rows, linefreq.Limits()))
+    assert [sum("footer" in r["text"].lower() for r in out if r["source"] == s) for s in ("s1", "s2")] == [1, 10]
+    assert all(r["n_chars"] == len(r["text"]) for r in out)
+
+
 def test_repeated_words_of_a_long_text(documents):
     text = "a b c d " * 20000 + " ".join(f"w{i}" for i in range(30000))
     row = linefreq.judge(documents([(1, text, "aa", "s")])).head()
