@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,13 +165,13 @@ def signatures(found: np.ndarray, join: Join) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def described(df: DataFrame, join: Join, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, node (a digest of the set, null if it is empty) of every row."""
+def described(df: DataFrame, join: Join, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns ``keep``, n_shingles, node (a digest of the set, null if it is empty) of every row."""
     def row(text):
         found = shingles(text or "", join.size)
         return len(found), digest(found) if len(found) else None
 
-    return map_rows(df, lambda: row, [text_col], [id_col], [
+    return map_rows(df, lambda: row, [text_col], [id_col, *keep], [
         T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())])
 
 
@@ -314,18 +314,10 @@ def links(texts: DataFrame, join: Join) -> DataFrame:
     return dealt.mapInArrow(compare, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (the smallest id reachable by links, itself included) of every row.
-
-    Sets are distinct shingles of ``size`` words; fewer words make one shingle; no
-    words (or a null text) make an empty set that links with nothing.  Equal sets
-    are one node and linked.  Texts with a shared signature form clusters; within
-    a cluster the sets are compared exactly, large clusters in pairs of blocks of
-    bounded size.  Rows without an id get no component.  Repeated rows give
-    repeated rows; other columns are left out.  Sets and shingles are told apart
-    by 64-bit hashes.
-    """
-    sets = cut_lineage(described(df, join, id_col, text_col).withColumnRenamed(id_col, "doc"), "sets")
+def grouped(df: DataFrame, join: Join, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc, the columns ``keep``, n_shingles, node, component and keeper (the smallest id of what links reach, and the
+    smallest of its sets there) of every row; no component or keeper where the set is empty."""
+    sets = cut_lineage(described(df, join, id_col, text_col, keep).withColumnRenamed(id_col, "doc"), "sets")
     clusters = candidate_clusters(signature_rows(df, join, text_col))
     firsts = (sets.where("node is not null and doc is not null").groupBy("node")
               .agg(F.min("doc").alias("doc"), F.max("n_shingles").alias("n")))
@@ -338,19 +330,53 @@ def near_duplicates(df: DataFrame, join: Join = Join(), id_col: str = "doc_id",
     pairs = (texts.where("doc is not null").join(placed.hint("merge"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")))
     linked_nodes = components(links(pairs, join))
-    roots = linked_nodes.join(firsts, "node").groupBy("root").agg(F.min("doc").alias("first"))
+    roots = linked_nodes.join(firsts, "node").groupBy("root").agg(F.min(F.struct("doc", "node")).alias("first"))
     of_nodes = (firsts.join(linked_nodes, "node", "left").join(roots, "root", "left")
-                .select("node", F.coalesce("first", "doc").alias("component")))
-    out = sets.select("doc", "n_shingles", "node").join(of_nodes, "node", "left")
+                .select("node", F.coalesce("first.doc", "doc").alias("component"), F.coalesce("first.node", "node").alias("keeper")))
+    return sets.join(of_nodes, "node", "left")
+
+
+def near_duplicates(df: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (the smallest id reachable by links, itself included) of every row.
+
+    Sets are distinct shingles of ``size`` words; fewer words make one shingle; no
+    words (or a null text) make an empty set that links with nothing.  Equal sets
+    are one node and linked.  Texts with a shared signature form clusters; within
+    a cluster the sets are compared exactly, large clusters in pairs of blocks of
+    bounded size.  Rows without an id get no component.  Repeated rows give
+    repeated rows; other columns are left out.  Sets and shingles are told apart
+    by 64-bit hashes.
+    """
+    out = grouped(df, join, id_col, text_col)
     return out.select(F.col("doc").alias(id_col), "n_shingles", F.when(
         F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
 
 
 def keep_one(df: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component, with all their columns.
+    """One row of each component, with all its columns: of the smallest id, and of its sets there the smallest digest.
 
-    Rows without an id, and rows that repeat a kept id, stay.
+    An id with several texts is judged text by text.  Of rows that share id and
+    set the smallest hash of the text stays, and of those that repeat it any one.
+    Rows without an id, and those of empty sets, which link with nothing, stay.
     """
-    found = near_duplicates(df, join, id_col, text_col)
-    gone = (found.where(F.col("component_id") != quoted(id_col)).select(quoted(id_col).alias("_gone")).distinct())
-    return df.join(gone, quoted(id_col) == F.col("_gone"), "left_anti")
+    content = "_content"
+    while content in df.columns:
+        content += "_"
+    keyed = df.withColumn(content, F.xxhash64(quoted(text_col)))
+    texts = (grouped(keyed, join, id_col, text_col, (content,)).where("doc is not null and node is not null")
+             .groupBy("doc", content, "node").agg(F.first("component").alias("component"), F.first("keeper").alias("keeper"),
+                                                  F.count(F.lit(1)).alias("rows")))
+    place = F.row_number().over(Window.partitionBy("doc", "node").orderBy(content))
+    stays = (F.col("doc") == F.col("component")) & (F.col("node") == F.col("keeper")) & (place == 1)
+    # Written, the tables have a known size, and are sent to the texts where they are small.
+    judged = cut_lineage(texts.select("doc", F.col(content).alias("its_content"), "rows", stays.alias("stays"))
+                         .where("not stays or rows > 1"), "judged")
+    twice = cut_lineage(judged.where("stays").select("doc", "its_content"), "twice")
+
+    def of(found: DataFrame, how: str) -> DataFrame:
+        return keyed.join(found, (keyed[f"`{id_col}`"] == found["doc"]) & (keyed[content] == found["its_content"]), how)
+
+    out = of(judged, "left_anti")
+    if not twice.isEmpty():
+        out = out.unionByName(of(twice, "left_semi").dropDuplicates([id_col, content]))
+    return out.drop(content)

@@ -253,6 +253,20 @@ def test_join_equals_plain(documents, copied, join):
     assert partenum.near_duplicates(df.limit(0), join).count() == 0
 
 
+def test_one_row_of_each_group_stays(documents, prose):
+    a, b, c, d = (prose("aa", 80) for _ in range(4))
+    rows = [(1, a, None, None), (2, a, None, None), (2, b, None, None), (3, b, None, None),  # 2 loses a, but keeps b
+            (4, c, None, None), (4, c, None, None), (4, c.upper(), None, None), (5, c, None, None),  # one row of three
+            (6, d + " x", None, None), (6, d, None, None), (7, d, None, None),  # one of two linked texts of an id
+            (8, "", None, None), (8, None, None, None), (None, a, None, None)]
+    df = documents(rows)
+    out = partenum.keep_one(df)
+    assert out.columns == df.columns
+    found = Counter((r["doc_id"], (r["text"] or "").lower()) for r in out.collect())
+    assert found.pop((6, d), 0) + found.pop((6, d + " x"), 0) == 1
+    assert found == {(1, a): 1, (2, b): 1, (4, c): 1, (8, ""): 2, (None, a): 1}
+
+
 def test_linked_sets_share_a_signature():
     rnd = np.random.default_rng(7)
     for percent, subset, apart in ((90, 1, 0), (80, 1, 0), (80, 2, 1), (60, 1, 2)):
