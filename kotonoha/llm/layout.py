@@ -13,8 +13,15 @@ from kotonoha.llm.common import map_rows
 # Fixed values of the HTML standard: kinds of elements by name.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style iframe noembed noframes xmp".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object video audio canvas svg "
-                   "math datalist base link meta param rp area col colgroup".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes video audio canvas "
+                   "datalist base link meta param rp area col colgroup".split())
+#: Text of a drawing stands in the first; what is in the second is not drawn; nor are a formula's notes.
+DRAWN, UNDRAWN = ("text", "foreignobject"), frozenset("defs desc title metadata symbol clippath mask pattern marker".split())
+NOTES = ("annotation", "annotation-xml")
+#: Start tags that end a drawing or formula, unless they stand in one of the second.
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing "
+                   "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 FORMAT = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
                   "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol "
@@ -46,8 +53,11 @@ WIDE, DEEP = 120, 20
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
-SIMPLE = re.compile(r"[a-zA-Z][\w-]*|[.#][\w-]+|\*")
+MARK = re.compile(r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|[{};]""", re.S)
+COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([\d.]+)(px|r?em)\s*\)")
+#: Pages are laid out on a screen of so many pixels.
+SCREEN = 1280
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -100,12 +110,16 @@ class Tree:
                 if m[1]:
                     self.end(name)
                     continue
-                self.start(name, attributes_of(m[3]) if m[3].strip(" /") else {})
-                if name in RAW or name in ("title", "textarea"):
+                foreign = self.inside.get("svg") or self.inside.get("math")
+                self.start(name, given := attributes_of(m[3]) if m[3].strip(" /") else {})
+                if foreign and m[3].endswith("/") and self.open[-1].name == name:
+                    self.close(len(self.open) - 1)
+                elif name in RAW or name in ("title", "textarea"):
                     end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(source, at)
                     inside = source[at:end.start() if end else n]
                     if name == "style":
-                        self.styles.append(inside)
+                        if on_screen(given.get("media", "")):
+                            self.styles.append(inside)
                     elif name not in RAW or name == "xmp":
                         self.text(inside if name == "xmp" else entities.unescape(inside), ready=True)
                     close = source.find(">", end.start()) if end else -1
@@ -127,6 +141,11 @@ class Tree:
     def text(self, text: str, ready: bool = False) -> None:
         if not ready and "&" in text:
             text = entities.unescape(text)
+        if self.inside.get("svg") and self.find(("svg",), ("foreignobject",)) and (
+                not self.find(DRAWN, ("svg",)) or self.find(UNDRAWN, ("svg",))):
+            return
+        if self.inside.get("math") and self.find(NOTES, ("math",)):
+            return
         parent = self.open[-1]
         if parent.name in ("table", "tr") or parent.name in ROWS:
             if not text.strip():
@@ -178,6 +197,10 @@ class Tree:
             return
         if name == "image":
             name = "img"
+        if name in BREAKS and (at := self.find(("svg", "math"), HOLDS_HTML)):
+            self.close(at)
+        if name == "text" and self.inside.get("svg"):
+            attributes = attributes | {"_apart": ""}
         again: list[Node] = []
         if name in ENDS_P and (at := self.find(("p",), WALL)):
             again = self.close(at)
@@ -208,7 +231,9 @@ class Tree:
                     self.close(self.find(ROWS, ("table",)) + 1)
             again = []
         elif (parent := self.open[-1].name) in ("table", "tr") or parent in ROWS:
-            if name not in HIDDEN and name not in ("form", "input"):
+            if name == "form":
+                return  # one that begins among rows holds nothing
+            if name not in HIDDEN and (name != "input" or attributes.get("type", "").lower() != "hidden"):
                 if name == "table":  # a table ends the one it stands in
                     self.end("table")
                     self.push(name, attributes)
@@ -256,18 +281,83 @@ class Tree:
                     self.push(x.name, x.attributes)
 
 
+def on_screen(media: str) -> bool:
+    """Whether one of the media queries holds; unknown features do not."""
+    def holds(query: str) -> bool:
+        negated, query = query.startswith("not "), re.sub(r"^(?:not|only)\s+", "", query)
+        for part in re.split(r"\s+and\s+|\s+and(?=\()", query):
+            if m := WIDTH.fullmatch(part):
+                pixels = float(m[2]) * (1 if m[3] == "px" else 16) if m[2].count(".") < 2 else 0.0
+                true = SCREEN >= pixels if m[1] == "min" else SCREEN <= pixels
+            elif part.startswith("("):
+                return False
+            else:
+                true = part in ("all", "screen")
+            if not true:
+                return negated
+        return not negated
+
+    return not media.strip() or any(holds(q.strip()) for q in media.lower().split(","))
+
+
+def rules_of(sheet: str) -> list[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on a screen, in order.
+
+    Blocks of ``@media`` that hold, ``@layer`` and ``@supports`` without ``not`` are read; all
+    other at-rules are skipped as a whole, and so are rules nested in a rule.
+    """
+    sheet = re.sub(r"/\*.*?(?:\*/|$)", " ", sheet, flags=re.S).replace("<!--", " ").replace("-->", " ")
+    out: list[tuple[str, str]] = []
+    open_: list[list] = []  # kind (group, rule or skip), selectors, declarations
+    at = 0
+    for m in [*MARK.finditer(sheet), None]:
+        if m and m[1]:
+            continue
+        mark, before, at = (m[0] if m else "", sheet[at:m.start() if m else len(sheet)].strip(), m.end() if m else at)
+        kind = open_[-1][0] if open_ else "group"
+        if mark == "{":
+            name, _, given = before.partition(" ")
+            name, _, joined = name.partition("(")
+            if kind != "group":
+                open_.append(["skip", "", ""])
+            elif name.lower() == "@media":
+                held = on_screen(f"({joined} {given}" if joined else given)
+                open_.append(["group" if held else "skip", "", ""])
+            elif name.lower() in ("@layer", "@supports"):
+                open_.append(["skip" if given.lower().startswith("not") else "group", "", ""])
+            else:
+                open_.append(["skip" if name.startswith("@") else "rule", before, ""])
+            continue
+        if kind == "rule":
+            open_[-1][2] += before + ";"
+        if mark == "}" and open_:
+            kind, selectors, body = open_.pop()
+            if kind == "rule":
+                out.append((selectors, body))
+    return out + [(selectors, body) for kind, selectors, body in open_ if kind == "rule"]
+
+
 class Styles:
-    """What style sheets and attributes say about display, visibility and white space."""
+    """What style sheets and attributes say about display, visibility and white space.
+
+    Selectors are names, classes and ids, alone or together; those with
+    attributes, pseudo-classes or combinators match nothing.
+    """
 
     def __init__(self, sheets: list[str]):
-        self.rules: dict[str, dict[str, str]] = {}
+        #: By an id, class or name it needs: ids and classes of a rule in number, place, name, all it needs, what it says.
+        self.rules: dict[str, list[tuple]] = {}
+        place = 0
         for sheet in sheets:
-            sheet = re.sub(r"/\*.*?(?:\*/|$)", "", sheet, flags=re.S)
-            for selectors, body in RULE.findall(sheet):
+            for selectors, body in rules_of(sheet):
                 wanted = self.declarations(body)
                 for selector in selectors.split(",") if wanted else ():
-                    if SIMPLE.fullmatch(selector := selector.strip()):
-                        self.rules.setdefault(selector if selector[0] in ".#" else selector.lower(), {}).update(wanted)
+                    if (selector := selector.strip()) and (m := COMPOUND.fullmatch(selector)):
+                        name, needs = (m[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", m[2]))
+                        ids = sum(x[0] == "#" for x in needs)
+                        place += 1
+                        self.rules.setdefault(min(needs, default=name), []).append(
+                            ((ids, len(needs) - ids, name != "*", place), name, needs, wanted))
 
     @staticmethod
     def declarations(body: str) -> dict[str, str]:
@@ -279,13 +369,15 @@ class Styles:
         return out
 
     def of(self, node: Node) -> dict[str, str]:
-        """Element, class, id, then the element's own style; a later one overrides."""
+        """Rules by their ids, classes, names and places, then the element's own style; a later one overrides."""
         out: dict[str, str] = {}
         given = node.attributes
         if self.rules:
-            keys = ["*", node.name, *(f".{c}" for c in given.get("class", "").split()), f"#{given.get('id', '')}"]
-            for key in keys:
-                out |= self.rules.get(key, {})
+            has = {*(f".{c}" for c in given.get("class", "").split()), f"#{given.get('id', '')}"}
+            found = [r for key in ("*", node.name, *has) for r in self.rules.get(key, ())
+                     if r[1] in ("*", node.name) and r[2] <= has]
+            for rule in sorted(found, key=lambda r: r[0]):
+                out |= rule[3]
         if "style" in given:
             out |= self.declarations(given["style"])
         return out
@@ -356,7 +448,8 @@ def render(source: str) -> str:
     padded columns two blanks apart, each row on as many lines as its tallest
     cell.  Hidden are the head, scripts, styles, templates, embedded media, closed
     details, and what ``hidden``, ``display: none`` or ``visibility: hidden`` (in
-    an attribute or a simple rule) hides.
+    an attribute or a rule for the screen, see ``Styles``) hides.  Formulas and the
+    text of drawings are shown, and what an object without data or type holds.
     """
     tree = Tree(source)
     out = Lines()
@@ -384,7 +477,7 @@ def flow(root: Node, styles: Styles, out: Lines, shown: bool, kept: bool, depth:
         name, given = node.name, node.attributes
         style = styles.of(node) if styles.rules or "style" in given else {}
         display = style.get("display", "")
-        if (name in HIDDEN and name != "col" or display == "none" or "hidden" in given and not display
+        if (name in HIDDEN and name != "col" or name == "object" and ("data" in given or "type" in given) or display == "none" or "hidden" in given and not display
                 or name == "dialog" and "open" not in given
                 or owner is not None and owner.name == "details" and "open" not in owner.attributes and name != "summary"):
             continue
@@ -430,9 +523,9 @@ def flow(root: Node, styles: Styles, out: Lines, shown: bool, kept: bool, depth:
                     out.space = False
                     stack.append((content, shown, kept, lambda: out.line.append("”"), node))
                 else:
-                    if name in CELLS:
+                    if name in CELLS or "_apart" in given:
                         out.word(" ")
-                    stack.append((content, shown, kept, None, node))
+                    stack.append((content, shown, kept, (lambda: out.word(" ")) if "_apart" in given else None, node))
                 continue
             nested = name in ("ul", "ol", "menu", "dir") and lists
             out.block(name in SPACED and not nested)

@@ -184,6 +184,32 @@ CASES = {
 }
 
 
+MORE_CASES = {
+    "<style>@media print {.m{display:none}}</style><p class=m>a": "a",
+    "<style>@import 'x;{'; @media screen and (min-width:600px){.m{display:none}} .n{display:none}</style><p class=m>a<p class=n>b<p>c": "c",
+    "<style>@media (max-width: 600px){.m{display:none}} @supports (a:b){@media print{p{display:none}} .n{display:none}}</style>"
+    "<p class=m>a<p class=n>b": "a",
+    "<style>@media not print{.m{display:none}} @font-face{src:x} @keyframes k{to{display:none}}</style><b class=m>a</b>b": "b",
+    "<style media=print>p{display:none}</style><style>.x{content:'}'; display:none}</style><p>a<p class=x>b": "a",
+    "<style>div.a{display:none} .b.c{display:none} p#d.e{display:none}</style>"
+    "<div class=a>1</div><p class=a>2<p class='c b'>3<p class=b>4<p id=d class=e>5<p id=d>6": "2\n\n4\n\n6",
+    "<style>p.a{display:none} .a{display:block}</style><p class=a>x</p>y": "y",
+    "a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> b": "a x=2 b",
+    "a <svg><title>t</title><defs/><rect/><g>no<text>one</text><text>two <tspan>three</tspan></text></g>"
+    "<defs><text>no</text></defs></svg> b": "a one two three b",
+    "<svg><foreignObject><p>in</p></foreignObject></svg><svg><rect><p>out": "in\n\nout",
+    "<object>a</object><object data=x>b</object>c": "ac",
+    "<table><form>Search <b>x</b><tr><td>1<td>2</form></table>": "Search x\n\n1  2",
+    "<table><tr><form><td>1<input value=a><td>2</table>": "1a  2",
+    "<table><input value=go><input type=hidden value=no><tr><td>1</table>": "go\n\n1",
+}
+
+
+@pytest.mark.parametrize("page", MORE_CASES)
+def test_layout_shows_all_visible_text(page):
+    assert layout.render(page).strip(" ") == MORE_CASES[page]
+
+
 @pytest.mark.parametrize("page", CASES)
 def test_layout(page):
     assert layout.render(page).strip(" ") == CASES[page].strip(" ")
