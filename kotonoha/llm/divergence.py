@@ -40,6 +40,14 @@ class Audit:
     top: int = 200
 
 
+def strings(terms: list[bytes]) -> pa.Array:
+    """UTF-8 terms as a column, from one copy of their bytes."""
+    ends = np.zeros(len(terms) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, terms), np.int64, len(terms)), out=ends[1:])
+    whole = pa.LargeStringArray.from_buffers(len(terms), pa.py_buffer(ends), pa.py_buffer(b"".join(terms)))
+    return whole.cast(pa.string())
+
+
 def document_vectors(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """lang, source, vector: one exact sparse vector of (term, count) for every row; nulls are read as ''."""
     ship(df.sparkSession.sparkContext)
@@ -60,8 +68,7 @@ def document_vectors(df: DataFrame, text_col: str = "text", lang_col: str = "lan
                     terms.extend(found)
                     counts.extend(found.values())
                     ends.append(len(terms))
-                entries = pa.StructArray.from_arrays(
-                    [pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["term", "count"])
+                entries = pa.StructArray.from_arrays([strings(terms), pa.array(counts, pa.int64())], ["term", "count"])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.string()), part.column(1).cast(pa.string()),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], ["lang", "source", "vector"])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotonoha.llm import bpe, chat, divergence, langmix, layout, linefreq, media, mixing, neighbours, partenum, spread, unigram
+from kotonoha.llm import bpe, chat, divergence, hyperplane, langmix, layout, linefreq, media, mixing, neighbours, partenum, spread, unigram
 from kotonoha.llm.common import held_out, table
 
 
@@ -75,6 +75,11 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "copies")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor of embeddings and each of its positives."""
+    return hyperplane.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source of documents against the other ones of its language, and its 200 most telling terms."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -91,7 +96,8 @@ def op13_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_mixture, op2_line_frequency, op3_toxic_neighbours, op4_site_spread, op5_shingle_join, op6_layout_text,
-    op7_unigram_counts, op8_image_payloads, op9_byte_bpe, op10_soft_mixing, op12_source_divergence,
+    op7_unigram_counts, op8_image_payloads, op9_byte_bpe, op10_soft_mixing, op11_hard_negatives, op12_source_divergence,
     op13_chat_turns)}
 ORACLE: dict[str, str] = {"op2_line_frequency": linefreq.oracle(), "op4_site_spread": spread.oracle(),
+                          "op11_hard_negatives": hyperplane.oracle(),
                           "op12_source_divergence": divergence.oracle(), "op13_chat_turns": chat.oracle()}
