@@ -28,9 +28,14 @@ from pyspark.sql import types as T
 
 from kotonoha.llm.common import map_rows
 
-#: States, and chunks of text, remembered by a worker process before it starts over.
-STATES = 300_000
-CHUNKS = 350_000
+#: Arcs that a task remembers before it starts over, about 250 bytes each, and pairs of tokens, about 200 each.
+ARCS, FOLLOWS = 500_000, 250_000
+
+#: What tokens do in states of the decoder, remembered by a task.
+MOVES = 200_000
+
+#: Bytes of the chunks that a task remembers in either of two tables, and those of one besides its text.
+CHUNK_BYTES, CHUNK_COST = 48 << 20, 280
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,16 +44,21 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
 
 
+def beginnings(ranks: dict[bytes, int]) -> set[bytes]:
+    """What tokens begin with, without whole tokens."""
+    return {token[:n] for token in ranks for n in range(1, len(token))}
+
+
 class Transducer:
     """Bytes of a piece in, ids out."""
 
-    def __init__(self, ranks: dict[bytes, int], states: int = STATES):
+    def __init__(self, ranks: dict[bytes, int], arcs: int = ARCS, starts: set[bytes] | None = None):
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
-        self.ranks, self.states, self.worst = ranks, states, max(ranks.values()) + 1
+        self.ranks, self.most, self.worst = ranks, arcs, max(ranks.values()) + 1
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self.ahead = 4 * max(self.length.values())
-        self.starts = {token[:n] for token in ranks for n in range(1, len(token))}
+        self.starts = beginnings(ranks) if starts is None else starts
         self.follows: dict[tuple[bytes, bytes], bool] = {}
         self.edges: dict[bytes, tuple[bytes, ...]] = {}
         self.clear()
@@ -88,7 +98,7 @@ class Transducer:
     def may_follow(self, left: bytes, right: bytes) -> bool:
         """Whether merging the bytes of both gives just these two tokens."""
         if (known := self.follows.get((left, right))) is None:
-            if len(self.follows) > 4 * self.states:
+            if len(self.follows) >= FOLLOWS:
                 self.follows.clear()
             known = self.follows[left, right] = self.merged(left + right) == [left, right]
         return known
@@ -125,7 +135,7 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of a piece, emitted as soon as no byte to come can change them."""
-        if len(self.alive) > self.states:
+        if len(self.arcs) > self.most:
             self.clear()
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
@@ -203,14 +213,17 @@ class Decoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.moves: dict[tuple, dict[int, tuple[str, tuple]]] = {}
+        self.made = 0
         self.whole = {token: made[0] for token in self.tokens if not (made := self.move(self.EMPTY, token))[1][0]}
 
     def move(self, state: tuple, token: int) -> tuple[str, tuple]:
         stream = Utf8Stream()
         stream.due, stream.low, stream.high, stream.code = state
         made = stream.feed(self.tokens[token]), stream.state()
-        if len(self.moves) > 4096:
+        self.made += 1
+        if self.made > MOVES:
             self.moves.clear()
+            self.made = 1
         self.moves.setdefault(state, {})[token] = made
         return made
 
@@ -242,8 +255,9 @@ class Encoder:
     when it is full.  Other texts are cut as a whole.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, chunks: int = CHUNKS):
-        self.transducer, self.pattern, self.most = Transducer(ranks), regex.compile(pattern), chunks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = CHUNK_BYTES, starts: set[bytes] | None = None):
+        self.transducer, self.pattern, self.most = Transducer(ranks, starts=starts), regex.compile(pattern), most
+        self.size = 0
         self.chunks: dict[str, tuple[str, tuple[int, ...]]] = {}
         self.before: dict[str, tuple[str, tuple[int, ...]]] = {}
 
@@ -253,8 +267,9 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> bool:
         """Remembers (ids as decimals, ids) of chunks after a space; False if the context of any matters."""
-        if len(self.chunks) + len(chunks) > self.most:
-            self.chunks, self.before = {}, self.chunks
+        if self.size > self.most:
+            self.chunks, self.before, self.size = {}, self.chunks, 0
+        self.size += CHUNK_COST * len(chunks) + 6 * sum(map(len, chunks))  # its text, and its ids twice
         new = []
         for chunk in chunks:
             if chunk in self.before:
@@ -293,11 +308,17 @@ class Encoder:
         return ids, " ".join(head + [x[0] for x in found])
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> tuple[Encoder, Decoder]:
-    """One of each per worker process."""
+@lru_cache(maxsize=1)
+def known(path: str) -> tuple[dict[bytes, int], set[bytes]]:
+    """What a worker process keeps between tasks: the rank file and its tokens' beginnings, which do not grow."""
     ranks = load_ranks(path)
-    return Encoder(ranks, pattern), Decoder(ranks)
+    return ranks, beginnings(ranks)
+
+
+def codec(path: str, pattern: str) -> tuple[Encoder, Decoder]:
+    """One of each for a task, whose tables go with it."""
+    ranks, starts = known(path)
+    return Encoder(ranks, pattern, starts=starts), Decoder(ranks)
 
 
 def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",

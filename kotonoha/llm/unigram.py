@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from copy import copy
 from functools import lru_cache
 
 import ahocorasick
@@ -15,8 +16,8 @@ from kotonoha.llm.common import map_rows
 #: The mark that stands for a space, and how far below the worst entry an unknown character scores.
 MARK, PENALTY = "▁", 10.0
 
-#: Units of text remembered by a worker process before the older half goes.
-UNITS = 200_000
+#: Units of text remembered by a task before the older half goes, and characters beyond which a unit is not.
+UNITS, LONG = 200_000, 100
 
 
 def load_pieces(path: str) -> tuple[list[tuple[str, float]], bool]:
@@ -50,6 +51,10 @@ class Counter:
         self.bytes, self.most = byte_fallback, units
         # No entry continues over a mark, so the best path has a border before each run of marks.
         self.splits = all(MARK not in piece.lstrip(MARK) for piece, _ in pieces)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the tables of units met."""
         self.units: dict[str, int] = {}
         self.before: dict[str, int] = {}
 
@@ -75,6 +80,8 @@ class Counter:
         return counts[-1]
 
     def unit(self, chunk: str) -> int:
+        if len(chunk) > LONG:
+            return self.best(MARK + chunk)
         if len(self.units) >= self.most // 2:
             self.units, self.before = {}, self.units
         if (made := self.before.get(chunk)) is None:
@@ -99,7 +106,7 @@ class Counter:
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    """One per worker process."""
+    """One per worker process; its automaton does not grow, and every task fills tables of its own."""
     return Counter(*load_pieces(path))
 
 
@@ -110,7 +117,9 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     must lie at ``path`` on every executor.
     """
     def make():
-        count = counter(path).count
+        known = copy(counter(path))
+        known.forget()
+        count = known.count
         return lambda text: (count(text or ""),)
 
     return map_rows(df, make, [text_col], [id_col], [T.StructField("n_tokens", T.LongType())])

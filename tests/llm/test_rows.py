@@ -45,8 +45,8 @@ def test_bpe_equals_the_library(library):
 
 
 def test_bpe_tables_that_fill_up(library):
-    encoder = bpe.Encoder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN, chunks=7)
-    encoder.transducer.states = 40
+    encoder = bpe.Encoder(bpe.load_ranks(RANKS), public_tokenizers.PATTERN, most=2000)
+    encoder.transducer.most = 60
     rnd = random.Random(2)
     for _ in range(300):
         text = " ".join("".join(rnd.choice("thernoia") for _ in range(rnd.randint(1, 9))) for _ in range(12))
