@@ -16,8 +16,8 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Limits:
-    """A line in more than ``documents`` different texts of a host goes; a text that
-    keeps less than ``remaining`` per cent of the words of its different lines is rejected."""
+    """A line in more than ``documents`` documents of a host goes; a text that
+    keeps less than ``remaining`` per cent of the words of its lines is rejected."""
 
     documents: int = 10
     remaining: int = 30
@@ -69,101 +69,100 @@ def repeated_words(of: Column) -> Column:
     return F.when(F.size(of) < 4, F.lit(0)).otherwise(covered)
 
 
-def distinct_lines(text: Column) -> Column:
-    """(hash, words) of a text's different normalised lines."""
-    return F.transform(F.array_distinct(F.transform(filled_lines(text), normal)),
-                       lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("n")))
+def hashed_lines(text: Column, host: Column) -> Column:
+    """(line, n, first) of all filled lines of a text: the hash of host and normalised line, its words, and whether
+    it is the first of its kind."""
+    marked = F.transform(filled_lines(text), lambda x: let(normal(x), lambda y: F.struct(
+        F.xxhash64(host, y).alias("line"), F.size(F.split(y, " ")).alias("n"))))
+    return let(F.sort_array(marked), lambda o: F.transform(o, lambda x, i: F.struct(
+        x["line"].alias("line"), x["n"].alias("n"),
+        ((i == 0) | (o[F.greatest(i - 1, F.lit(0))]["line"] != x["line"])).alias("first"))))
 
 
-def base_counts(df: DataFrame, limits: Limits, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """A row's counts, its host and the hash of its text."""
-    text = F.coalesce(quoted(text_col), F.lit(""))
+def row_key(id_col: str, text_col: str, host_col: str) -> Column:
+    """A hash of what tells documents apart: id, host and text."""
+    return F.xxhash64(quoted(id_col).isNull(), quoted(id_col), F.coalesce(quoted(host_col).cast("string"), F.lit("")),
+                      F.coalesce(quoted(text_col), F.lit("")))
+
+
+def measured(df: DataFrame, limits: Limits, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """Of every row its key, id, counts, lines and a number, from one pass over the texts; written without the texts."""
     rows = df.select(quoted(id_col).alias("doc"), F.coalesce(quoted(host_col).cast("string"), F.lit("")).alias("host"),
-                     text.alias("t"))
+                     F.coalesce(quoted(text_col), F.lit("")).alias("t"), row_key(id_col, text_col, host_col).alias("row"))
+    text = F.col("t")
     counted = rows.select(
-        "doc", "host", F.xxhash64("t").alias("content"),
-        let(words(F.col("t")), lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("w"),
+        "doc", "row",
+        let(words(text), lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("w"),
         F.length(F.translate("t", BLANKS, "")).alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).alias("n_symbols"),
-        let(filled_lines(F.col("t")), lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
-        F.aggregate(distinct_lines(F.col("t")), F.lit(0), lambda a, x: a + x["n"]).alias("line_words"))
-    longs = ("word_chars", "n_symbols", "n_dup_lines")
-    out = counted.select("doc", "host", "content", "line_words", *[F.col(c).cast("long") for c in longs],
+        let(filled_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
+        hashed_lines(text, F.col("host")).alias("lines"))
+    out = counted.select("doc", "row", *[F.col(c).cast("long") for c in ("word_chars", "n_symbols", "n_dup_lines")],
                          F.col("w.n_words").cast("long").alias("n_words"),
-                         F.col("w.n_repeat_words").cast("long").alias("n_repeat_words"))
-    return out.withColumn("base_failed", (F.col("n_words") < limits.words)
-                          | (100 * F.col("n_repeat_words") > limits.repeated * F.col("n_words")))
+                         F.col("w.n_repeat_words").cast("long").alias("n_repeat_words"), "lines",
+                         F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("line_words"))
+    out = out.withColumn("base_failed", (F.col("n_words") < limits.words)
+                         | (100 * F.col("n_repeat_words") > limits.repeated * F.col("n_words")))
+    return cut_lineage(out.withColumn("at", F.monotonically_increasing_id()), "measured")
 
 
-def frequent_words(df: DataFrame, limits: Limits, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """host, content, gone, line_words, lines: words of the frequent lines that a text loses, and of all its
-    lines, and the hashes of the lines it loses.
+def frequent_words(rows: DataFrame, limits: Limits) -> DataFrame:
+    """row, gone, lost: words of the frequent lines that a document loses, and the hashes of these lines.
 
-    Rows of a line are merged per text before they are counted, on either side of
-    each shuffle, and counted per host and line.  The text of the smallest id
-    that has a line keeps it, so that no line vanishes from its host.
+    ``rows`` are those of ``measured``; repeated ones are one document.  Documents
+    are counted per host and line where the lines are read, then merged, so a hot line is exchanged as
+    one row for each task.  The smallest id that has a line keeps it, so that no
+    line vanishes from its host.
     """
-    text = F.coalesce(quoted(text_col), F.lit(""))
-    texts = df.select(quoted(id_col).alias("doc"), F.coalesce(quoted(host_col).cast("string"), F.lit("")).alias("host"),
-                      F.xxhash64(text).alias("content"), distinct_lines(text).alias("lines"))
-    lines = texts.select("doc", "host", "content", F.aggregate("lines", F.lit(0), lambda a, x: a + x["n"]).alias("line_words"),
-                         F.explode("lines").alias("x"))
-    of_texts = (lines.groupBy("host", F.col("x.line").alias("line"), "content")
-                .agg(F.min("doc").alias("doc"), F.max("x.n").alias("n"), F.max("line_words").alias("line_words")))
-    frequent = (of_texts.groupBy("host", "line")
-                .agg(F.count(F.lit(1)).alias("documents"), F.min(F.struct(F.col("doc").isNull(), "doc", "content")).alias("first"))
-                .where(F.col("documents") > limits.documents)
-                # Joined by a key of its own, both sides are exchanged and a hot line's partition can be split.
-                .select(F.xxhash64("host", "line").alias("key"), F.col("host").alias("its_host"),
-                        F.col("line").alias("its_line"), F.col("first.content").alias("keeper")))
-    met = of_texts.withColumn("key", F.xxhash64("host", "line")).join(frequent, "key")
-    met = met.where((F.col("host") == F.col("its_host")) & (F.col("line") == F.col("its_line"))
-                    & (F.col("content") != F.col("keeper")))
-    return met.groupBy("host", "content").agg(
-        F.sum("n").alias("gone"), F.max("line_words").alias("line_words"), F.collect_list("line").alias("lines"))
+    again = (rows.groupBy("row").agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("kept_at")).where("c > 1")
+             .select(F.col("row").alias("its_row"), "kept_at"))
+    once = rows.select("row", "doc", "at", "lines").join(again, F.col("row") == F.col("its_row"), "left")
+    once = once.where(F.col("kept_at").isNull() | (F.col("at") == F.col("kept_at")))
+    lines = once.select("row", "doc", F.explode("lines").alias("x")).select("row", "doc", "x.*")
+    frequent = (lines.where("first").groupBy("line").agg(F.count(F.lit(1)).alias("documents"), F.min("doc").alias("keeper"))
+                .where(F.col("documents") > limits.documents).select(F.col("line").alias("its_line"), "keeper"))
+    met = lines.join(frequent, F.col("line") == F.col("its_line")).where(~F.col("doc").eqNullSafe(F.col("keeper")))
+    return met.groupBy("row").agg(F.sum("n").alias("gone"), F.collect_set("line").alias("lost"))
+
+
+def enough(limits: Limits, gone: Column) -> Column:
+    """Whether a row passes the counts and keeps enough of its words."""
+    return ~F.col("base_failed") & (100 * (F.col("line_words") - gone) >= limits.remaining * F.col("line_words"))
 
 
 def judge(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text",
           host_col: str = "source") -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept of every row.
 
-    A null text is empty, a null host is the host ''.  Equal texts of a host are
-    one document when lines are counted, and share their verdict; rows without an
-    id keep a line only if no row with one has it.  Repeated rows
-    give repeated rows.  Of equal ids with different texts, the smaller hash keeps
-    a line.  Other columns are left out.
+    A null text is empty, a null host is the host ''.  Documents are told apart
+    by id, host and text: copies under other ids count, repeated rows are one
+    document and give repeated rows.  Rows that share the smallest id of a line keep it all; rows without an id keep
+    a line only if no row with one has it.  An empty table gives no rows.  Other columns are left out.  A task holds one text's words.
     """
-    base = base_counts(df, limits, id_col, text_col, host_col).withColumn("key", F.xxhash64("host", "content"))
-    gone = frequent_words(df, limits, id_col, text_col, host_col).select(
-        F.xxhash64("host", "content").alias("key"), F.col("gone"))
+    rows = measured(df, limits, id_col, text_col, host_col)
+    gone = frequent_words(rows, limits).select(F.col("row").alias("its_row"), "gone")
     removed = F.coalesce("gone", F.lit(0)).cast("long")
-    return base.join(gone, "key", "left").select(
+    return rows.drop("lines").join(gone, F.col("row") == F.col("its_row"), "left").select(
         F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        removed.alias("removed_words"),
-        (~F.col("base_failed") & (100 * (F.col("line_words") - removed) >= limits.remaining * F.col("line_words"))).alias("kept"))
+        removed.alias("removed_words"), enough(limits, removed).alias("kept"))
 
 
-def without_lines(rows: DataFrame, df: DataFrame, limits: Limits, id_col: str, text_col: str, host_col: str,
-                  remaining: int = 0) -> DataFrame:
-    """Those of ``rows`` that keep ``remaining`` per cent of their words, without the lines frequent in ``df``.
+def without_lines(df: DataFrame, verdicts: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """The rows of ``df`` that ``verdicts`` (row, kept, lost) keep or do not name, without the lines they lose.
 
-    What a text loses depends on host and text alone.  It is written without the
-    texts and read back, so that its size is known: the texts are shuffled only
-    where it is too large to be sent to them.
+    The verdicts are written without the texts and read back, so that their size
+    is known: the texts are shuffled only where it is too large to be sent to them.
     """
-    names = ["_host", "_content", "_lines", "_left"]
+    names = ["_row", "_lost", "_kept"]
     while set(names) & set(df.columns):
         names = [n + "_" for n in names]
-    host, content, lines, share = names
-    gone = cut_lineage(frequent_words(df, limits, id_col, text_col, host_col).select(
-        F.col("host").alias(host), F.col("content").alias(content), F.col("lines").alias(lines),
-        (100 * (F.col("line_words") - F.col("gone")) >= remaining * F.col("line_words")).alias(share)), "frequent")
-    text = quoted(text_col)
-    left = F.when(F.col(lines).isNull(), text).otherwise(F.array_join(
-        F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col(lines), F.xxhash64(normal(x)))), "\n"))
-    keyed = rows.withColumns({host: F.coalesce(quoted(host_col).cast("string"), F.lit("")),
-                              content: F.xxhash64(F.coalesce(text, F.lit("")))})
-    return (keyed.join(gone, [host, content], "left").where(F.coalesce(share, F.lit(True)))
+    row, lost, kept = names
+    known = cut_lineage(verdicts.select(F.col("row").alias(row), F.col("lost").alias(lost), F.col("kept").alias(kept)).distinct(), "verdicts")
+    text, host = quoted(text_col), F.coalesce(quoted(host_col).cast("string"), F.lit(""))
+    left = F.when(F.col(lost).isNull(), text).otherwise(F.array_join(
+        F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col(lost), F.xxhash64(host, normal(x)))), "\n"))
+    return (df.withColumn(row, row_key(id_col, text_col, host_col)).join(known, row, "left")
+            .where(F.coalesce(F.col(kept), F.lit(True)))
             .select(*[left.alias(c) if c == text_col else quoted(c) for c in df.columns]))
 
 
@@ -171,24 +170,29 @@ def remove_frequent(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc
                     host_col: str = "source") -> DataFrame:
     """The rows of ``df`` with the frequent lines of their hosts taken out of their texts.
 
-    Every place of such a line goes, but not from texts equal to the one that
-    keeps it (see ``judge``).  Other lines, empty ones too, stay as they are; so
+    Every place of such a line goes, but not from the rows of the id that keeps it
+    (see ``judge``).  Other lines, empty ones too, stay as they are; so
     do all rows, null texts and further columns.
     """
-    return without_lines(df, df, limits, id_col, text_col, host_col)
+    rows = measured(df, limits, id_col, text_col, host_col)
+    losing = frequent_words(rows, limits).select("row", "lost", F.lit(True).alias("kept"))
+    return without_lines(df, losing, id_col, text_col, host_col)
 
 
 def reject(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text",
            host_col: str = "source") -> DataFrame:
     """The rows of ``df`` whose text is kept, without the frequent lines, with all their columns.
 
-    Texts are judged whole, as in ``judge``.  Rows that fail the counts are
-    filtered where they are read; their lines count all the same, and one of them
-    may be the text that keeps a line.
+    Texts are judged whole, as in ``judge``.  The lines of rows that fail count
+    all the same, and one of them may be the document that keeps a line.
     """
-    passed = df.where(let(words(F.coalesce(quoted(text_col), F.lit(""))), lambda w: (
-        (F.size(w) >= limits.words) & (100 * repeated_words(w).cast("long") <= limits.repeated * F.size(w).cast("long")))))
-    return without_lines(passed, df, limits, id_col, text_col, host_col, limits.remaining)
+    rows = measured(df, limits, id_col, text_col, host_col)
+    gone = frequent_words(rows, limits).withColumnRenamed("row", "its_row")
+    judged = rows.drop("lines").join(gone, F.col("row") == F.col("its_row"), "left")
+    judged = judged.withColumn("kept", enough(limits, F.coalesce("gone", F.lit(0))))
+    named = judged.where(~F.col("kept") | F.col("lost").isNotNull())
+    lost = F.when(F.col("kept"), F.col("lost"))
+    return without_lines(df, named.select("row", lost.alias("lost"), "kept"), id_col, text_col, host_col)
 
 
 def oracle(limits: Limits = Limits()) -> str:
@@ -204,18 +208,18 @@ rep AS (SELECT rid, count(DISTINCT p) AS n FROM (
 l AS (SELECT rid, x, lower(trim(regexp_replace(x, '{BLANK}', ' ', 'g'))) AS norm
       FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d)),
 dup AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM l WHERE norm <> '' GROUP BY rid),
-tl AS (SELECT host, norm, t, min(doc_id) AS doc, max(len(string_split(norm, ' '))) AS n
-       FROM l JOIN d USING (rid) WHERE norm <> '' GROUP BY host, norm, t),
-f AS (SELECT host, norm, arg_min(t, doc) AS keeper FROM tl GROUP BY host, norm HAVING count(*) > {limits.documents}),
-lost AS (SELECT tl.host, tl.t, sum(n) AS gone FROM tl JOIN f ON tl.host = f.host AND tl.norm = f.norm AND tl.t <> f.keeper
-         GROUP BY tl.host, tl.t),
-whole AS (SELECT host, t, sum(n) AS line_words FROM tl GROUP BY host, t),
-b AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(w.t, '{BLANK}', '', 'g')) AS word_chars,
+tl AS (SELECT d.doc_id, host, t, norm, sum(len(string_split(norm, ' '))) AS n
+       FROM (SELECT DISTINCT ON (doc_id, host, t) * FROM d) d JOIN l USING (rid) WHERE norm <> '' GROUP BY ALL),
+f AS (SELECT host, norm, min(doc_id) AS keeper FROM tl GROUP BY host, norm HAVING count(*) > {limits.documents}),
+lost AS (SELECT tl.doc_id, tl.host, tl.t, sum(n) AS gone FROM tl JOIN f ON tl.host = f.host AND tl.norm = f.norm
+         WHERE tl.doc_id IS DISTINCT FROM f.keeper GROUP BY ALL),
+whole AS (SELECT rid, sum(len(string_split(norm, ' '))) AS line_words FROM l WHERE norm <> '' GROUP BY rid),
+b AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(w.t, '{BLANK}', '', 'g')) AS word_chars,
         length(w.t) - length(translate(w.t, '{SYMBOLS}', '')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
         coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone, 0)::BIGINT AS removed_words,
         coalesce(line_words, 0)::BIGINT AS line_words
-      FROM w LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid)
-      LEFT JOIN lost ON lost.host = w.host AND lost.t = w.t LEFT JOIN whole ON whole.host = w.host AND whole.t = w.t)
+      FROM w LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN whole USING (rid)
+      LEFT JOIN lost ON lost.doc_id IS NOT DISTINCT FROM w.doc_id AND lost.host = w.host AND lost.t = w.t)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {limits.words} OR 100 * n_repeat_words > {limits.repeated} * n_words AS base_failed, removed_words,
   NOT (n_words < {limits.words} OR 100 * n_repeat_words > {limits.repeated} * n_words)

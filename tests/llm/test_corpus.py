@@ -59,15 +59,17 @@ def test_expectation_maximisation_climbs():
 
 # Quality rules
 
-def plain_quality(rows, limits):
-    texts = defaultdict(lambda: None)  # (host, text): smallest id
-    for i, t, _, s in rows:
-        key = (s or "", t or "")
-        texts[key] = i if texts[key] is None else min(x for x in (texts[key], i) if x is not None) if i is not None else texts[key]
-    lines = defaultdict(list)
-    for (host, text), i in texts.items():
+def plain_lines(rows):
+    """Documents of every (host, line), and the smallest id among them."""
+    has = defaultdict(set)
+    for i, text, host in {(i, t or "", s or "") for i, t, _, s in rows}:
         for line in {normal(x) for x in text.split("\n")} - {""}:
-            lines[host, line].append((math.inf if i is None else i, text))
+            has[host, line].add((i, text))
+    return has, {k: min((i for i, _ in of if i is not None), default=None) for k, of in has.items()}
+
+
+def plain_quality(rows, limits):
+    has, keeper = plain_lines(rows)
     out = {}
     for i, t, _, s in rows:
         text, host = t or "", s or ""
@@ -77,9 +79,8 @@ def plain_quality(rows, limits):
             seen[tuple(ws[k:k + 3])].append(k)
         repeated = {p + d for places in seen.values() if len(places) > 1 for p in places for d in range(3)}
         filled = [x for x in text.split("\n") if words_of(x)]
-        own = {normal(x) for x in filled}
-        gone = sum(len(x.split(" ")) for x in own
-                   if len(lines[host, x]) > limits.documents and min(lines[host, x])[1] != text)
+        own = [normal(x) for x in filled]
+        gone = sum(len(x.split(" ")) for x in own if len(has[host, x]) > limits.documents and keeper[host, x] != i)
         failed = len(ws) < limits.words or 100 * len(repeated) > limits.repeated * len(ws)
         whole = sum(len(x.split(" ")) for x in own)
         out[i, text] = (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text), len(filled) - len(set(filled)),
@@ -119,15 +120,13 @@ def test_quality_equals_plain(documents, lined):
 
 def plain_removal(rows, limits):
     """Ids and texts of the rows, without the frequent lines of their hosts."""
-    texts = {(s or "", t or "", i) for i, t, _, s in rows}
-    has = defaultdict(dict)  # (host, line): text: smallest id
-    for host, text, i in texts:
-        for line in {normal(x) for x in text.split("\n")} - {""}:
-            of = has[host, line]
-            of[text] = min(of.get(text, math.inf), math.inf if i is None else i)
-    keeper = {key: min(of, key=of.get) for key, of in has.items() if len(of) > limits.documents}
-    return [(i, None if t is None else "\n".join(
-        x for x in t.split("\n") if keeper.get((s or "", normal(x)), t) == t)) for i, t, _, s in rows]
+    has, keeper = plain_lines(rows)
+
+    def stays(key, i):
+        return len(has[key]) <= limits.documents or keeper[key] == i
+
+    return [(i, None if t is None else "\n".join(x for x in t.split("\n") if not normal(x) or stays((s or "", normal(x)), i)))
+            for i, t, _, s in rows]
 
 
 def test_removal_equals_plain(documents, lined):
@@ -154,6 +153,16 @@ def test_quality_stage_takes_a_line_of_one_host(spark, documents, prose):
     assert all(r["n_chars"] == len(r["text"]) for r in out)
 
 
+def test_copies_count_as_documents(documents, prose):
+    text = prose("aa", 60) + "\n" + prose("bb", 60)
+    rows = [(i, text, "aa", "s1") for i in range(12)] + [(40 + i, text, "aa", "s2") for i in range(10)]
+    rows += [(101 + i, f"footer line\n{prose('cc', 60)}", "cc", "s3") for i in range(11)]
+    rows += [(200, prose("cc", 70) + "\nfooter line" * 90, "cc", "s3")]
+    found = {r["doc_id"]: r for r in linefreq.judge(documents(rows + rows[12:22])).collect()}
+    assert [i for i in range(12) if found[i]["kept"]] == [0] and all(found[40 + i]["kept"] for i in range(10))
+    assert [found[i]["removed_words"] for i in (101, 102, 200)] == [0, 2, 180]  # every place of the line
+
+
 def test_repeated_words_of_a_long_text(documents):
     text = "a b c d " * 20000 + " ".join(f"w{i}" for i in range(30000))
     row = linefreq.judge(documents([(1, text, "aa", "s")])).head()
