@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from kotonoha.llm.common import map_rows, quoted, ship
 
+#: Letters, and signs of numbers such as ½ that have to be told from them.
 LETTER = re.compile(r"[^\W\d_]")
 #: What is no letter becomes one blank, so that grams hold letters and borders of words.
 OTHERS = re.compile(r"(?:[^\w]|[\d_])+")
@@ -38,6 +40,11 @@ class Mixture:
     tolerance: float = 1e-3
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character belongs to one of the categories of letters."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in LETTER.finditer(text))
+
+
 def cells_of(text: str, model: Mixture) -> np.ndarray:
     """Cell of every gram of a text's letters."""
     data = np.frombuffer((" " + OTHERS.sub(" ", text.lower()) + " ").encode(), np.uint8).astype(np.uint32)
@@ -53,7 +60,8 @@ def gram_counts(df: DataFrame, model: Mixture, label_col: str, text_col: str) ->
     """label, cell, n: grams of a bounded sample of each label's texts."""
     ship(df.sparkSession.sparkContext)
     rows = df.where(quoted(label_col).isNotNull() & quoted(text_col).isNotNull()).select(
-        quoted(label_col).cast("string").alias("label"), quoted(text_col).cast("string").alias("text"))
+        F.make_valid_utf8(quoted(label_col).cast("string")).alias("label"),
+        F.make_valid_utf8(quoted(text_col).cast("string")).alias("text"))
     per_label = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for label, n in sorted(per_label.items()):
@@ -117,7 +125,7 @@ def proportions(text: str, shares: np.ndarray, model: Mixture) -> np.ndarray | N
     concave in the proportions, so its slope towards a language bounds what that
     language can gain and spares most fits.
     """
-    if not LETTER.search(text):
+    if not has_letter(text):
         return None
     found = np.bincount(cells_of(text, model), minlength=shares.shape[1])
     cells = np.flatnonzero(found)

@@ -32,4 +32,4 @@ def prose():
 
 #: Texts that every operator must take.
 ODD = [None, "", " ", "\n\n", "a", "ü", "\x0b\x0c", "   two  words ", "1234 5678", "漢字かな 😀 text", "x" * 5000,
-       "word " * 3000, "same line\nsame line\nsame line", "tab\tand\r\nreturn", "▁ ▁▁", "#*$%&|<> !!"]
+       "word " * 3000, "same line\nsame line\nsame line", "tab\tand\r\nreturn", "▁ ▁▁", "#*$%&|<> !!", "½ ² 12 ⅷ"]

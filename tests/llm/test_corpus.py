@@ -40,13 +40,20 @@ def test_proportions_and_choice_of_languages(spark, documents, prose):
     out = langmix.identify(odd, labels, shares, settings).collect()
     assert len(out) == len(ODD) + 2
     by_id = {r["doc_id"]: r for r in out}
-    for i in (0, 1, 2, 3, 6, 8, 15):
+    for i in (0, 1, 2, 3, 6, 8, 15, 16):
         assert (by_id[i]["lang_pred"], by_id[i]["score"], by_id[i]["languages"]) == ("und", 0.0, [])
     assert by_id[None]["lang_pred"] == "cc" and all(0 <= r["score"] <= 1 for r in out)
     nothing = langmix.fit(documents([]), settings)
     assert nothing[0] == [] and {r["lang_pred"] for r in langmix.identify(odd, *nothing, settings).collect()} == {"und"}
 
 
+def test_learning_from_broken_utf8(spark, documents, prose):
+    df = documents([(i, prose("aa", 50), "aa", "s") for i in range(4)])
+    broken = df.withColumn("text", F.when(F.col("doc_id") == 1, F.expr("cast(X'61FF62' AS string)")).otherwise(F.col("text")))
+    labels, shares = langmix.fit(broken, langmix.Mixture())
+    assert labels == ["aa"] and {r["lang_pred"] for r in langmix.identify(broken, labels, shares, langmix.Mixture()).collect()} == {"aa"}
+
+
 def test_expectation_maximisation_climbs():
     rnd = np.random.default_rng(3)
     likely, counts = rnd.dirichlet(np.ones(40), 3).T, rnd.integers(1, 9, 40).astype(float)
@@ -176,7 +183,7 @@ def plain_spread(rows, settings):
     for i, t, _, s in rows:
         for line in (t or "").split("\n"):
             n = normal(line)
-            if len(n.split(" ")) >= settings.words:
+            if n:
                 if s is not None:
                     sites[n].add(s)
                 if i is not None:
@@ -184,14 +191,14 @@ def plain_spread(rows, settings):
     out = []
     for i, t, _, s in rows:
         left = [x for x in (t or "").split("\n")
-                if len(sites[normal(x)]) < settings.sites or keeper.get(normal(x)) == i]
+                if not normal(x) or len(sites[normal(x)]) < settings.sites or keeper.get(normal(x)) == i]
         out.append((i, None if t is None else "\n".join(left)))
     return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("sites", [1, 2, 3])
 def test_spread_equals_plain(documents, lined, sites):
-    settings = spread.Spread(sites=sites, words=2)
+    settings = spread.Spread(sites=sites)
     df = documents([*lined, lined[7]])
     out = spread.remove_boilerplate(df, settings)
     assert out.columns == df.columns
