@@ -61,8 +61,7 @@ def remove_boilerplate(df: DataFrame, settings: Spread = Spread(), id_col: str =
     somewhere.  A null text stays null; a null site counts for nothing; rows
     without an id keep a line only if no row with one has it.  ``counts`` adds
     ``n_lines`` and ``n_removed``, in place of columns of these names.  The sites of a hot line merge before the
-    shuffle.  What texts lose is written without them and read back, so that its size is known: the
-    texts are shuffled only where it is too large to be sent to them.  An empty table gives no rows; a task holds one text.
+    shuffle.  Texts are exchanged once whatever they lose, so the job behaves alike at every size.  An empty table gives no rows; a task holds one text.
     """
     names = {"_row", "_places"}
     while names & set(df.columns):
@@ -74,13 +73,13 @@ def remove_boilerplate(df: DataFrame, settings: Spread = Spread(), id_col: str =
     gone = (lines.withColumn("key", F.hash("line")).join(found, "key")
             .where((F.col("line") == F.col("its_line")) & ~F.col("doc").eqNullSafe(F.col("keeper")))
             .groupBy("row").agg(F.collect_set("place").alias(places)))
-    gone = cut_lineage(gone.select(F.col("row").alias(row), places), "places")
+    gone = gone.select(F.col("row").alias(row), places)
     text = quoted(text_col)
     cut = F.split(text, "\n")
     keep = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(places))
     left = F.when(F.col(places).isNull(), text).otherwise(
         F.array_join(F.transform(F.array(cut), lambda x: F.transform(keep, lambda i: x[i]))[0], "\n"))
-    joined = df.withColumn(row, row_key(id_col, text_col, site_col)).join(gone, row, "left")
+    joined = df.withColumn(row, row_key(id_col, text_col, site_col)).join(gone.hint("merge"), row, "left")
     extra = [F.when(text.isNull(), 0).otherwise(F.size(cut)).cast("long").alias("n_lines"),
              F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_removed")] if counts else []
     kept = [c for c in df.columns if not counts or c not in ("n_lines", "n_removed")]
