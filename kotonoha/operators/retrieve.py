@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from kotonoha import fixed
 from kotonoha.functions import kana, text
-from kotonoha.plans.scaling import by_key, salted_join
+from kotonoha.plans.scaling import by_key, salted_join, sliced_join
+from kotonoha.session import cut_lineage
 
 
 # -- character n-grams ---------------------------------------------------------------
@@ -41,7 +42,7 @@ def ngram_candidates(grams: DataFrame, items: DataFrame, threshold: float | Colu
     salted gram instead.
 
     With a ``threshold`` only pairs that can reach the score need to be found:
-    those of fitting sizes that share one of the query's rarest grams (items with
+    those that share one of the rarest grams of both sides (items with
     gram arrays), or those of fitting sizes (postings).  ``on`` adds join columns
     (a posting).
     """
@@ -49,7 +50,7 @@ def ngram_candidates(grams: DataFrame, items: DataFrame, threshold: float | Colu
     carried = [c for c in grams.columns if c not in ("query_id", "gram", "q_grams", *(on or []))]
     if threshold is not None and "grams" in items.columns:
         t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-        return _rarest_candidates(grams, items, t, keys, carried, salts)
+        return prefix_candidates(grams, items, t, on or [], carried)
     if "grams" in items.columns:
         placed = by_key(items, "item_id")
         posts = placed.select(*(on or []), "item_id", "n_grams", F.explode("grams").alias("gram"))
@@ -63,31 +64,71 @@ def ngram_candidates(grams: DataFrame, items: DataFrame, threshold: float | Colu
     return pairs.groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("overlap"), *first)
 
 
-def _rarest_candidates(grams: DataFrame, items: DataFrame, t: Column, keys: list[str], carried: list[str],
-                       salts: int | None) -> DataFrame:
-    """Pairs by the query's rarest grams only; the overlap is counted in the row.
+def gram_order(items: DataFrame) -> DataFrame:
+    """gram, code: the items' grams numbered by rising frequency.
 
-    Dice >= t with an item of a fitting size needs t / (2 - t) of the query's
-    grams, so a pair shares one of any set that leaves out fewer than these.  The
-    set with the shortest postings is read.  A pair that shares several of them is
-    kept at the first, so nothing is grouped afterwards.
+    A range-partitioned sort gives the order and the row numbers of the sorted
+    partitions the codes, so no task sees the whole vocabulary.  Written, because the
+    codes must not change between uses.
     """
-    on = keys[:-1]
-    freq = items.select(*on, F.explode("grams").alias("gram")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    by_query = (grams.join(freq, keys, "left").groupBy("query_id", *on, *carried, "q_grams")
-                .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("known")))
-    needed = F.ceil(t * F.col("q_grams") / (2.0 - t) - 1e-6)
-    rare = F.transform(F.filter(F.slice("known", F.lit(1), (F.col("q_grams") - F.greatest(needed, F.lit(1)) + 1).cast("int")),
-                                lambda x: x["n"] > 0), lambda x: x["gram"])
-    asked = by_query.select("query_id", *on, *carried, "q_grams", F.transform("known", lambda x: x["gram"]).alias("all_grams"),
-                            rare.alias("rare_grams"))
-    asked = asked.withColumn("gram", F.explode("rare_grams"))
-    posts = by_key(items, "item_id").select(*on, "item_id", "n_grams", "grams", F.explode("grams").alias("gram"))
-    pairs = salted_join(posts, asked, keys, ["item_id"], salts=salts)
-    pairs = pairs.where(length_window(F.col("n_grams"), F.col("q_grams"), t)).where(
-        F.array_intersect("rare_grams", "grams")[0] == F.col("gram"))
-    return pairs.select("query_id", "item_id", F.size(F.array_intersect("all_grams", "grams")).cast("long").alias("overlap"),
-                        "q_grams", "n_grams", *carried)
+    counted = items.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(counted.orderBy("n", "gram").select("gram", F.monotonically_increasing_id().alias("code")), "gram-order")
+
+
+def prefix_length(size: Column, t: Column) -> Column:
+    """How many of a set's rarest grams are enough: a pair of dice >= t shares t / (2 - t) of either set's grams at least."""
+    return (size - F.greatest(F.ceil(t * size / (2.0 - t) - 1e-6), F.lit(1)) + 1).cast("int")
+
+
+def code_mask(codes: str) -> Column:
+    """64 bits of an array of codes; a code sets one."""
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))))
+
+
+def coded_items(items: DataFrame, order: DataFrame, on: list[str]) -> DataFrame:
+    """on..., item_id, n_grams, codes: an item's grams as codes, the rarest first.  Equal item ids are one item."""
+    rows = by_key(items, "item_id").select(*on, "item_id", "n_grams", F.explode("grams").alias("gram"))
+    return (rows.join(order, "gram").groupBy(*on, "item_id", "n_grams")
+            .agg(F.sort_array(F.collect_set("code")).alias("codes")))
+
+
+def prefix_candidates(grams: DataFrame, items: DataFrame, t: Column, on: list[str], carried: list[str]) -> DataFrame:
+    """query_id, item_id, overlap, q_grams, n_grams of all pairs of dice >= t, by the rarest grams of both sides.
+
+    Grams are numbered by rarity.  Two sets that are similar enough share one of
+    the first grams of both, so only these prefixes become postings.  The first
+    gram they share, at place i of one and j of the other, leaves at most
+    min(a - i, b - j) shared grams, and every bit in which the masks of their
+    codes differ stands for a gram of only one; pairs that cannot reach the score so are
+    not compared.  The others are compared once, at their first shared gram, by
+    intersecting the codes.  Both prefixes are dealt by gram over all of the
+    session's partitions; grams with many postings are cut into slices of measured number.
+    """
+    items = cut_lineage(items.select(*on, "item_id", "n_grams", "grams"), "gram-items")  # read twice
+    order = gram_order(items)
+    asked = (grams.join(order, "gram", "left").groupBy("query_id", *on, *carried, "q_grams")
+             .agg(F.sort_array(F.collect_set("code")).alias("q_codes")))
+    asked = cut_lineage(asked.withColumn("_t", t), "coded-queries")
+    unknown = F.col("q_grams") - F.size("q_codes")  # grams no item has are the rarest of all
+    least = asked.agg(F.min("_t").alias("_least"))
+    asked = asked.select("query_id", *on, *carried, "q_grams", "_t", "q_codes", unknown.alias("_unknown"), code_mask("q_codes").alias("_q_mask"), F.posexplode(F.slice(
+        "q_codes", F.lit(1), F.greatest(prefix_length(F.col("q_grams"), F.col("_t")) - unknown, F.lit(0)))).alias("_i", "code"))
+    posts = coded_items(items, order, on).crossJoin(F.broadcast(least))  # one row
+    posts = posts.where("_least is not null").select(*on, "item_id", "n_grams", "codes", code_mask("codes").alias("_mask"), F.posexplode(F.slice(
+        "codes", F.lit(1), prefix_length(F.col("n_grams"), F.col("_least")))).alias("_j", "code"))
+    posts = cut_lineage(posts, "prefix-postings")
+    pairs = sliced_join(posts, asked, [*on, "code"], ["item_id"])
+    left = F.least(F.col("q_grams") - F.col("_unknown") - F.col("_i"), F.col("n_grams") - F.col("_j"))
+    both = F.col("q_grams") + F.col("n_grams")
+    differ = F.col("_unknown") + F.bit_count(F.col("_mask").bitwiseXOR(F.col("_q_mask")))
+    pairs = pairs.where((2 * left + 1e-6 >= F.col("_t") * both) & (both - differ + 1e-6 >= F.col("_t") * both))
+    # Exploded from an array of one, the intersection is worked out once and not again in every condition on it.
+    pairs = pairs.select("query_id", "item_id", "q_grams", "n_grams", *carried, "code", "_t",
+                         F.explode(F.array(F.array_intersect("q_codes", "codes"))).alias("_shared"))
+    overlap = F.size("_shared").cast("long")
+    return pairs.where((F.col("_shared")[0] == F.col("code")) & (2 * overlap + 1e-6 >= F.col("_t") * both)).select(
+        "query_id", "item_id", overlap.alias("overlap"), "q_grams", "n_grams", *carried)
 
 
 # -- term vectors -----------------------------------------------------------------------

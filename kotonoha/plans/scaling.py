@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kotonoha.session import cut_lineage
+
 DEFAULT_SALTS = 16
+
+#: Rows of one key that a task of a sliced join takes.
+SLICE_ROWS = 2000
 SALT = "_salt"
 
 
@@ -34,6 +39,33 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: list
     return left.join(right, [*on, SALT], how).drop(SALT)
 
 
+def heavy_keys(df: DataFrame, on: list[str], slice_rows: int) -> DataFrame:
+    """on..., slices: the keys with more than ``slice_rows`` rows, and how many slices they need.
+
+    Rows are counted per key where they are read and the counts merged.  There are
+    at most rows / slice_rows such keys.
+    """
+    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > slice_rows)
+    return counted.select(*on, F.ceil(F.col("n") / slice_rows).cast("int").alias("_slices"))
+
+
+def sliced_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: list[str], slice_rows: int | None = None) -> DataFrame:
+    """Equi-join whose heavy keys are measured first; only these are cut into slices.
+
+    A heavy key's rows of ``big`` are dealt to its slices by the hash of
+    ``spread_by``, and its rows of ``small`` are repeated once per slice; the rows of all other
+    keys are neither copied nor salted.  Both sides are dealt into the session's
+    number of partitions, so small inputs with many pairs are not merged into few tasks.
+    ``big`` is read twice and should be a stored table.
+    """
+    rows = slice_rows or int(big.sparkSession.conf.get("kotonoha.join.slice", str(SLICE_ROWS)))
+    heavy = cut_lineage(heavy_keys(big, on, rows), "heavy-keys")
+    slices = F.coalesce("_slices", F.lit(1))
+    left = big.join(heavy, on, "left").withColumn(SALT, F.pmod(F.xxhash64(*spread_by), slices).cast("int")).drop("_slices")
+    right = small.join(heavy, on, "left").withColumn(SALT, F.explode(F.sequence(F.lit(0), slices - 1))).drop("_slices")
+    return by_key(left, *on, SALT).join(by_key(right, *on, SALT).hint("merge"), [*on, SALT]).drop(SALT)
+
+
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` into the session's number of shuffle partitions.
 

@@ -1,14 +1,17 @@
 """Searches over a mini dictionary, and joins against brute force."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from kotonoha import schemas
+from kotonoha.functions import text
 from kotonoha.operators import collect, index, querylog, radicals, retrieve, score, segment
-from kotonoha.plans import search
+from kotonoha.plans import scaling, search
+from kotonoha.session import cut_lineage
 from kotonoha.sources import records
 
 ENTRIES = [  # sequence, kana, kanji, English gloss, German gloss, pos
@@ -233,3 +236,35 @@ def test_deep_decomposition_comes_out_whole(spark):
                                   "parent string, pos int, child string")
     roots = spark.createDataFrame([("c00",)], "root string")
     assert radicals.decompose(roots, edges).agg(F.max("depth")).head()[0] == 45
+
+
+def test_prefix_pairs_come_from_all_partitions(spark):
+    rnd = random.Random(8)
+    words = sorted({"".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 9))) for _ in range(900)})
+    items = index.ngram_items(spark.createDataFrame([(w,) for w in words], "w string"), "w", "w")
+    queries = spark.createDataFrame([(w, w[1:] + "é", 0.2 + 0.1 * (i % 7)) for i, w in enumerate(words[::3])], "query_id string, q string, threshold double")
+    grams = retrieve.query_grams(queries, keep=["threshold"])
+    found = retrieve.ngram_candidates(grams, items, F.col("threshold")).withColumn("at", F.spark_partition_id())
+    pairs = found.where(score.dice() >= F.col("threshold")).collect()
+    assert len({r["at"] for r in pairs}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = {r["item_id"]: set(r["grams"]) for r in items.collect()}
+    want = {}
+    for r in queries.select("query_id", "threshold", text.index_grams("q").alias("g")).collect():
+        for item, g in sets.items():
+            both = len(g & set(r["g"]))
+            if both and 2 * both / (len(g) + len(set(r["g"]))) >= r["threshold"]:
+                want[r["query_id"], item] = both
+    assert {(r["query_id"], r["item_id"]): r["overlap"] for r in pairs} == want and len(pairs) == len(want) > 1500
+    none = retrieve.ngram_candidates(grams.limit(0), items, F.col("threshold"))
+    assert none.count() == 0 and retrieve.ngram_candidates(grams, items.limit(0), F.col("threshold")).count() == 0
+
+
+def test_only_heavy_keys_are_sliced(spark):
+    big = cut_lineage(spark.range(3000).select(F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("row")))
+    small = spark.createDataFrame([(k, n) for k in range(60) for n in range(2)], "k long, n int")
+    heavy = {r["k"]: r["_slices"] for r in scaling.heavy_keys(big, ["k"], 100).collect()}
+    assert heavy == {0: 11}
+    got = scaling.sliced_join(big, small, ["k"], ["row"], slice_rows=100)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small, "k").collect()))
+    hot = got.where("k = 0").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert hot > 1
