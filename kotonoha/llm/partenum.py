@@ -26,7 +26,8 @@ class Join:
     second-level partitions make up a signature, and a first-level one may hold
     ``apart`` shingles of only one set.  There are ``slack`` times the partitions
     needed.  Texts are compared in blocks of
-    about ``block`` texts and ``block_shingles`` shingles.
+    about ``block`` texts and ``block_shingles`` shingles, those that share a
+    signature in buckets of up to ``bucket`` sets.
     """
 
     size: int = 3
@@ -37,6 +38,7 @@ class Join:
     slack: float = 1.3
     block: int = 3000
     block_shingles: int = 1_500_000
+    bucket: int = 2000
 
 
 #: Odd numbers without meaning, as bases and mixers of 64-bit hashes.
@@ -129,8 +131,27 @@ def plan(band: int, join: Join) -> tuple[int, int, int, tuple]:
     return math.ceil((spoilt + 1) * join.slack), spoilt, second, tuple(combinations(range(second), join.subset))
 
 
+def cells(found: np.ndarray, band: int, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """For a band, the hash of the shingles in every second-level partition, a row per first-level one, and their number."""
+    first, _, second, _ = plan(band, join)
+    part = ((mixed(found ^ U(BASE_A)) >> U(32)) * U(first * second) >> U(32)).astype(np.int64)  # equal shares of the hashes
+    sums = np.zeros(first * second, np.uint64)
+    np.add.at(sums, part, mixed(found + U(BASE_B)))
+    return sums.reshape(first, second), np.bincount(part, minlength=first * second).reshape(first, second)
+
+
+def profiles(found: np.ndarray, join: Join) -> list[dict]:
+    """A byte of each second-level partition's hash, for each band of a set.
+
+    Partitions whose bytes differ hold a shingle of only one set, so two sets
+    that link differ in no more bytes than they may in shingles.
+    """
+    return [{"band": band, "cells": (mixed(cells(found, band, join)[0].ravel()) >> U(56)).astype(np.uint8).tobytes()}
+            for band in (bands(len(found), join) if len(found) else ())]
+
+
 def signatures(found: np.ndarray, join: Join) -> np.ndarray:
-    """Signed 64-bit signatures of a set, distinct.
+    """Signed 64-bit signatures of a set, distinct; the last six bits are those of the band.
 
     Linked sets agree in a subset of all first-level partitions but the spoilt
     ones.  Let every set rank its subsets by their shingles, the most first, then
@@ -142,14 +163,9 @@ def signatures(found: np.ndarray, join: Join) -> np.ndarray:
     out = []
     if not len(found):
         return np.zeros(0, np.int64)
-    spread, worth = mixed(found ^ U(BASE_A)), mixed(found + U(BASE_B))
     for band in bands(len(found), join):
-        first, spoilt, second, subsets = plan(band, join)
-        part = ((spread >> U(32)) * U(first * second) >> U(32)).astype(np.int64)  # equal shares of the hashes
-        sums = np.zeros(first * second, np.uint64)
-        np.add.at(sums, part, worth)
-        sums = sums.reshape(first, second)
-        filled = np.bincount(part, minlength=first * second).reshape(first, second)
+        first, spoilt, _, subsets = plan(band, join)
+        sums, filled = cells(found, band, join)
         place = np.arange(first, dtype=np.uint64) * U(len(subsets)) + U(band << 40)
         values, sizes = [], []
         for i, subset in enumerate(subsets):
@@ -161,18 +177,19 @@ def signatures(found: np.ndarray, join: Join) -> np.ndarray:
         values, sizes = np.concatenate(values), np.concatenate(sizes)
         # All but so many subsets can differ between linked sets.
         most = spoilt * len(subsets) + (first - spoilt) * (len(subsets) - 1)
-        out.append(values[np.lexsort((values, -sizes))[:most + 1]])
+        out.append(values[np.lexsort((values, -sizes))[:most + 1]] & ~U(63) | U(band & 63))
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
 def described(df: DataFrame, join: Join, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns ``keep``, n_shingles, node (a digest of the set, null if it is empty) of every row."""
+    """id, the columns ``keep``, n_shingles, node (a digest of the set, null if it is empty) and profiles of every row."""
     def row(text):
         found = shingles(text or "", join.size)
-        return len(found), digest(found) if len(found) else None
+        return len(found), digest(found) if len(found) else None, profiles(found, join)
 
+    profile = T.StructType([T.StructField("band", T.IntegerType()), T.StructField("cells", T.BinaryType())])
     return map_rows(df, lambda: row, [text_col], [id_col, *keep], [
-        T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())])
+        T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("profiles", T.ArrayType(profile))])
 
 
 def signature_rows(df: DataFrame, join: Join, text_col: str) -> DataFrame:
@@ -196,18 +213,87 @@ def signature_rows(df: DataFrame, join: Join, text_col: str) -> DataFrame:
     return df.select(F.make_valid_utf8(quoted(text_col))).mapInArrow(rows, "node long, signature long")
 
 
-def candidate_clusters(rows: DataFrame) -> DataFrame:
-    """node, cluster: sets joined by shared signatures; only such sets can link.
+def alike(sizes: np.ndarray, seen: np.ndarray, join: Join) -> list[tuple[int, int]]:
+    """Pairs of a bucket's sets that connect all whose profiles differ in no more bytes than linked sets may."""
+    root, out = np.arange(len(sizes)), []
+    for i in range(len(sizes) - 1):
+        rest = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
+        if not len(rest):
+            continue
+        differ = (seen[rest] != seen[i]).sum(1)
+        for j in rest[(100 + join.percent) * differ <= (100 - join.percent) * (sizes[rest] + sizes[i])]:
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((i, int(j)))
+    return out
 
-    A bucket's sets are all joined to its smallest, one edge each.  Rows are
-    exchanged once, by signature; equal sets have been merged per task before.
+
+def bucket_edges(members: DataFrame, join: Join) -> DataFrame:
+    """u, v from (signature, node, n, cells): what connects a bucket's sets of alike profiles.
+
+    A bucket's sets come one after another.  Up to ``bucket`` are compared by
+    their profiles; the sets of a larger bucket are all joined to its first, so
+    none is held and no link is lost.
+    """
+    ship(members.sparkSession.sparkContext)
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.repartition(parts, "signature").sortWithinPartitions("signature", "node").select("signature", "node", "n", "cells")
+
+    def edges(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    def run(batches):
+        held, hub, nodes, sizes, seen, out = None, None, [], [], [], []
+
+        def finish():
+            if len(nodes) > 1:
+                width = {len(x) for x in seen}
+                compared = alike(np.array(sizes), np.frombuffer(b"".join(seen), np.uint8).reshape(len(seen), -1), join) \
+                    if len(width) == 1 else [(0, j) for j in range(1, len(nodes))]
+                out.extend((nodes[i], nodes[j]) for i, j in compared)
+
+        for batch in batches:
+            for signature, node, n, cells_ in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if signature != held:
+                    finish()
+                    held, hub, nodes, sizes, seen = signature, None, [], [], []
+                if nodes and node == nodes[-1] or node == hub:
+                    continue
+                if hub is not None:
+                    out.append((hub, node))
+                    continue
+                nodes.append(node)
+                sizes.append(n)
+                seen.append(cells_ or b"")
+                if len(nodes) > join.bucket:
+                    hub = nodes[0]
+                    out.extend((hub, x) for x in nodes[1:])
+                    nodes, sizes, seen = [], [], []
+                if len(out) > 10_000:
+                    yield edges(out)
+                    out.clear()
+        finish()
+        yield edges(out)
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def candidate_clusters(rows: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """node, cluster: sets joined by shared signatures and alike profiles; only such sets can link.
+
+    Rows are exchanged once, by signature; equal sets have been merged per task
+    before.  Only the rows of buckets with several sets get their profiles.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # With the join's own conditions stated here, both uses below have one plan and share one exchange.
     dealt = rows.where("signature is not null and node is not null").repartition(n, "signature")
-    hubs = dealt.groupBy("signature").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
-    edges = (dealt.join(hubs.select("signature", "hub"), "signature").where("node <> hub")
-             .select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
+    shared = dealt.groupBy("signature").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
+    met = cut_lineage(dealt.join(shared.select("signature"), "signature"), "shared")
+    known = sets.where("node is not null").select("node", F.struct("n_shingles", "profiles").alias("of"))
+    known = known.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("of").alias("of"))
+    own = F.filter("of.profiles", lambda p: p["band"].bitwiseAND(63) == F.col("signature").bitwiseAND(63))
+    members = met.join(known, "node").select("signature", "node", F.col("of.n_shingles").alias("n"), own[0]["cells"].alias("cells"))
+    edges = bucket_edges(members, join).distinct()
     return components(edges).select("node", F.col("root").alias("cluster"))
 
 
@@ -318,7 +404,8 @@ def grouped(df: DataFrame, join: Join, id_col: str, text_col: str, keep: tuple[s
     """doc, the columns ``keep``, n_shingles, node, component and keeper (the smallest id of what links reach, and the
     smallest of its sets there) of every row; no component or keeper where the set is empty."""
     sets = cut_lineage(described(df, join, id_col, text_col, keep).withColumnRenamed(id_col, "doc"), "sets")
-    clusters = candidate_clusters(signature_rows(df, join, text_col))
+    clusters = candidate_clusters(signature_rows(df, join, text_col), sets, join)
+    sets = sets.drop("profiles")
     firsts = (sets.where("node is not null and doc is not null").groupBy("node")
               .agg(F.min("doc").alias("doc"), F.max("n_shingles").alias("n")))
     members = cut_lineage(clusters.join(firsts, "node"), "members")

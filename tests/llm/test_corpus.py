@@ -253,7 +253,7 @@ def copied(prose):
 
 @pytest.mark.parametrize("join", [
     partenum.Join(), partenum.Join(size=5, percent=80), partenum.Join(percent=70, subset=2, apart=1, block=5),
-    partenum.Join(percent=90, slack=1.0, block_shingles=500), partenum.Join(percent=100)])
+    partenum.Join(percent=90, slack=1.0, block_shingles=500, bucket=2), partenum.Join(percent=100)])
 def test_join_equals_plain(documents, copied, join):
     expected = plain_components(copied, join.size, join.percent)
     df = documents([*copied, copied[3], (None, copied[0][1], None, None)])
@@ -295,6 +295,12 @@ def test_linked_sets_share_a_signature():
             shared = len(np.intersect1d(a, b))
             if len(b) and 100 * shared >= percent * (len(a) + len(b) - shared):
                 assert np.intersect1d(partenum.signatures(a, join), partenum.signatures(b, join)).size
+                of_b = {p["band"]: p["cells"] for p in partenum.profiles(b, join)}
+                common = [(p["cells"], of_b[p["band"]]) for p in partenum.profiles(a, join) if p["band"] in of_b]
+                assert common
+                for x, y in common:
+                    seen = np.frombuffer(x + y, np.uint8).reshape(2, -1)
+                    assert partenum.alike(np.array([len(a), len(b)]), seen, join) == [(0, 1)]
 
 
 def test_components_of_graphs(spark):
