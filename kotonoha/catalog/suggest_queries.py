@@ -14,21 +14,31 @@ from kotonoha.functions import kana, text
 from kotonoha.operators import index, reshape, suggest
 from kotonoha.sources import records, views
 
+def prefixes(x):
+    """SQL for a row per prefix of a string."""
+    return f"unnest([left({x}, n) FOR n IN range(1, length({x}) + 1)])"
+
+
 VOC = {
-    "v_typed": "SELECT DISTINCT substr(query_id, 1, 4) AS q, substr(query_id, 1, 4) AS query_id FROM v_query_words",
+    "v_typed": f"SELECT DISTINCT q, q AS query_id FROM (SELECT {prefixes('query_id')} AS q FROM v_query_words)",
     "v_voc": "SELECT item_id, lang, term AS text, freq / (SELECT max(freq) FROM v_terms) AS fs FROM v_terms",
-    "v_pre": "SELECT query_id, item_id, text, lang, fs, length(q) / length(text) AS share FROM v_typed JOIN v_voc ON starts_with(text, q)",
+    "v_pre": f"""SELECT query_id, item_id, text, lang, fs, length(q) / length(text) AS share
+        FROM v_typed JOIN (SELECT *, {prefixes('text')} AS q FROM v_voc) USING (q)""",
     "v_sug": """SELECT query_id, item_id, text, score, rank FROM (SELECT query_id, item_id, text, round(share + fs, 6) AS score,
         row_number() OVER (PARTITION BY query_id ORDER BY round(share + fs, 6) DESC, text, item_id) AS rank FROM v_pre) WHERE rank <= 30""",
 }
 
 
 def typed(spark, sf):
-    """What stands in the box after four key strokes of each misspelt word."""
-    w = views.query_words(spark, sf).select(F.substring("query_id", 1, 4).alias("q")).distinct()
+    """What stands in the box after every key stroke of each word of the log."""
+    w = views.query_words(spark, sf).select(every_prefix("query_id").alias("q")).distinct()
     return w.select(F.col("q").alias("query_id"), "q")
 
 
+def every_prefix(name):
+    return F.explode(F.transform(F.sequence(F.lit(1), F.length(name)), lambda n: F.left(F.col(name), n)))
+
+
 def vocabulary(spark, sf):
     t = views.terms(spark, sf).select("item_id", "lang", F.col("term").alias("text"), "freq")
     return suggest.frequency_share(t).drop("freq")
@@ -119,7 +129,8 @@ def sug8(spark, sf):
     return suggest.exact_first(hits, typed(spark, sf)).select("query_id", "item_id", "rank")
 
 
-NAMEQ = {"v_nq": f"""SELECT DISTINCT 'kana:' || substr(kana, 1, 3) AS query_id, substr(kana, 1, 3) AS q FROM v_names UNION SELECT DISTINCT 'latin:' || substr(transcription, 1, 4), substr(transcription, 1, 4) FROM v_names""",
+NAMEQ = {"v_nq": f"""SELECT DISTINCT 'kana:' || q AS query_id, q FROM (SELECT {prefixes('kana')} AS q FROM v_names)
+            UNION SELECT DISTINCT 'latin:' || q, q FROM (SELECT {prefixes('transcription')} AS q FROM v_names)""",
          "v_nforms": f"SELECT query_id, q FROM v_nq WHERE query_id LIKE 'kana:%' UNION SELECT query_id, {q.to_kata('q')} FROM v_nq WHERE query_id LIKE 'kana:%'"}
 
 
@@ -128,8 +139,8 @@ NAMEQ = {"v_nq": f"""SELECT DISTINCT 'kana:' || substr(kana, 1, 3) AS query_id,
      UNION ALL SELECT query_id, sequence, transcription, length(q) / length(transcription) FROM v_nq JOIN v_names ON query_id LIKE 'latin:%' AND starts_with(transcription, q))) WHERE rank <= 30""", NAMEQ)
 def sug9(spark, sf):
     n = views.names(spark, sf)
-    jp = n.select(F.substring("kana", 1, 3).alias("q")).distinct().select(F.concat(F.lit("kana:"), F.col("q")).alias("query_id"), "q")
-    la = n.select(F.substring("transcription", 1, 4).alias("q")).distinct().select(F.concat(F.lit("latin:"), F.col("q")).alias("query_id"), "q")
+    jp = n.select(every_prefix("kana").alias("q")).distinct().select(F.concat(F.lit("kana:"), F.col("q")).alias("query_id"), "q")
+    la = n.select(every_prefix("transcription").alias("q")).distinct().select(F.concat(F.lit("latin:"), F.col("q")).alias("query_id"), "q")
     native = n.select(F.col("sequence").alias("item_id"), F.col("kana").alias("text"), F.lit(0.0).alias("freq_share"))
     foreign = n.select(F.col("sequence").alias("item_id"), F.col("transcription").alias("text"), F.lit(0.0).alias("freq_share"))
     return suggest.name_suggestions(jp.unionByName(la), native, foreign)

@@ -32,12 +32,14 @@ def frequency_share(vocab: DataFrame) -> DataFrame:
 def prefix_suggestions(queries: DataFrame, vocab: DataFrame, limit: int | None = LIMIT,
                        on: list[str] | None = None, str_weight=1.0, freq_weight=1.0, total=1.0,
                        salts: int | None = None) -> DataFrame:
-    """query_id, item_id, text, score: entries that start with the input.
+    """query_id, item_id, text, score (and rank, with a limit): entries that start with the input.
 
-    ``vocab``: item_id, text, freq_share (+ ``on`` columns).  Every entry offers
-    its prefixes as join keys, but only of lengths some input has, so the text
-    is matched by an equi-join instead of a range scan.
+    ``vocab``: item_id, text, freq_share (+ ``on`` columns).  With a limit the input is looked up in the
+    table of completions.  Without one every entry offers its prefixes as join
+    keys, but only of lengths some input has.
     """
+    if limit is not None:
+        return completed(queries, completions(vocab, limit, on, str_weight, freq_weight, total), on)
     keys = [*(on or []), "key"]
     q = queries.select("query_id", *(on or []), F.col("q").alias("key"))
     lengths = q.select(F.length("key").alias("n")).distinct().agg(F.collect_set("n").alias("_lens"))
@@ -47,14 +49,37 @@ def prefix_suggestions(queries: DataFrame, vocab: DataFrame, limit: int | None =
         wanted, lambda n: F.substring(F.col("text"), F.lit(1), n))).alias("key"))
     hit = salted_join(v, q, keys, ["item_id"], salts=salts)
     share = F.length("key") / F.length("text")
-    out = hit.select("query_id", "item_id", "text", weighted(
+    return hit.select("query_id", "item_id", "text", weighted(
         share, F.col("freq_share"), str_weight, freq_weight, total).alias("score"))
-    return out if limit is None else best(out, limit)
 
 
-def best(hits: DataFrame, limit: int = LIMIT, extra: list[Column] | None = None) -> DataFrame:
-    """rank 1..limit per query by score (rounded to six digits), text, item."""
-    w = Window.partitionBy("query_id").orderBy(
+def completions(vocab: DataFrame, limit: int = LIMIT, on: list[str] | None = None,
+                str_weight=1.0, freq_weight=1.0, total=1.0) -> DataFrame:
+    """on..., prefix, item_id, text, score, rank: the best entries of every prefix of every entry.
+
+    A prefix tree as a table, for inputs of any length.  Rows grow with the
+    letters of the vocabulary.  Each task keeps its ``limit`` best rows of a
+    prefix before they are exchanged, so a first letter that a third of all
+    entries share sends ``limit`` rows per task, not those entries.
+    """
+    by = [*(on or []), "prefix"]
+    size = F.length("text")
+    every = vocab.where(size > 0).select("*", F.explode(F.sequence(F.lit(1), size)).alias("n"))
+    scored = every.select(*(on or []), F.left(F.col("text"), F.col("n")).alias("prefix"), "item_id", "text", weighted(
+        F.col("n") / size, F.col("freq_share"), str_weight, freq_weight, total).alias("score"))
+    return best(scored, limit, by=by)
+
+
+def completed(queries: DataFrame, table: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """query_id, item_id, text, score, rank: the inputs looked up in a table of completions, by one equi-join."""
+    asked = queries.select("query_id", *(on or []), F.col("q").alias("prefix"))
+    return asked.join(table, [*(on or []), "prefix"]).select("query_id", "item_id", "text", "score", "rank")
+
+
+def best(hits: DataFrame, limit: int = LIMIT, extra: list[Column] | None = None,
+         by: list[str] | None = None) -> DataFrame:
+    """rank 1..limit per query (or ``by``) by score (rounded to six digits), text, item."""
+    w = Window.partitionBy(*(by or ["query_id"])).orderBy(
         *(extra or []), F.round("score", 6).desc(), "text", "item_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
@@ -74,10 +99,10 @@ def language_suggestions(queries: DataFrame, vocab: DataFrame, limit: int = LIMI
 
     ``queries``: query_id, q, lang, show_english; ``vocab`` has a lang column.
     """
-    own = prefix_suggestions(queries, vocab, None, ["lang"], 1.5, 0.5, 1.0)
+    own = prefix_suggestions(queries, vocab, limit, ["lang"], 1.5, 0.5, 1.0)
     eng_q = queries.where(F.col("show_english") & (F.col("lang") != "en")).withColumn("lang", F.lit("en"))
-    eng = prefix_suggestions(eng_q, vocab, None, ["lang"], 1.5, 0.15, 0.75)
-    both = own.unionByName(eng)
+    eng = prefix_suggestions(eng_q, vocab.where("lang = 'en'"), limit, ["lang"], 1.5, 0.15, 0.75)
+    both = own.unionByName(eng)  # what is among the best of both is among the best of its part
     merged = both.groupBy("query_id", "item_id", "text").agg(F.max("score").alias("score"))
     return best(merged, limit)
 
@@ -200,8 +225,9 @@ def name_suggestions(queries: DataFrame, native: DataFrame, foreign: DataFrame,
     jp = jp.select("query_id", F.explode(forms).alias("q"))
     latin = queries.where(text.japanese_percent("q") < fixed.JAPANESE_PERCENT)
     guess = latin.select("query_id", romaji_guess("q").alias("q")).where("q is not null")
-    hits = (prefix_suggestions(jp.unionByName(guess), native, None)
-            .unionByName(prefix_suggestions(latin, foreign, None)))
+    # An entry among the best is so for the spelling that gives it its score.
+    hits = (prefix_suggestions(jp.unionByName(guess), native, limit)
+            .unionByName(prefix_suggestions(latin, foreign, limit)))
     merged = hits.groupBy("query_id", "item_id", "text").agg(F.max("score").alias("score"))
     return best(merged, limit)
 
