@@ -15,7 +15,7 @@ HEADLINE = [
     "fil9_all_quoted_terms",        # documents holding every word of a passage
     "idx2_ngram_frequency",         # gram frequencies of the headwords
     "idx9_term_vectors",            # tf-idf vectors and norms of all documents
-    "ret6_wildcards",               # wildcard queries through the rarest character
+    "ret6_wildcards",               # wildcard queries through their rarest anchored gram
     "ret7_kanji_reading",           # kanji + reading keys
     "sug1_prefix_suggestions",      # autocomplete, thirty best
     "qry9_target_and_page",         # annotating the whole query log

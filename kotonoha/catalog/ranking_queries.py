@@ -109,12 +109,12 @@ def sco6(spark, sf):
     """Beginnings in kana and endings in kanji, as wildcard queries on the words."""
     p = views.part_words(spark, sf)
     typed = p.select(F.explode(F.array(F.concat(views.hira("w1"), F.lit("*")), F.concat(F.lit("*"), views.han("w2")))).alias("query_id")).distinct()
-    qs = typed.select("query_id", querylog.wildcard_pattern("query_id").alias("pattern"), querylog.wildcard_literals("query_id").alias("literals"))
+    qs = typed.select("query_id", querylog.wildcard_pattern("query_id").alias("pattern"))
     w = views.words(spark, sf)
     r = search.word_readings(w).select("item_id", "reading")
     info = w.select(F.col("sequence").alias("item_id"), "common", "jlpt_lvl", reshape.main_reading().alias("main"),
                     F.col("reading.alternative.reading").alias("alt"))
-    hit = retrieve.wildcard_candidates(qs, index.char_postings(r, "item_id", "reading"), r).join(info, "item_id")
+    hit = retrieve.wildcard_candidates(qs, cut_lineage(index.wildcard_postings(r, "item_id", "reading"), "wildcards")).join(info, "item_id")
     s = score.wildcard_score(F.array_contains("alt", F.col("reading")), F.col("common"), F.col("jlpt_lvl"), F.length("main"))
     return hit.withColumn("s", s).groupBy("query_id", "item_id").agg(F.max("s").alias("relevance"))
 

@@ -10,6 +10,7 @@ from kotonoha.catalog.registry import query
 from kotonoha.catalog.text_queries import JTERMS, jterms, sql_hiragana
 from kotonoha.functions import text
 from kotonoha.operators import filters, index, reshape, retrieve, score, segment
+from kotonoha.session import cut_lineage
 from kotonoha.sources import records, views
 
 DICE = "2.0 * overlap / (n_grams + q_grams)"
@@ -100,25 +101,24 @@ def ret5(spark, sf):
     return w.unionByName(n).unionByName(s)
 
 
-WILD = {"v_wild": """SELECT w AS query_id, substr(w, 1, 2) || '*' || right(w, 2) AS typed, '^' || substr(w, 1, 2) || '.*' || right(w, 2) || '$' AS pattern
-    FROM (SELECT DISTINCT query_id AS w FROM v_query_words WHERE length(query_id) >= 5)"""}
+WILD = {"v_wild": "SELECT DISTINCT query_id, left(query_id, 2) AS head, right(query_id, 2) AS tail FROM v_query_words",
+        "v_heads": "SELECT item_id, term, left(term, 1) AS head FROM v_terms UNION ALL SELECT item_id, term, left(term, 2) FROM v_terms WHERE length(term) > 1"}
 
 
 def wildcard_queries(spark, sf):
+    """The ends of every word of the log, with a wildcard between them."""
     from kotonoha.operators import querylog
-    w = views.query_words(spark, sf).where(F.length("query_id") >= 5)
+    w = views.query_words(spark, sf)
     typed = F.concat(F.substring("query_id", 1, 2), F.lit("*"), F.substring("query_id", -2, 2))
     w = w.select("query_id", typed.alias("typed"))
-    return w.select("query_id", querylog.wildcard_pattern("typed").alias("pattern"),
-                    querylog.wildcard_literals("typed").alias("literals"))
+    return w.select("query_id", querylog.wildcard_pattern("typed").alias("pattern"))
 
 
-@query("ret6_wildcards", """SELECT query_id, item_id, term AS reading FROM v_wild JOIN v_terms
-    ON starts_with(term, substr(query_id, 1, 2)) AND regexp_matches(term, pattern)""", WILD)
+@query("ret6_wildcards", """SELECT query_id, item_id, term AS reading FROM v_wild JOIN v_heads USING (head)
+    WHERE ends_with(term, tail) AND length(term) >= length(head) + length(tail)""", WILD)
 def ret6(spark, sf):
-    t = views.terms(spark, sf)
-    return retrieve.wildcard_candidates(wildcard_queries(spark, sf), index.char_postings(t, "item_id", "term"),
-                                        t.select("item_id", F.col("term").alias("reading")))
+    posts = cut_lineage(index.wildcard_postings(views.terms(spark, sf), "item_id", "term"), "wildcards")
+    return retrieve.wildcard_candidates(wildcard_queries(spark, sf), posts)
 
 
 KR = {"v_keys": f"""SELECT DISTINCT k.literal || r AS key, sequence AS item_id, k.literal, r FROM

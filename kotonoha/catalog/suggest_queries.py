@@ -211,11 +211,17 @@ def sug14(spark, sf):
     return suggest.with_target_suffix(hits, qs)
 
 
+# The SQL engine measures edits in bytes, so it gets a one-byte letter for each accented one (terms hold lower-case letters only).
+ACCENTED = "".join(map(chr, range(223, 256)))
+PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456"
+SIM = {"v_sq": f"SELECT query_id, translate(q, '{ACCENTED}', '{PLAIN}') AS q FROM v_query_words",
+       "v_st": f"SELECT term, translate(term, '{ACCENTED}', '{PLAIN}') AS t FROM (SELECT DISTINCT term FROM v_terms)"}
+
+
 @query("sug15_similar_terms", """SELECT query_id, term AS text, dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, term) AS rank FROM
-    (SELECT query_id, term, levenshtein(q, term) AS dist FROM (SELECT * FROM v_query_words WHERE regexp_full_match(q, '[a-z]+') AND length(q) >= 7), (SELECT DISTINCT term FROM v_terms WHERE regexp_full_match(term, '[a-z]+'))
-     WHERE abs(length(term) - length(q)) <= 2 AND substr(term, 1, 1) = substr(q, 1, 1) AND levenshtein(q, term) <= 2)) WHERE rank <= 16""")
+    (SELECT query_id, term, levenshtein(q, t) AS dist FROM v_sq JOIN v_st ON substr(t, 1, 1) = substr(q, 1, 1)
+     WHERE abs(length(t) - length(q)) <= 2 AND levenshtein(q, t) <= 2)) WHERE rank <= 16""", SIM)
 def sug15(spark, sf):
-    """Long misspelt words against the ASCII headwords."""
-    qs = views.query_words(spark, sf).where(F.col("q").rlike("^[a-z]+$") & (F.length("q") >= 7))
-    v = views.terms(spark, sf).where(F.col("term").rlike("^[a-z]+$")).select(F.col("term").alias("item_id"), F.col("term").alias("text")).distinct()
-    return suggest.similar_suggestions(qs, v).select("query_id", "text", "dist", "rank")
+    """All words of the log against all headwords."""
+    v = views.terms(spark, sf).select(F.col("term").alias("item_id"), F.col("term").alias("text")).distinct()
+    return suggest.similar_suggestions(views.query_words(spark, sf), v).select("query_id", "text", "dist", "rank")

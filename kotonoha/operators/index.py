@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kotonoha import fixed
 from kotonoha.functions import text
-from kotonoha.plans.scaling import salted_join
+from kotonoha.plans.scaling import by_key, salted_join
 
 
 # -- character n-grams -----------------------------------------------------------
@@ -108,6 +108,34 @@ def char_postings(df: DataFrame, item: str, col: str) -> DataFrame:
                      F.col(item).alias("item_id")).distinct()
 
 
+#: Marks of a reading's ends, and of a wildcard between literal pieces.
+HEAD, TAIL, CUT = "\x02", "\x03", "\x01"
+
+
+def pairs(col: Column) -> Column:
+    """Neighbouring characters of a text."""
+    several = F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - 1, F.lit(1))), lambda i: F.substring(col, i, F.lit(2)))
+    return F.when(F.length(col) > 1, several).otherwise(F.array().cast("array<string>"))
+
+
+def ends(col: Column) -> Column:
+    """A marked end with the two characters next to it."""
+    return F.array_compact(F.array(F.when((F.length(col) > 2) & col.startswith(HEAD), F.left(col, F.lit(3))),
+                                   F.when((F.length(col) > 2) & col.endswith(TAIL), F.right(col, F.lit(3)))))
+
+
+def wildcard_grams(col) -> Column:
+    """Distinct characters of a reading, its pairs with both ends marked, and the first and last two characters with their mark."""
+    marked = F.concat(F.lit(HEAD), text._c(col), F.lit(TAIL))
+    return F.array_distinct(F.concat(text.chars(col), pairs(marked), ends(marked)))
+
+
+def wildcard_postings(df: DataFrame, item: str, col: str) -> DataFrame:
+    """gram, item_id, reading: what a wildcard search looks up; a reading travels with its grams."""
+    readings = by_key(df.select(F.col(item).alias("item_id"), F.col(col).alias("reading")).distinct(), "item_id")
+    return readings.select(F.explode(wildcard_grams("reading")).alias("gram"), "item_id", "reading")
+
+
 # -- kanji readings -----------------------------------------------------------------
 def dictionary_readings(kanji: DataFrame, with_nanori: bool = False) -> DataFrame:
     """literal, reading (as written), folded: on and kun readings, and for names

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from kotonoha import fixed
 from kotonoha.functions import kana, text
+from kotonoha.operators import index
 from kotonoha.plans.scaling import by_key, salted_join, sliced_join
 from kotonoha.session import cut_lineage
 
@@ -217,39 +218,43 @@ def reading_exists(queries: DataFrame, readings: DataFrame) -> DataFrame:
 
 
 # -- wildcards --------------------------------------------------------------------------------
-def wildcard_candidates(queries: DataFrame, postings: DataFrame, readings: DataFrame,
-                        salts: int | None = None) -> DataFrame:
+def wildcard_candidates(queries: DataFrame, postings: DataFrame, salts: int | None = None) -> DataFrame:
     """query_id, item_id, reading: readings that match the pattern.
 
-    ``queries``: query_id, pattern, literals.  Of the literal characters of a
-    query only its rarest one is looked up (a match must hold all of them, the
-    pattern then proves the rest), which reads the shortest posting list.  A
-    character missing from the index, or no literal at all, gives no rows.
+    ``queries``: query_id, pattern; ``postings``: ``index.wildcard_postings``.  Of
+    the grams a match must hold only the query's rarest is looked up, which
+    reads the shortest posting list; the pattern then proves the rest.  A gram
+    missing from the index, or no literal at all, gives no rows.
     """
-    freq = postings.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
-    lit = queries.select("query_id", F.explode(F.array_distinct("literals")).alias("ch"))
-    known = lit.join(freq, "ch", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = known.groupBy("query_id").agg(F.min_by("ch", F.struct("n", "ch")).alias("ch"),
+    freq = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    asked = queries.select("query_id", "pattern", pattern_grams("pattern").alias("grams"))
+    known = asked.select("query_id", F.explode("grams").alias("gram")).join(freq, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = known.groupBy("query_id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"),
                                            F.min("n").alias("n")).where("n > 0")
-    q = queries.join(rarest.select("query_id", "ch"), "query_id").select(
-        "query_id", "pattern", "ch", _literal_head("pattern").alias("head"), _literal_tail("pattern").alias("tail"))
-    # readings travel with their rarest-character candidates in one row
-    posts = by_key(readings.select("item_id", "reading"), "item_id").select(
-        "item_id", "reading", F.explode(F.array_distinct(text.chars("reading"))).alias("ch"))
-    hit = salted_join(posts, q, ["ch"], ["item_id"], salts=salts)
-    # the fixed ends are compared first; the pattern only sees what is left
-    hit = hit.where(F.col("reading").startswith(F.col("head")) & F.col("reading").endswith(F.col("tail")))
+    q = asked.join(rarest.select("query_id", "gram"), "query_id")
+    hit = salted_join(postings, q, ["gram"], ["item_id"], salts=salts)
+    # A pattern is compiled for each row it sees, so the other grams are looked for first.
+    marked = F.concat(F.lit(index.HEAD), "reading", F.lit(index.TAIL))
+    hit = hit.where(F.forall("grams", lambda g: marked.contains(g)))
     return hit.where(F.expr("reading rlike pattern")).select("query_id", "item_id", "reading")
 
 
-def _literal_head(pattern: str) -> Column:
-    """The text a match must start with: the pattern up to its first wildcard."""
-    return F.regexp_replace(F.regexp_extract(pattern, r"^\^((?:\\.|[^.\\])*)", 1), r"\\(.)", "$1")
+def pattern_grams(pattern) -> Column:
+    """The grams (as in ``index.wildcard_grams``) that every match of a wildcard pattern holds.
 
+    The pattern is cut at its wildcards.  A piece of one character gives that
+    character, longer ones their pairs; pieces at an end also give the end's mark
+    with its two characters.
+    """
+    body = F.regexp_replace(F.regexp_replace(pattern, r"^\^|\$$", ""), r"\.\*|(\\.)|\.", "$1" + index.CUT)
+    body = F.regexp_replace(body, r"\\(.)" + index.CUT, "$1")  # what was escaped is literal again
+    pieces = F.split(F.concat(F.lit(index.HEAD), body, F.lit(index.TAIL)), index.CUT)
+
+    def grams(piece: Column) -> Column:
+        single = F.when((F.length(piece) == 1) & ~piece.isin(index.HEAD, index.TAIL), F.array(piece))
+        return F.coalesce(single, F.concat(index.pairs(piece), index.ends(piece)))
 
-def _literal_tail(pattern: str) -> Column:
-    """The text a match must end with: the pattern behind its last wildcard."""
-    return F.regexp_replace(F.regexp_extract(pattern, r"\.\*?((?:\\.|[^.\\*])*)\$$", 1), r"\\(.)", "$1")
+    return F.array_distinct(F.flatten(F.transform(pieces, grams)))
 
 
 # -- kanji + reading -----------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kotonoha import schemas
 from kotonoha.functions import text
-from kotonoha.operators import collect, index, querylog, radicals, retrieve, score, segment
+from kotonoha.operators import collect, index, querylog, radicals, retrieve, score, segment, suggest
 from kotonoha.plans import scaling, search
 from kotonoha.session import cut_lineage
 from kotonoha.sources import records
@@ -115,18 +115,40 @@ def test_ngrams_against_brute_force(spark):
 
 def test_wildcards_against_brute_force(spark):
     import re
-    t = spark.createDataFrame([(w, w) for w in WORDS], "item_id string, reading string")
-    typed = ["?und", "*und*", "a.?", "fr*e", "***", "x*", "ab+"]
-    q = spark.createDataFrame([(x,) for x in typed], "query_id string")
-    q = q.select("query_id", querylog.wildcard_pattern("query_id").alias("pattern"), querylog.wildcard_literals("query_id").alias("literals"))
-    got = {(r.query_id, r.item_id) for r in retrieve.wildcard_candidates(q, index.char_postings(t, "item_id", "reading"), t).collect()}
+    rnd = random.Random(4)
+    words = sorted({*WORDS, "", "a.b", "a\\b", "(a)", "a$", "^a", *("".join(rnd.choice("abc.\\é") for _ in range(rnd.randint(1, 7))) for _ in range(300))})
+    t = spark.createDataFrame([(w, w) for w in words], "item_id string, reading string")
+    typed = sorted({"?und", "*und*", "a.?", "fr*e", "***", "x*", "ab+", "*a", "a*", "?", "*.*", "a?\\*", "*$",
+                    *("".join(rnd.choice("abc.\\é**?+") for _ in range(rnd.randint(1, 6))) for _ in range(120))})
+    typed = [x for x in typed if set(x) & set("*?+")]
+    q = spark.createDataFrame([(x, ) for x in typed], "query_id string")
+    q = q.select("query_id", querylog.wildcard_pattern("query_id").alias("pattern"))
+    found = retrieve.wildcard_candidates(q, index.wildcard_postings(t, "item_id", "reading")).collect()
+    got = {(r.query_id, r.item_id) for r in found}
     want = set()
     for x in typed:
         if not x.strip("*?+"):
             continue
         pat = "".join(".*" if c == "*" else "." if c in "?+" else re.escape(c) for c in x)
-        want |= {(x, w) for w in WORDS if re.fullmatch(pat, w)}
-    assert got == want
+        want |= {(x, w) for w in words if re.fullmatch(pat, w)}
+    assert got == want and len(found) == len(got) > 500
+
+
+def test_completions_against_brute_force(spark):
+    rnd = random.Random(6)
+    words = sorted({"".join(rnd.choice("aabé") for _ in range(rnd.randint(1, 6))) for _ in range(400)})
+    rows = [(f"{lang}:{w}", lang, w, rnd.randint(1, 5) / 5) for lang in ("de", "en") for w in words] + [("de:", "de", "", 1.0)]
+    vocab = spark.createDataFrame(rows, "item_id string, lang string, text string, freq_share double")
+    asked = sorted({w[:n] for w in words[::2] for n in range(1, len(w) + 1)} | {"", "zz"})
+    queries = spark.createDataFrame([(f"{i}/{x}", x, "de") for x in asked for i in range(2)], "query_id string, q string, lang string")
+    out = suggest.prefix_suggestions(queries, vocab, 5, ["lang"], 1.5, 0.5)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()  # cut to the limit before the exchange
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["item_id"])
+    for x in asked:
+        hits = sorted((-round(1.5 * len(x) / len(w) + 0.5 * f, 6), w, item) for item, lang, w, f in rows if lang == "de" and w.startswith(x) and x)
+        assert got.get(f"0/{x}", []) == got.get(f"1/{x}", []) == [item for _, _, item in hits[:5]]
 
 
 def test_division_and_edit_distance_against_brute_force(spark):
