@@ -278,17 +278,33 @@ def bucket_edges(members: DataFrame, join: Join) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def telling_buckets(met: DataFrame) -> DataFrame:
+    """signature, node, distinct, of one bucket for each set of members that buckets of a band have.
+
+    Near copies meet in most of their signatures, and a bucket with the same
+    members tells nothing new.  Members are told apart by their number and 128
+    bits of hashes.
+    """
+    rows = met.distinct()
+    same = [(F.col("signature").bitwiseAND(63)).alias("band"), F.count(F.lit(1)).alias("members"),
+            *(F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"hash_{seed}") for seed in (1, 2))]
+    of = rows.groupBy("signature").agg(*same[1:]).select("signature", same[0], "members", "hash_1", "hash_2")
+    chosen = of.groupBy("band", "members", "hash_1", "hash_2").agg(F.min("signature").alias("signature"))
+    return rows.join(chosen.select("signature"), "signature")
+
+
 def candidate_clusters(rows: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """node, cluster: sets joined by shared signatures and alike profiles; only such sets can link.
 
     Rows are exchanged once, by signature; equal sets have been merged per task
-    before.  Only the rows of buckets with several sets get their profiles.
+    before.  Only the rows of telling buckets with several sets get their profiles.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # With the join's own conditions stated here, both uses below have one plan and share one exchange.
     dealt = rows.where("signature is not null and node is not null").repartition(n, "signature")
     shared = dealt.groupBy("signature").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     met = cut_lineage(dealt.join(shared.select("signature"), "signature"), "shared")
+    met = cut_lineage(telling_buckets(met), "telling")
     known = sets.where("node is not null").select("node", F.struct("n_shingles", "profiles").alias("of"))
     known = known.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("of").alias("of"))
     own = F.filter("of.profiles", lambda p: p["band"].bitwiseAND(63) == F.col("signature").bitwiseAND(63))

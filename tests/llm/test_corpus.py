@@ -462,3 +462,15 @@ def test_pipeline_equals_its_stages(spark, tmp_path, prose, documents):
     whole = corpus_pipeline.run(spark, folder)
     assert Counter(whole.columns) == Counter(["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     assert {r["doc_id"] for r in whole.collect()} == left
+
+
+def test_one_bucket_for_each_set_of_members(spark):
+    held = {64: [1, 2, 3], 128: [3, 2, 1], 192: [1, 2], 65: [1, 2, 3], 129: [2, 3], 193: [2, 3], 256: [-5, 9]}
+    rows = [(s, n) for s, nodes in held.items() for n in nodes]
+    met = spark.createDataFrame(rows + rows[:4], "signature long, node long")  # a set given by two tasks
+    got = {}
+    for r in partenum.telling_buckets(met).collect():
+        got.setdefault(r["signature"], []).append(r["node"])
+    # Those of another band stay, as their profiles differ.
+    assert {s: sorted(n) for s, n in got.items()} == {64: [1, 2, 3], 192: [1, 2], 65: [1, 2, 3], 129: [2, 3], 256: [-5, 9]}
+    assert partenum.telling_buckets(met.limit(0)).count() == 0
