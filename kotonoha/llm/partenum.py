@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kotonoha.llm.common import SLICE, map_rows, quoted, ship
+from kotonoha.llm.common import map_rows, quoted, ship
 from kotonoha.llm.components import components
 from kotonoha.session import cut_lineage
 
@@ -131,27 +131,33 @@ def plan(band: int, join: Join) -> tuple[int, int, int, tuple]:
     return math.ceil((spoilt + 1) * join.slack), spoilt, second, tuple(combinations(range(second), join.subset))
 
 
-def cells(found: np.ndarray, band: int, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """For a band, the hash of the shingles in every second-level partition, a row per first-level one, and their number."""
-    first, _, second, _ = plan(band, join)
-    part = ((mixed(found ^ U(BASE_A)) >> U(32)) * U(first * second) >> U(32)).astype(np.int64)  # equal shares of the hashes
-    sums = np.zeros(first * second, np.uint64)
-    np.add.at(sums, part, mixed(found + U(BASE_B)))
-    return sums.reshape(first, second), np.bincount(part, minlength=first * second).reshape(first, second)
+def cells(found: np.ndarray, join: Join) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each band of a set, the hash of the shingles in every second-level partition, a row per first-level one, and their number."""
+    if not len(found):
+        return {}
+    share, value = mixed(found ^ U(BASE_A)) >> U(32), mixed(found + U(BASE_B))
+    out = {}
+    for band in bands(len(found), join):
+        first, _, second, _ = plan(band, join)
+        part = (share * U(first * second) >> U(32)).astype(np.int64)  # equal shares of the hashes
+        sums = np.zeros(first * second, np.uint64)
+        np.add.at(sums, part, value)
+        out[band] = sums.reshape(first, second), np.bincount(part, minlength=first * second).reshape(first, second)
+    return out
 
 
-def profiles(found: np.ndarray, join: Join) -> list[dict]:
-    """A byte of each second-level partition's hash, for each band of a set.
+def profiles(found: np.ndarray, join: Join, parted: dict | None = None) -> list[dict]:
+    """A byte of each second-level partition's hash, for each band of a set; ``parted`` are its ``cells`` if known.
 
     Partitions whose bytes differ hold a shingle of only one set, so two sets
     that link differ in no more bytes than they may in shingles.
     """
-    return [{"band": band, "cells": (mixed(cells(found, band, join)[0].ravel()) >> U(56)).astype(np.uint8).tobytes()}
-            for band in (bands(len(found), join) if len(found) else ())]
+    return [{"band": band, "cells": (mixed(sums.ravel()) >> U(56)).astype(np.uint8).tobytes()}
+            for band, (sums, _) in (parted or cells(found, join)).items()]
 
 
-def signatures(found: np.ndarray, join: Join) -> np.ndarray:
-    """Signed 64-bit signatures of a set, distinct; the last six bits are those of the band.
+def signatures(found: np.ndarray, join: Join, parted: dict | None = None) -> np.ndarray:
+    """Signed 64-bit signatures of a set, distinct; the last six bits are those of the band; ``parted`` as above.
 
     Linked sets agree in a subset of all first-level partitions but the spoilt
     ones.  Let every set rank its subsets by their shingles, the most first, then
@@ -160,12 +166,9 @@ def signatures(found: np.ndarray, join: Join) -> np.ndarray:
     this rank of each kind, so the rest is not needed.  What is left out is empty
     or small, and would bring unlike sets together.
     """
-    out = []
-    if not len(found):
-        return np.zeros(0, np.int64)
-    for band in bands(len(found), join):
+    out = [np.zeros(0, np.uint64)]
+    for band, (sums, filled) in (parted or cells(found, join)).items():
         first, spoilt, _, subsets = plan(band, join)
-        sums, filled = cells(found, band, join)
         place = np.arange(first, dtype=np.uint64) * U(len(subsets)) + U(band << 40)
         values, sizes = [], []
         for i, subset in enumerate(subsets):
@@ -182,35 +185,26 @@ def signatures(found: np.ndarray, join: Join) -> np.ndarray:
 
 
 def described(df: DataFrame, join: Join, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns ``keep``, n_shingles, node (a digest of the set, null if it is empty) and profiles of every row."""
-    def row(text):
-        found = shingles(text or "", join.size)
-        return len(found), digest(found) if len(found) else None, profiles(found, join)
-
-    profile = T.StructType([T.StructField("band", T.IntegerType()), T.StructField("cells", T.BinaryType())])
-    return map_rows(df, lambda: row, [text_col], [id_col, *keep], [
-        T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("profiles", T.ArrayType(profile))])
+    """id, the columns ``keep``, n_shingles, node (a digest of the set, null if it is empty), profiles and signatures of
+    every row; a task gives the last two of equal sets once, then null."""
+    def make():
+        seen: set[int] = set()
 
+        def row(text):
+            found = shingles(text or "", join.size)
+            node = digest(found) if len(found) else None
+            if node is None or node in seen:
+                return len(found), node, None, None
+            seen.add(node)
+            parted = cells(found, join)
+            return len(found), node, profiles(found, join, parted), signatures(found, join, parted)
 
-def signature_rows(df: DataFrame, join: Join, text_col: str) -> DataFrame:
-    """node, signature: a row per signature of a set; a task gives those of equal sets once."""
-    ship(df.sparkSession.sparkContext)
+        return row
 
-    def rows(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                nodes, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for text in batch.column(0).slice(at, SLICE).to_pylist():
-                    found = shingles(text or "", join.size)
-                    if not len(found) or (node := digest(found)) in seen:
-                        continue
-                    seen.add(node)
-                    values.append(signatures(found, join))
-                    nodes.append(np.full(len(values[-1]), node))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, values)], ["node", "signature"])
-
-    return df.select(F.make_valid_utf8(quoted(text_col))).mapInArrow(rows, "node long, signature long")
+    profile = T.StructType([T.StructField("band", T.IntegerType()), T.StructField("cells", T.BinaryType())])
+    return map_rows(df, make, [text_col], [id_col, *keep], [
+        T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()),
+        T.StructField("profiles", T.ArrayType(profile)), T.StructField("signatures", T.ArrayType(T.LongType()))])
 
 
 def alike(sizes: np.ndarray, seen: np.ndarray, join: Join) -> list[tuple[int, int]]:
@@ -293,19 +287,20 @@ def telling_buckets(met: DataFrame) -> DataFrame:
     return rows.join(chosen.select("signature"), "signature")
 
 
-def candidate_clusters(rows: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+def candidate_clusters(sets: DataFrame, join: Join) -> DataFrame:
     """node, cluster: sets joined by shared signatures and alike profiles; only such sets can link.
 
-    Rows are exchanged once, by signature; equal sets have been merged per task
-    before.  Only the rows of telling buckets with several sets get their profiles.
+    Signatures are exchanged once; equal sets have been merged per task before.
+    Only the rows of telling buckets with several sets get their profiles.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.select("node", F.explode("signatures").alias("signature"))
     # With the join's own conditions stated here, both uses below have one plan and share one exchange.
     dealt = rows.where("signature is not null and node is not null").repartition(n, "signature")
     shared = dealt.groupBy("signature").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     met = cut_lineage(dealt.join(shared.select("signature"), "signature"), "shared")
     met = cut_lineage(telling_buckets(met), "telling")
-    known = sets.where("node is not null").select("node", F.struct("n_shingles", "profiles").alias("of"))
+    known = sets.where("signatures is not null").select("node", F.struct("n_shingles", "profiles").alias("of"))
     known = known.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("of").alias("of"))
     own = F.filter("of.profiles", lambda p: p["band"].bitwiseAND(63) == F.col("signature").bitwiseAND(63))
     members = met.join(known, "node").select("signature", "node", F.col("of.n_shingles").alias("n"), own[0]["cells"].alias("cells"))
@@ -420,8 +415,8 @@ def grouped(df: DataFrame, join: Join, id_col: str, text_col: str, keep: tuple[s
     """doc, the columns ``keep``, n_shingles, node, component and keeper (the smallest id of what links reach, and the
     smallest of its sets there) of every row; no component or keeper where the set is empty."""
     sets = cut_lineage(described(df, join, id_col, text_col, keep).withColumnRenamed(id_col, "doc"), "sets")
-    clusters = candidate_clusters(signature_rows(df, join, text_col), sets, join)
-    sets = sets.drop("profiles")
+    clusters = candidate_clusters(sets, join)
+    sets = sets.drop("profiles", "signatures")
     firsts = (sets.where("node is not null and doc is not null").groupBy("node")
               .agg(F.min("doc").alias("doc"), F.max("n_shingles").alias("n")))
     members = cut_lineage(clusters.join(firsts, "node"), "members")
