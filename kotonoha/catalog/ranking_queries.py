@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kotonoha.catalog import retrieval_queries as rq
@@ -9,7 +12,7 @@ from kotonoha.catalog import sql_views as q
 from kotonoha.catalog.index_queries import GFREQ, KOBS, aligned_words, reading_observations
 from kotonoha.catalog.registry import query
 from kotonoha.functions import text
-from kotonoha.operators import collect, index, querylog, reshape, retrieve, score, segment
+from kotonoha.operators import collect, filters, index, querylog, reshape, retrieve, score, segment
 from kotonoha.plans import native, search
 from kotonoha.session import cut_lineage
 from kotonoha.sources import records, views
@@ -257,16 +260,34 @@ def col7(spark, sf):
 GUESS = {**HITS, "v_guess": """SELECT query_id, least(n, 100) AS guess_value, CASE WHEN n > 100 THEN 'MoreThan' ELSE 'Accurate' END AS guess_type FROM
     (SELECT query_id, count(DISTINCT item_id) AS n FROM v_query_words LEFT JOIN v_hits USING (query_id) GROUP BY query_id)""",
          "v_kguess": f"""SELECT query_id, least(count(literal), 15) AS guess_value FROM (SELECT query_id, unnest(string_split({q.han('query_id')}, '')) AS c FROM v_query_words)
-    LEFT JOIN v_kanji ON literal = c GROUP BY query_id"""}
+    LEFT JOIN v_kanji ON literal = c GROUP BY query_id""",
+         "v_name_hits": f"""SELECT query_id, item_id FROM (SELECT query_id, item_id, q_grams, n_grams, count(*) AS overlap FROM v_qgrams JOIN
+        (SELECT item_id, unnest(g) AS gram, len(g) AS n_grams FROM (SELECT sequence AS item_id, {q.index_grams('transcription')} AS g FROM v_names)) USING (gram)
+        GROUP BY ALL) WHERE overlap / (0.1 * n_grams + 0.9 * q_grams) >= 0.5""",
+         "v_sentence_hits": "SELECT query_id, doc_id AS item_id FROM v_query_words JOIN v_doc_terms ON term = q WHERE lang = 'en'",
+         "v_guesses": """SELECT query_id, 'Words' AS target, guess_value, guess_type FROM v_guess UNION ALL SELECT query_id, 'Kanji', guess_value, 'Accurate' FROM v_kguess
+    UNION ALL SELECT query_id, target, least(n, 100), CASE WHEN n > 100 THEN 'MoreThan' ELSE 'Accurate' END FROM
+      (SELECT query_id, 'Names' AS target, count(DISTINCT item_id) AS n FROM v_query_words LEFT JOIN v_name_hits USING (query_id) GROUP BY query_id UNION ALL
+       SELECT query_id, 'Sentences', count(DISTINCT item_id) FROM v_query_words LEFT JOIN v_sentence_hits USING (query_id) GROUP BY query_id)"""}
+
+
+def guesses(spark, sf):
+    """query_id, target, guess_value, guess_type: each word of the log in all four targets, its
+    sentences by their English terms and its names by their transcriptions."""
+    qs = views.query_words(spark, sf)
+    names = retrieve.ngram_candidates(retrieve.query_grams(qs), index.ngram_items(views.names(spark, sf), "sequence", "transcription"))
+    names = filters.above_threshold(names.withColumn("relevance", score.dice_weighted(score.NAME_DICE_WEIGHT)), score.NAME_THRESHOLD_FOREIGN)
+    english = views.doc_terms(spark, sf).where("lang = 'en'")
+    of = {"Words": collect.guess(qs, term_hits(spark, sf)),
+          "Kanji": collect.kanji_guess(qs.select("query_id", views.han("query_id").alias("q")), views.kanji(spark, sf)),
+          "Names": collect.guess(qs, names),
+          "Sentences": collect.term_guess(qs, qs.select("query_id", F.col("q").alias("term")), english)}
+    return reduce(DataFrame.unionByName, [g.select("query_id", F.lit(t).alias("target"), "guess_value", "guess_type") for t, g in of.items()])
 
 
-@query("col8_count_guess", """SELECT query_id, 'Words' AS target, guess_value, guess_type FROM v_guess UNION ALL
-    SELECT query_id, 'Kanji', guess_value, 'Accurate' FROM v_kguess""", GUESS)
+@query("col8_count_guess", "SELECT query_id, target, guess_value, guess_type FROM v_guesses", GUESS)
 def col8(spark, sf):
-    qs = views.query_words(spark, sf)
-    w = collect.guess(qs, term_hits(spark, sf)).select("query_id", F.lit("Words").alias("target"), "guess_value", "guess_type")
-    k = collect.kanji_guess(qs.select("query_id", views.han("query_id").alias("q")), views.kanji(spark, sf))
-    return w.unionByName(k.select("query_id", F.lit("Kanji").alias("target"), "guess_value", "guess_type"))
+    return guesses(spark, sf)
 
 
 @query("col9_formatted_guess", "SELECT query_id, CASE WHEN guess_type = 'MoreThan' THEN '>' ELSE '' END || guess_value AS label FROM v_guess", GUESS)
@@ -274,15 +295,12 @@ def col9(spark, sf):
     return collect.guess(views.query_words(spark, sf), term_hits(spark, sf)).select("query_id", collect.format_guess().alias("label"))
 
 
-@query("col10_help_for_empty", """SELECT query_id, 'Kanji' AS target, guess_value, 'Accurate' AS guess_type FROM v_kguess WHERE guess_value > 0
+@query("col10_help_for_empty", """SELECT query_id, target, guess_value, guess_type FROM v_guesses WHERE guess_value > 0 AND target <> 'Words'
     AND query_id IN (SELECT query_id FROM v_query_words ANTI JOIN (SELECT query_id FROM v_hits WHERE relevance >= 0.8) USING (query_id))""", GUESS)
 def col10(spark, sf):
-    """Queries without a hit of 0.8 get the guesses of the other targets."""
+    """Queries without a word of 0.8 get the guesses of the other three targets."""
     qs = views.query_words(spark, sf).withColumn("target", F.lit("Words"))
-    tot = collect.totals(term_hits(spark, sf, 0.8))
-    g = collect.guess(qs, term_hits(spark, sf)).withColumn("target", F.lit("Words"))
-    k = collect.kanji_guess(qs.select("query_id", views.han("query_id").alias("q")), views.kanji(spark, sf)).withColumn("target", F.lit("Kanji"))
-    return collect.help_for_empty(qs, tot, g.unionByName(k))
+    return collect.help_for_empty(qs, collect.totals(term_hits(spark, sf, 0.8)), guesses(spark, sf).where("target <> 'Words'"))
 
 
 @query("col11_pagination", """SELECT query_id, total, pages, current, array_to_string(CASE WHEN last = 0 THEN [] ELSE range(greatest(1, c1 - (h + (h - least(last - c1, h)))),

@@ -129,6 +129,22 @@ def guess(queries: DataFrame, hits: DataFrame, limit: int = fixed.GUESS_LIMIT) -
     return counted.select("query_id", *with_limit(F.col("n"), limit))
 
 
+def term_guess(queries: DataFrame, terms: DataFrame, postings: DataFrame, doc: str = "doc_id",
+               limit: int = fixed.GUESS_LIMIT) -> DataFrame:
+    """query_id, guess_value, guess_type: documents with any of a query's terms, counted up to limit + 1.
+
+    ``terms``: query_id and the key columns of the postings, which are those that
+    both tables have.  Of every key only limit + 1 documents are kept, a rank filter
+    that works before the exchange: a key with more fills the count by itself, and
+    one with fewer keeps them all, so the guess is exact and a term of a third of
+    all documents costs no more than a rare one.
+    """
+    keys = [c for c in terms.columns if c in postings.columns]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(doc))
+    few = postings.select(*keys, doc).distinct().withColumn("_n", rank).where(F.col("_n") <= limit + 1).drop("_n")
+    return guess(queries, terms.join(few, keys).select("query_id", F.col(doc).alias("item_id")), limit)
+
+
 def with_limit(value: Column, limit: int) -> list[Column]:
     return [F.least(value, F.lit(limit)).cast("int").alias("guess_value"),
             F.when(value > limit, "MoreThan").otherwise("Accurate").alias("guess_type")]

@@ -290,3 +290,18 @@ def test_only_heavy_keys_are_sliced(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small, "k").collect()))
     hot = got.where("k = 0").select(F.spark_partition_id().alias("p")).distinct().count()
     assert hot > 1
+
+
+def test_bounded_guess_against_plain_count(spark):
+    rng = random.Random(8)
+    docs = [(f"t{rng.randrange(12) ** 2 // 12}", lang, d) for d in range(300) for lang in ("en", "de") for _ in range(4)]
+    docs += docs[:50] + [(None, "en", 5)]
+    asked = [(f"q{i}", t, lang) for i in range(20) for lang in ("en", "de")[:1 + i % 2] for t in {f"t{rng.randrange(14)}" for _ in range(1 + i % 4)}]
+    qs = spark.createDataFrame([(f"q{i}",) for i in range(21)], "query_id string")
+    for limit in (0, 3, 100, 1000):
+        out = collect.term_guess(qs, spark.createDataFrame(asked, "query_id string, term string, lang string"),
+                                 spark.createDataFrame(docs, "term string, lang string, doc_id long"), limit=limit)
+        for r in out.collect():
+            n = len({d for i, t, lang in asked if i == r["query_id"] for u, of, d in docs if (u, of) == (t, lang)})
+            assert (r["guess_value"], r["guess_type"]) == (min(n, limit), "MoreThan" if n > limit else "Accurate")
+        assert out.count() == 21
