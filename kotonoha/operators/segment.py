@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from kotonoha import fixed
 from kotonoha.functions import text
 from kotonoha.operators import score
-from kotonoha.plans.scaling import running_sum, salted_join
+from kotonoha.plans.scaling import salted_join
 
 
 def _const_map(table: dict[str, str]) -> Column:
@@ -39,31 +39,33 @@ def rule_at_start(rules: dict[str, list[str]] = fixed.RULES) -> Column:
     return F.when(rule.isin(*rules), rule)
 
 
-def group_words(morphemes: DataFrame, rules: dict[str, list[str]] = fixed.RULES, group: str = "text_id",
-                order: str = "pos") -> DataFrame:
-    """Adds ``word`` (0, 1, ...) and ``place`` (0 = head of its word).
+def group_words(morphemes: DataFrame, rules: dict[str, list[str]] = fixed.RULES, group: str | list[str] = "text_id",
+                order: str = "pos", word: str = "word", place: str = "place") -> DataFrame:
+    """Adds ``word`` (0, 1, ...) and ``place`` (0 = head of its word); rows without a group or an order are dropped.
 
     A morpheme joins the word before it when the previous rule allows its own
     rule; everything is decided from the neighbours in the text.  The one rule
     whose meaning depends on its place (みる opens a word as a verb and continues
     one as an auxiliary) alternates inside a run of みる, which the run position
-    gives.
+    gives.  All of it are windows over ``group``, so the morphemes are exchanged at most
+    once, and not at all if they are already partitioned by a column of ``group``.
     """
-    w = Window.partitionBy(group).orderBy(order)
+    group = [group] if isinstance(group, str) else group
+    w = Window.partitionBy(*group).orderBy(order)
     miru = is_miru()
-    m = morphemes.withColumn("_start", rule_at_start(rules)).withColumn("_miru", miru)
-    m = m.withColumn("_inner", F.when(F.col("_miru") & F.lit("てみる" in rules), "てみる").otherwise(F.col("_start")))
+    m = morphemes.dropna(subset=[*group, order])
+    m = m.withColumn("_start", rule_at_start(rules)).withColumn("_miru", miru)
+    m = m.withColumn("_inner", F.when(F.col("_miru") & F.lit("てみる" in rules), "てみる").otherwise(F.col("_start"))).drop("_miru")
     prev_start, prev_inner = F.lag("_start").over(w), F.lag("_inner").over(w)
     m = (m.withColumn("_if_joined", _allowed(prev_inner, F.col("_inner"), rules))
-         .withColumn("_if_head", _allowed(prev_start, F.col("_inner"), rules)))
+         .withColumn("_if_head", _allowed(prev_start, F.col("_inner"), rules))).drop("_start", "_inner")
     # where both agree the answer is known; it only depends on the previous
     # answer right after a みる, so a known answer is at most one run away
     m = m.withColumn("_known", F.when(F.col("_if_joined") == F.col("_if_head"), F.col("_if_head")))
     m = m.withColumn("_flip", F.col("_known").isNull().cast("int"))
     m = (m.withColumn("_run", F.sum(1 - F.col("_flip")).over(w)))
-    run = Window.partitionBy(group, "_run").orderBy(order)
+    run = Window.partitionBy(*group, "_run").orderBy(order)
     m = m.withColumn("_base", F.first("_known", ignorenulls=True).over(run))
-    m = m.withColumn("_steps", F.sum("_flip").over(run))
     # inside a run every step negates when the head form allows what the inner
     # form does not, and copies otherwise
     m = m.withColumn("_neg", F.when((F.col("_flip") == 1) & F.col("_if_head"), 1).otherwise(0))
@@ -71,53 +73,59 @@ def group_words(morphemes: DataFrame, rules: dict[str, list[str]] = fixed.RULES,
     joined = F.when(F.col("_flip") == 0, F.col("_known")).otherwise(
         (F.col("_base").cast("int") + F.col("_negs")) % 2 == 1)
     m = m.withColumn("_head", (~F.coalesce(joined, F.lit(False))).cast("int"))
-    m = running_sum(m, group, order, "_head", "_word")
-    place = Window.partitionBy(group, "_word").orderBy(order)
-    out = m.withColumn("word", F.col("_word") - 1).withColumn("place", F.row_number().over(place) - 1)
-    return out.select(*morphemes.columns, "word", "place")
+    # runs rise with the order, so that both together sort as the order does and need no further sort
+    along = Window.partitionBy(*group).orderBy("_run", order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = m.withColumn("_word", F.sum("_head").over(along)).withColumn("_row", F.row_number().over(
+        Window.partitionBy(*group).orderBy("_run", order)))
+    head = F.last(F.when(F.col("_head") == 1, F.col("_row")), ignorenulls=True).over(along)
+    m = m.withColumn("_at", F.coalesce(head, F.lit(1)))
+    return m.select(*morphemes.columns, (F.col("_word") - 1).alias(word), (F.col("_row") - F.col("_at")).alias(place))
 
 
-def inflection_pairs(grouped: DataFrame) -> DataFrame:
-    """text_id, word, first, label: inflections of the trailing morphemes.
+def labelled_morphemes(grouped: DataFrame) -> DataFrame:
+    """``grouped`` with ``first`` and ``label`` on the trailing morphemes that open an inflection.
 
     The trailing morphemes of a word are grouped once more by the pair rules;
-    a group of one or two lexemes maps to a label or to nothing.
+    a group of one or two lexemes maps to a label or to nothing.  Heads stay, in groups of their own.
     """
-    trailing = grouped.where("place > 0").withColumn(
-        "_tid", F.concat_ws("/", F.col("text_id").cast("string"), F.col("word").cast("string")))
-    trailing = trailing.withColumn("_i", F.col("place") - 1).drop("word", "place")
-    paired = group_words(trailing, fixed.PAIR_RULES, "_tid", "_i")
-    keyed = paired.groupBy("text_id", "_tid", "word").agg(
-        F.array_sort(F.collect_list(F.struct("_i", "lexeme", "surface"))).alias("ms"))
-    lexemes = F.array_join(F.transform("ms", lambda x: x["lexeme"]), "+")
-    label = F.when((F.size("ms") == 1) & (F.col("ms")[0]["surface"] == "たら"), "Tara").otherwise(
+    keys = ["text_id", "word", "_trailing"]
+    paired = group_words(grouped.withColumn("_trailing", F.col("place") > 0), fixed.PAIR_RULES, keys, "place", "_pair", "_in_pair")
+    w = Window.partitionBy(*keys).orderBy("place")
+    size = F.when(F.lead("_in_pair", 1, 0).over(w) == 0, 1).when(F.lead("_in_pair", 2, 0).over(w) == 0, 2)  # null: longer
+    paired = paired.withColumn("_size", size).withColumn("_next", F.lead("lexeme").over(w))
+    lexemes = F.when(F.col("_size") == 1, F.coalesce("lexeme", F.lit(""))).when(
+        F.col("_size") == 2, F.concat_ws("+", "lexeme", "_next"))
+    label = F.when((F.col("_size") == 1) & (F.col("surface") == "たら"), "Tara").otherwise(
         F.try_element_at(_const_map(fixed.INFLECTIONS), lexemes))
-    return keyed.select("text_id", F.split("_tid", "/")[1].cast("bigint").alias("word"),
-                        F.col("ms")[0]["_i"].alias("first"), label.alias("label")).where("label is not null")
+    opens = F.col("_trailing") & (F.col("_in_pair") == 0)
+    return paired.select(*grouped.columns, F.when(opens, F.col("place") - 1).alias("first"), F.when(opens, label).alias("label"))
+
+
+def inflection_pairs(grouped: DataFrame) -> DataFrame:
+    """text_id, word, first, label: inflections of the trailing morphemes."""
+    return labelled_morphemes(grouped).where("label is not null").select("text_id", "word", "first", "label")
 
 
 def parts_of_texts(morphemes: DataFrame) -> DataFrame:
     """query_id, pos, inflected, normalised, word_class, pos_simple, inflections,
     has_inflections: one row per word of every text.
 
-    A word is a short run of morphemes, so its lists are bounded.
+    A word is a short run of morphemes, so its lists are bounded.  Words and their inflections
+    come from the same rows and stay where the morphemes of their text are.
     """
-    grouped = group_words(morphemes)
     ms = F.array_sort(F.collect_list(F.struct("place", "surface", "lexeme", "reading", "word_class")))
-    words = grouped.groupBy("text_id", "word").agg(ms.alias("ms"))
-    infl = inflection_pairs(grouped).groupBy("text_id", "word").agg(F.transform(F.array_sort(
-        F.collect_list(F.struct("first", "label"))), lambda x: x["label"]).alias("inflections"))
+    labels = F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("first", "label"))))
+    words = labelled_morphemes(group_words(morphemes)).groupBy("text_id", "word").agg(ms.alias("ms"), labels.alias("labels"))
     head = F.col("ms")[0]
     cls = F.when((head["word_class"] == "Symbol") & ~head["reading"].rlike(f"^[{text.JP_SYMBOL}]+$"),
                  "Undetected").when(head["word_class"] == "Numeral", "Noun").otherwise(head["word_class"])
-    out = words.join(infl, ["text_id", "word"], "left")
-    return out.select(
+    return words.select(
         F.col("text_id").alias("query_id"), F.col("word").alias("pos"),
         F.array_join(F.transform("ms", lambda x: x["surface"]), "").alias("inflected"),
         head["lexeme"].alias("normalised"), head["reading"].alias("reading"), cls.alias("word_class"),
         F.try_element_at(_const_map(fixed.WORD_CLASS_POS), cls).alias("pos_simple"),
-        F.coalesce("inflections", F.array().cast("array<string>")).alias("inflections"),
-        F.col("inflections").isNotNull().alias("has_inflections"))
+        F.transform("labels", lambda x: x["label"]).alias("inflections"),
+        (F.size("labels") > 0).alias("has_inflections"))
 
 
 def classify_texts(parts: DataFrame) -> DataFrame:
