@@ -196,15 +196,13 @@ def inflection_entries(parts: DataFrame, max_words: int = 15) -> tuple[DataFrame
     up to fifteen words offers its words as entries, without particles, symbols
     and blanks, scored by their place from the end.
     """
-    n = parts.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_parts"))
-    p = parts.join(n, "query_id")
+    text = Window.partitionBy("query_id")  # windows: the parts of a text stay where they are
+    p = parts.where("query_id is not null").withColumn("n_parts", F.count(F.lit(1)).over(text))
     single = p.where((F.col("n_parts") == 1) & F.col("has_inflections")).select(
         "query_id", F.col("normalised").alias("q"), F.lit(0.75).alias("weight"))
     words = p.where((F.col("n_parts") > 1) & ~F.col("word_class").isin("Particle", "Symbol", "Space"))
-    w = Window.partitionBy("query_id").orderBy("pos")
-    listed = words.withColumn("k", F.row_number().over(w))
-    size = listed.groupBy("query_id").agg(F.max("k").alias("size")).where(F.col("size") <= max_words)
-    custom = listed.join(size, "query_id").where("normalised <> ''").select(
+    listed = words.withColumn("k", F.row_number().over(text.orderBy("pos"))).withColumn("size", F.count(F.lit(1)).over(text))
+    custom = listed.where((F.col("size") <= max_words) & (F.col("normalised") != "")).select(
         "query_id", F.col("normalised").alias("text"), (F.col("size") - F.col("k") + 1).alias("score"))
     return single, custom
 
