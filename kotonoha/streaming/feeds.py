@@ -13,9 +13,11 @@ from kotonoha.sources import records
 
 def stream_files(spark: SparkSession, folder: str, schema, name_filter: str | None = None,
                  fmt: str = "parquet", per_trigger: int = 100) -> DataFrame:
+    """Stream of the files of ``folder``, or of the table ``name_filter`` in it, which is
+    one file or a folder of files.  (A glob, as a stream's path may only so be a file.)"""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
     if name_filter:
-        reader = reader.option("pathGlobFilter", name_filter)
+        folder = f"{folder}/{name_filter[:-1]}[{name_filter[-1]}]"
     return reader.format(fmt).load(folder)
 
 
