@@ -8,13 +8,13 @@ from pyspark.sql.window import Window
 
 from kotonoha.functions import packing, text
 from kotonoha.operators import index, reshape
-from kotonoha.plans.scaling import salted_join
+from kotonoha.plans.scaling import grown
 
 
 def word_kanji(words: DataFrame, kanji: DataFrame) -> DataFrame:
     """sequence, pos, literal: the known kanji of each main reading, in order."""
     ch = words.select("sequence", F.posexplode(text.chars(reshape.main_reading())).alias("pos", "literal"))
-    return salted_join(ch, kanji.select("literal"), ["literal"], ["sequence"]).select(
+    return ch.join(F.broadcast(kanji.select("literal")), "literal").select(
         "sequence", "pos", "literal")
 
 
@@ -22,7 +22,7 @@ def collocations(words: DataFrame) -> DataFrame:
     """sequence, pos, other, reading: the collocation words that exist."""
     c = words.select("sequence", F.posexplode("collocations").alias("pos", "other"))
     target = words.select(F.col("sequence").alias("other"), reshape.main_reading().alias("reading"))
-    return c.join(target, "other").select("sequence", "pos", "other", "reading")
+    return c.join(grown(target), "other").select("sequence", "pos", "other", "reading")
 
 
 def transitivity(words: DataFrame) -> DataFrame:
@@ -45,14 +45,14 @@ def word_details(words: DataFrame, kanji: DataFrame, lang: Column, english: Colu
         F.collect_list(F.struct("pos", "reading"))), lambda x: x["reading"]).alias("collocations"))
     base = words.select(
         "sequence", packing.has_sentence("sentences_available", lang, english).alias("has_sentence"))
-    return (base.join(k, "sequence", "left").join(c, "sequence", "left")
-            .join(transitivity(words), "sequence", "left"))
+    return (base.join(grown(k), "sequence", "left").join(grown(c), "sequence", "left")
+            .join(grown(transitivity(words)), "sequence", "left"))
 
 
 def sentence_kanji(sentences: DataFrame, kanji: DataFrame) -> DataFrame:
     """id, pos, literal: known kanji of each sentence, in order, repeats kept."""
     ch = sentences.select("id", F.posexplode(text.chars("japanese")).alias("pos", "literal"))
-    return salted_join(ch, kanji.select("literal"), ["literal"], ["id", "pos"]).select("id", "pos", "literal")
+    return ch.join(F.broadcast(kanji.select("literal")), "literal").select("id", "pos", "literal")
 
 
 def best_word_per_part(scored: DataFrame) -> DataFrame:
