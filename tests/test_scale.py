@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from kotonoha import fixed
 from kotonoha.operators import retrieve, segment, suggest
+from kotonoha.plans import scaling
+from kotonoha.streaming import feeds
 
 
 def plan(df) -> str:
@@ -92,3 +94,36 @@ def test_variants_and_entries_move_no_parts(spark):
             entries |= {(t, p.normalised, len(kept) - k) for k, p in enumerate(kept)}
     assert {(r.query_id, r.variant, r.q) for r in variants.collect()} == want
     assert {(r.query_id, r.text, r.score) for r in custom.collect()} == entries
+
+
+def test_joins_go_by_measured_size(spark, monkeypatch):
+    # the big side looks small: one row on disk, exploded later
+    big = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(3000))).alias("id")).withColumn("k", F.col("id") % 7)
+    small = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    want = sorted((i, i % 7, i % 7 * 10) for i in range(1, 3001))
+    few = scaling.salted_join(big, small, ["k"], ["id"])
+    assert "BuildRight" in plan(few) and sorted((r.id, r.k, r.v) for r in few.collect()) == want
+    monkeypatch.setattr(scaling, "BROADCAST_ROWS", 3)
+    many = scaling.salted_join(big, small, ["k"], ["id"])
+    assert "BroadcastHashJoin" not in plan(many) and sorted((r.id, r.k, r.v) for r in many.collect()) == want
+    left = scaling.measured_join(big, small.where("k > 3"), ["k"], "left")
+    assert sorted((r.id, r.v or 0) for r in left.collect()) == [(i, v if k > 3 else 0) for i, k, v in want]
+
+
+def test_pairs_of_documents_arise_where_the_document_is(spark):
+    vectors = spark.createDataFrame([("en", d, f"t{(d + i) % 9}", 1.0 + i) for d in range(30) for i in range(3)],
+                                    "posting string, doc_id long, term string, weight double")
+    terms = spark.createDataFrame([("a", "t1", 1.0), ("a", "t2", 0.5), ("b", "t8", 1.0)], "query_id string, term string, qw double")
+    got = retrieve.vector_candidates(terms, vectors)
+    assert plan(got).count("Exchange hashpartitioning") - plan(got).count("BroadcastExchange") <= 2
+    assert "hashpartitioning(query_id" not in plan(got)
+    rows = {(q, d) for q, t in (("a", 1), ("a", 2), ("b", 8)) for d in range(30) for i in range(3) if (d + i) % 9 == t}
+    assert {(r.query_id, r.doc_id) for r in got.collect()} == rows
+
+
+def test_streamed_table_may_be_a_folder(spark, tmp_path):
+    docs = spark.createDataFrame([("a b a",), ("c a",)], "text string").repartition(2)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    stream = feeds.stream_files(spark, str(tmp_path), docs.schema, "documents.parquet")
+    path = feeds.run_to_table(feeds.count_terms(stream), "complete")
+    assert {(r.term, r.freq) for r in feeds.latest_state(spark, path).collect()} == {("a", 3), ("b", 1), ("c", 1)}
