@@ -3,10 +3,12 @@
 import contextlib
 import io
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from kotonoha import fixed
+from kotonoha.catalog import index_queries, retrieval_queries
 from kotonoha.operators import retrieve, segment, suggest
 from kotonoha.plans import scaling
 from kotonoha.streaming import feeds
@@ -127,3 +129,57 @@ def test_streamed_table_may_be_a_folder(spark, tmp_path):
     stream = feeds.stream_files(spark, str(tmp_path), docs.schema, "documents.parquet")
     path = feeds.run_to_table(feeds.count_terms(stream), "complete")
     assert {(r.term, r.freq) for r in feeds.latest_state(spark, path).collect()} == {("a", 3), ("b", 1), ("c", 1)}
+
+
+def test_shared_grams_are_counted_without_a_row_each(spark):
+    draw = random.Random(3)
+    texts = ["".join(draw.choices("abc", k=draw.randint(1, 6))) for _ in range(60)]
+    rows = [(None if i % 30 == 0 else i // 2 if i < 8 else i, x, [x[j:j + 2] for j in range(len(x) - 1)] or None) for i, x in enumerate(texts)]
+    rows = [(i, len(g or []), sorted(set(g)) if g else g) for i, _, g in rows]
+    asked = [(q, n, g, n + 1) for q, n, gs in ((None, 2, ["ab", "bc"]), ("x", 3, ["aa", "ab", "zz"]), ("y", 1, ["cc"]), ("y", 2, ["cc", "ab"]),
+                                               ("z", 1, [None])) for g in gs]
+    want = {}
+    for i, size, held in rows:
+        for q, n, g, k in asked:
+            if g in (held or []):
+                o, a, b, c = want.get((q, i), (0, 0, 0, 0))
+                want[q, i] = o + 1, max(a, n), max(b, size), max(c, k)
+    grams = spark.createDataFrame(asked, "query_id string, q_grams int, gram string, k long")
+    items = spark.createDataFrame(rows, "item_id long, n_grams int, grams array<string>")
+    for part, some in ((items, rows), (items.where("item_id >= 8"), None)):
+        got = retrieve.ngram_candidates(grams, part)
+        assert "MapInArrow" in plan(got)
+        keep = {k: v for k, v in want.items() if some or (k[1] or 0) >= 8}
+        found = got.collect()
+        assert Counter((r.query_id, r.item_id) for r in found) == Counter(list(keep))
+        assert {(r.query_id, r.item_id): (r.overlap, r.q_grams, r.n_grams, r.k) for r in found} == keep
+    none = retrieve.ngram_candidates(grams.where("k < 0"), items)
+    assert none.count() == 0 and none.schema["overlap"].dataType.simpleString() == "bigint"
+
+
+def test_files_of_elements_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(index_queries, "XML_RECORDS", 10)
+    path = index_queries._as_xml(spark.range(95).coalesce(1).selectExpr("id AS sequence"), "entry", spark)
+    got = spark.read.schema("sequence long").format("xml").option("rowTag", "entry").load(path)
+    assert len(got.inputFiles()) == 10 and sorted(r.sequence for r in got.collect()) == list(range(95))
+
+
+def test_entries_are_dealt_before_their_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(suggest, "PREFIXES_PER_TASK", 20)
+    rows = [(i, f"na{i:03d}", 0.0) for i in range(50)]
+    vocab = spark.createDataFrame(rows, "item_id long, text string, freq_share double").coalesce(1)
+    table = suggest.completions(vocab, 3)
+    assert "RoundRobinPartitioning(13)" in plan(table)
+    got = {(r.prefix, r.rank): r.item_id for r in table.collect()}
+    want = {}
+    for i, x, _ in rows:
+        for n in range(1, 6):
+            want.setdefault(x[:n], []).append(i)
+    assert got == {(p, k + 1): i for p, ids in want.items() for k, i in enumerate(ids[:3])}
+
+
+def test_terms_are_spelt_after_they_are_counted(spark, tmp_path):
+    spark.createDataFrame([("en", "kana kana"), (None, "xq")], "lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    t = retrieval_queries.kana_terms(spark, str(tmp_path))
+    assert "Aggregate" not in plan(t.where("k0 = 'かな'"))
+    assert {(r.item_id, r.k, r.freq) for r in t.where("k0 = 'かな'").collect()} == {("en:kana", "かな", 2)}
