@@ -32,10 +32,14 @@ def src1(spark, sf):
     return out
 
 
+#: Elements of one XML file, which a single task reads whole.
+XML_RECORDS = 10_000
+
+
 def _as_xml(df, row_tag, spark):
-    """Write rows as elements of well-formed XML files; returns the folder."""
+    """Write rows as elements of well-formed XML files of bounded size; returns the folder."""
     path = scratch_path(spark, f"raw-{row_tag}")
-    df.write.format("xml").option("rowTag", row_tag).option("rootTag", f"{row_tag}s").save(path)
+    df.write.format("xml").option("rowTag", row_tag).option("rootTag", f"{row_tag}s").option("maxRecordsPerFile", XML_RECORDS).save(path)
     return path
 
 
