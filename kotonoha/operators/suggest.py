@@ -14,6 +14,9 @@ from kotonoha.plans.scaling import salted_join
 
 LIMIT = fixed.SUGGESTION_LIMIT
 
+#: Prefixes that a task spells out and sorts at a time, about 200 bytes each.
+PREFIXES_PER_TASK = 1_000_000
+
 
 def weighted(share: Column, freq_share: Column, str_weight=1.0, freq_weight=1.0, total=1.0) -> Column:
     """total * (str * prefix share + freq * normalised frequency)."""
@@ -60,11 +63,14 @@ def completions(vocab: DataFrame, limit: int = LIMIT, on: list[str] | None = Non
     A prefix tree as a table, for inputs of any length.  Rows grow with the
     letters of the vocabulary.  Each task keeps its ``limit`` best rows of a
     prefix before they are exchanged, so a first letter that a third of all
-    entries share sends ``limit`` rows per task, not those entries.
+    entries share sends ``limit`` rows per task, not those entries.  A task sorts what its
+    entries spell, so these are measured and dealt over as many tasks as bound that.
     """
     by = [*(on or []), "prefix"]
     size = F.length("text")
-    every = vocab.where(size > 0).select("*", F.explode(F.sequence(F.lit(1), size)).alias("n"))
+    spelt = vocab.agg(F.sum(size)).first()[0] or 0
+    tasks = max(int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-spelt // PREFIXES_PER_TASK))
+    every = vocab.where(size > 0).repartition(tasks).select("*", F.explode(F.sequence(F.lit(1), size)).alias("n"))
     scored = every.select(*(on or []), F.left(F.col("text"), F.col("n")).alias("prefix"), "item_id", "text", weighted(
         F.col("n") / size, F.col("freq_share"), str_weight, freq_weight, total).alias("score"))
     return best(scored, limit, by=by)
