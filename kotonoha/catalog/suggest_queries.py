@@ -84,7 +84,7 @@ ROM = {
 @query("sug4_romaji_suggestions", """SELECT query_id, item_id, text, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, text, item_id) AS rank
     FROM v_rs) WHERE rank <= 30""", ROM)
 def sug4(spark, sf):
-    t = views.terms(spark, sf).select("item_id", kana.search_hiragana("term").alias("text"), kana.romaji_to_hiragana("term").alias("k0"), "freq")
+    t = rq.kana_terms(spark, sf).withColumnRenamed("k", "text")
     v = suggest.frequency_share(t).where(text.is_kana("k0")).drop("k0", "freq")
     return suggest.romaji_suggestions(typed(spark, sf), v)
 
