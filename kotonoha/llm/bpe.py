@@ -139,11 +139,15 @@ class Transducer:
             self.clear()
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        state, ends, out, known, ahead = self.start, [], [], self.arcs.get, self.ahead
+        state, ends, out, arcs, ahead = self.start, [], [], self.arcs, self.ahead
+        ended = ends.append
         for begin in range(0, len(piece), ahead):
             for byte in piece[begin:begin + ahead]:
-                state, token = known(state + byte) or self.arc(state + byte)
-                ends.append(token)
+                try:
+                    state, token = arcs[state + byte]
+                except KeyError:  # an arc is made once and read many times
+                    state, token = self.arc(state + byte)
+                ended(token)
             if begin + ahead < len(piece):
                 ways = [set(self.back(ends, len(ends) - len(read))) for read, _ in self.alive[state >> 8]]
                 settled = max(set.intersection(*ways))
@@ -242,8 +246,10 @@ class Decoder:
 
     def decode(self, ids) -> str:
         """The text of all ids; where no id splits a character, the machine stays in its first state."""
-        texts = list(map(self.whole.get, ids))
-        return "".join(self.pieces(ids) if None in texts else texts)
+        try:
+            return "".join(map(self.whole.__getitem__, ids))
+        except KeyError:
+            return "".join(self.pieces(ids))
 
 
 class Encoder:
