@@ -25,12 +25,13 @@ def radical_requests(spark, sf):
     return w.select("query_id", F.explode(F.array_distinct(text.chars("query_id"))).alias("radical"))
 
 
-def letter_parts(spark, sf):
-    return index.part_postings(views.letters(spark, sf))
+def stored_letters(spark, sf):
+    """The characters with their parts, stored: finding those with all radicals reads them twice."""
+    return cut_lineage(views.letters(spark, sf), "letters")
 
 
-def with_all(spark, sf):
-    return radicals.kanji_with_all(radical_requests(spark, sf), views.letters(spark, sf))
+def with_all(spark, sf, letters=None):
+    return radicals.kanji_with_all(radical_requests(spark, sf), stored_letters(spark, sf) if letters is None else letters)
 
 
 @query("rad1_characters_by_radicals", "SELECT query_id, literal, CAST(stroke_count AS BIGINT) AS stroke_count FROM v_all", RAD)
@@ -44,7 +45,8 @@ def rad1(spark, sf):
     FROM v_all JOIN v_parts USING (literal) GROUP BY ALL""", RAD)
 def rad2(spark, sf):
     strokes = spark.createDataFrame([(c, (i + 1) % 7 + 1) for i, c in enumerate(views.LETTERS)], "literal string, stroke_count int")
-    out = radicals.possible_radicals(with_all(spark, sf), letter_parts(spark, sf), strokes)
+    letters = cut_lineage(radicals.one_per_parts(views.letters(spark, sf)), "letter-sets")
+    out = radicals.possible_radicals(with_all(spark, sf, letters), index.part_postings(letters), strokes)
     return out.withColumn("radicals", F.array_join("radicals", ""))
 
 
@@ -80,17 +82,18 @@ WORDRAD = {"v_best": f"""SELECT query_id, item_id, term, rank FROM (SELECT query
         (SELECT literal, literal AS radical, 0 AS i FROM v_kanji UNION ALL SELECT literal, nxt, 1 FROM v_kanji) USING (literal) GROUP BY ALL)) WHERE n <= 10"""}
 
 
-def word_hits(spark, sf):
+def word_hits(spark, sf, headwords):
     """Best headwords of the misspelt words, written in ideographs."""
     from kotonoha.operators import score
-    t = views.terms(spark, sf).select("item_id", views.han("term").alias("reading"))
-    c = rq.candidates(spark, sf, 0.5).where(score.dice() >= 0.5)
+    t = headwords.select("item_id", views.han("term").alias("reading"))
+    c = rq.candidates(spark, sf, 0.5, headwords).where(score.dice() >= 0.5)
     return c.select("query_id", "item_id", F.round(score.dice(), 6).alias("relevance")).join(t, "item_id")
 
 
 @query("rad4_radicals_of_words", "SELECT query_id, radical FROM v_wr", WORDRAD)
 def rad4(spark, sf):
-    return radicals.radicals_of_words(word_hits(spark, sf), views.kanji(spark, sf).select("literal", "parts"))
+    t = views.stored_terms(spark, sf)
+    return radicals.radicals_of_words(word_hits(spark, sf, t), views.kanji(spark, sf, t).select("literal", "parts"))
 
 
 @query("rad5_radical_search", f"""SELECT DISTINCT query_id, radical FROM (
@@ -101,8 +104,9 @@ def rad4(spark, sf):
 def rad5(spark, sf):
     m = meaning_queries(spark, sf)
     qs = m.unionByName(m.select(F.concat(F.lit("han:"), F.col("query_id")).alias("query_id"), views.han("query_id").alias("q")))
-    hits = word_hits(spark, sf)
-    return radicals.radical_search(qs, views.kanji(spark, sf).select("literal", "parts"), views.radicals(spark, sf), hits, hits)
+    t = views.stored_terms(spark, sf)
+    hits = cut_lineage(word_hits(spark, sf, t), "word-hits")  # two kinds of queries look them up
+    return radicals.radical_search(qs, views.kanji(spark, sf, t).select("literal", "parts"), cut_lineage(views.radicals(spark, sf, t), "radicals"), hits, hits)
 
 
 RAD6 = {"v_low": """SELECT radical AS part, literal AS other, stroke_count AS os, k FROM (SELECT *, row_number() OVER (PARTITION BY radical ORDER BY stroke_count, literal) AS k FROM v_parts) WHERE k <= 10""",
@@ -121,7 +125,8 @@ def rad6(spark, sf):
 
 @query("rad7_radicals_by_strokes", """SELECT query_id, CAST(stroke_count AS BIGINT) AS strokes, string_agg(DISTINCT radical, '' ORDER BY radical) AS radicals FROM v_wr JOIN v_rad_dim ON literal = radical GROUP BY ALL""", WORDRAD)
 def rad7(spark, sf):
-    r = radicals.radicals_of_words(word_hits(spark, sf), views.kanji(spark, sf).select("literal", "parts"))
+    t = views.stored_terms(spark, sf)
+    r = radicals.radicals_of_words(word_hits(spark, sf, t), views.kanji(spark, sf, t).select("literal", "parts"))
     return radicals.group_by_strokes(r, records.radical_dimension(spark)).withColumn("radicals", F.array_join("radicals", ""))
 
 
@@ -166,9 +171,10 @@ _register_tree_sql()
      SEMI JOIN v_kanji USING (literal) GROUP BY ALL)) WHERE pos <= 10""", WORDRAD)
 def rad9(spark, sf):
     from kotonoha.operators import collect
-    hits = word_hits(spark, sf).withColumn("producer", F.lit(0))
+    t = views.stored_terms(spark, sf)
+    hits = word_hits(spark, sf, t).withColumn("producer", F.lit(0))
     page = collect.top_k(hits, 3, [F.col("relevance").desc(), F.col("item_id")])
-    return radicals.page_kanji(page, views.kanji(spark, sf))
+    return radicals.page_kanji(page, views.kanji(spark, sf, t))
 
 
 # -- details ----------------------------------------------------------------------------------
@@ -272,10 +278,10 @@ def aud1(spark, sf):
 @query("aud1_index_checks", """SELECT 'none' AS "check", CAST(0 AS BIGINT) AS violations WHERE 1 = 0""")
 def aud1_indexes(spark, sf):
     """The real indexes have no dangling item."""
-    t = views.terms(spark, sf)
+    t = views.stored_terms(spark, sf)
     w, n = views.words(spark, sf), views.names(spark, sf)
     vec = index.term_vectors(views.doc_terms(spark, sf))
-    gram = views.gram_postings(spark, sf)
+    gram = views.gram_postings(spark, sf, t)
     checks = [("native words", gram, t, "item_id", "item_id"), ("wildcards", index.char_postings(t, "item_id", "term"), t, "item_id", "item_id"),
               ("sentences", vec, views.table(spark, sf, "documents"), "doc_id", "doc_id"),
               ("glosses", index.gloss_terms(w), w, "doc_id", "sequence"),

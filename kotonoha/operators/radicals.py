@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kotonoha.functions import text
-from kotonoha.plans.scaling import by_key, salted_join
+from kotonoha.operators.retrieve import code_mask
+from kotonoha.plans.scaling import by_key, measured_join, salted_join
 from kotonoha.session import cut_lineage
 
 
@@ -19,26 +20,37 @@ def kanji_with_all(requests: DataFrame, kanji: DataFrame, salts: int | None = No
     ``requests``: query_id, radical; ``kanji``: literal, stroke_count, parts.
     Relational division by access path: a character with all radicals has the
     rarest one, so only that posting list is read and the others are tested on
-    the part array in the row.  Radicals no character has are ignored.
+    the part array in the row, after the masks of both have ruled most pairs out.
+    Radicals no character has are ignored.
     """
     freq = kanji.select(F.explode("parts").alias("radical")).groupBy("radical").agg(F.count(F.lit(1)).alias("n"))
     known = requests.select("query_id", "radical").distinct().join(freq, "radical")
     asked = known.groupBy("query_id").agg(F.min_by("radical", F.struct("n", "radical")).alias("radical"),
-                                          F.collect_set("radical").alias("wanted"))
-    posts = by_key(kanji.select("literal", "stroke_count", "parts"), "literal").select(
-        "literal", "stroke_count", "parts", F.explode("parts").alias("radical"))
+                                          F.collect_set("radical").alias("wanted")).withColumn("_wanted", code_mask("wanted"))
+    placed = by_key(kanji.select("literal", "stroke_count", "parts"), "literal").withColumn("_parts", code_mask("parts"))
+    posts = placed.select("literal", "stroke_count", "parts", "_parts", F.explode("parts").alias("radical"))
     hit = salted_join(posts, asked, ["radical"], ["literal"], salts=salts)
+    hit = hit.where(F.col("_wanted").bitwiseAND(F.col("_parts")) == F.col("_wanted"))
     return hit.where(F.size(F.array_except("wanted", "parts")) == 0).select("query_id", "literal", "stroke_count")
 
 
+def one_per_parts(kanji: DataFrame) -> DataFrame:
+    """literal, stroke_count, parts: of the characters with the same parts only the first, for
+    questions whose answer depends on the parts alone."""
+    rows = kanji.where("literal is not null").select(F.array_sort(F.array_distinct("parts")).alias("parts"), "literal", "stroke_count")
+    return rows.groupBy("parts").agg(F.min(F.struct("literal", "stroke_count")).alias("first")).select(
+        "first.literal", "first.stroke_count", "parts")
+
+
 def possible_radicals(found: DataFrame, parts: DataFrame, strokes: DataFrame) -> DataFrame:
     """query_id, strokes, radicals (sorted array): what could still be added.
 
     The arrays hold radicals, a fixed inventory, so they are bounded.
     """
-    # one row per (query, part): distinct runs map-side first
-    pairs = found.select("query_id", "literal").join(
-        parts.select("literal", "radical"), "literal").select("query_id", "radical").distinct()
+    # characters of the same parts are one to a query; both distincts run map-side first
+    alike = parts.groupBy("literal").agg(F.array_sort(F.collect_set("radical")).alias("parts"))
+    sets = measured_join(found.select("query_id", "literal"), alike, ["literal"]).select("query_id", "parts").distinct()
+    pairs = sets.select("query_id", F.explode("parts").alias("radical")).distinct()
     sized = pairs.join(F.broadcast(strokes), pairs.radical == strokes.literal).select(
         "query_id", F.col("stroke_count").alias("strokes"), "radical")
     return sized.groupBy("query_id", "strokes").agg(
