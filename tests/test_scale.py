@@ -5,6 +5,7 @@ import io
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from kotonoha import fixed
@@ -183,3 +184,69 @@ def test_terms_are_spelt_after_they_are_counted(spark, tmp_path):
     t = retrieval_queries.kana_terms(spark, str(tmp_path))
     assert "Aggregate" not in plan(t.where("k0 = 'かな'"))
     assert {(r.item_id, r.k, r.freq) for r in t.where("k0 = 'かな'").collect()} == {("en:kana", "かな", 2)}
+
+
+def small_tables(spark, folder):
+    """documents, benchmark and part of a few rows, in one folder."""
+    spark.createDataFrame([(1, "small rings of stone", "en", "s-1", 20), (2, "Stone rings, small stones", "en", "s-2", 25),
+                           (3, "ringe aus stein", "de", "s-1", 15)], "doc_id long, text string, lang string, source string, n_chars int"
+                          ).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "stones and rings"), (2, "small")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, "large ring", "Brand#7", "LARGE", 4)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+                          ).write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["sco3_native_word_score", "sco11_kanji_reading_suggestion", "rad5_radical_search", "col2_fallback_cascade",
+                                  "rad2_possible_radicals", "rad2_characters_by_strokes", "idx9_term_vectors", "fil9_all_quoted_terms"])
+def test_documents_are_cut_once(spark, tmp_path, name):
+    """The result is made from stored headwords or terms; no use of them reads the documents again."""
+    from kotonoha import catalog
+
+    out = catalog.QUERIES[name](spark, small_tables(spark, tmp_path))
+    assert not [f for f in out.inputFiles() if "documents.parquet" in f]
+    out.collect()
+
+
+def test_alignment_patterns_are_made_once(spark):
+    """A condition on what is exploded from the pairs does not write the pattern out again."""
+    from kotonoha.operators import segment
+
+    rows = spark.createDataFrame([("山の木", "やまのき"), ("山", None)], "kanji string, kana string")
+    runs = segment.align_runs(rows).select("kanji", F.explode("pairs").alias("p")).where(F.length("p.kanji") == 1)
+    assert {(r.p.kanji, r.p.kana) for r in runs.collect()} == {("山", "やま"), ("木", "き")}
+    assert runs._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
+
+
+def test_documents_with_all_terms(spark):
+    """Copies, nulls and a term no document has."""
+    from kotonoha.operators import filters
+
+    vectors = spark.createDataFrame([("a", 1), ("b", 1), ("a", 1), ("a", 2), (None, 2), ("b", None), ("a", None)], "term string, doc_id long")
+    asked = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "a"), ("z", "a"), ("z", "c"), ("n", "a"), ("n", None), (None, "a")],
+                                  "query_id string, term string")
+    out = filters.documents_with_all_terms(asked, vectors).collect()
+    assert sorted((r.query_id, r.doc_id or 0) for r in out) == [("x", 0), ("x", 1), ("y", 0), ("y", 1), ("y", 2)]
+
+
+def test_sentence_texts_meet_quoting_queries_only(spark):
+    """Without a quoted Japanese term no hit is joined to the texts."""
+    from kotonoha.plans import search
+
+    sentences = spark.createDataFrame(
+        [(1, "いぬ", "いぬ", [("dog", "English")], ["Slang"], None), (2, "ねこ", "ねこ", [("dog cat", "English"), ("chat", "French")], [], None)],
+        "id long, japanese string, furigana string, translations array<struct<text:string,language:string>>, tags array<string>, jlpt_guess byte")
+    terms = spark.createDataFrame([(1, "いぬ", 1), (2, "ねこ", 1)], "doc_id long, term string, tf long")
+    idx = search.build_sentence_index(sentences, terms)
+
+    def found(required):
+        q = spark.createDataFrame([("q", "cat", "Foreign", "SingleWord", "English", False, None, [], [], required)],
+                                  "query_id string, query string, q_lang string, form string, user_lang string, show_english boolean, sequence long,"
+                                  "tags array<struct<kind:string,value:string>>, sentence_tags array<string>, required array<string>")
+        return search.search_sentences(q, idx)
+
+    plain = found([])
+    assert [r.item_id for r in plain.collect()] == [2]
+    assert "furigana" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.item_id for r in found(["ねこ"]).collect()] == [2]
+    assert found(["いぬ"]).collect() == []
