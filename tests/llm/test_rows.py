@@ -77,6 +77,38 @@ def test_bpe_column(documents, library):
     assert bpe.encode_texts(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_pair_checks_undo_merges():
+    machine, rnd = bpe.Transducer(bpe.load_ranks(RANKS)), random.Random(7)
+    tokens, named = [t for t in machine.ranks if len(t) < 9], {rank: t for t, rank in machine.ranks.items()}
+    pairs = [rnd.sample(tokens, 2) for _ in range(4000)] + [[t, t] for t in rnd.sample(tokens, 500)]
+    for _ in range(1500):  # neighbours in real encodings, most of which may follow
+        ids = machine.encode("".join(rnd.choice("aeinorsth") for _ in range(12)).encode())
+        pairs += [[named[a], named[b]] for a, b in zip(ids, ids[1:])]
+    known = {(left, right): machine.merged(left + right) == [left, right] for left, right in pairs}
+    assert 0 < sum(known.values()) < len(known)
+    assert {pair: machine.apart(*pair) for pair in known} == known
+    # ranks that do not rise from parts to wholes
+    odd = {bytes([b]): b for b in range(256)} | {b"abc": 300, b"ab": 310, b"bc": 320, b"cab": 305, b"ca": 330}
+    machine = bpe.Transducer(odd)
+    for left in odd:
+        for right in (b"a", b"b", b"c", b"ab", b"bc", b"abc", b"ca", b"cab"):
+            if left[0] in b"abc":
+                assert machine.apart(left, right) == (machine.merged(left + right) == [left, right])
+
+
+def test_bpe_works_out_pieces_and_characters_once():
+    encoder, decoder = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    assert decoder.made == 0  # texts of whole tokens are kept by the worker
+    walked, encode = [], encoder.transducer.encode
+    encoder.transducer.encode = lambda piece: walked.append(piece) or encode(piece)
+    ids, _ = encoder.encode("so thonwhea, thonwhea. (thonwhea) thonwhea; thonwhea: 漢漢")
+    assert walked.count(b" thonwhea") == 1
+    decoder.pieces = None  # one split character does not send the whole text through the machine
+    assert decoder.decode(ids) == "so thonwhea, thonwhea. (thonwhea) thonwhea; thonwhea: 漢漢"
+    assert 0 < decoder.made < 10
+    assert decoder.decode(ids[:-1]) == "so thonwhea, thonwhea. (thonwhea) thonwhea; thonwhea: 漢\ufffd"
+
+
 @pytest.fixture(scope="module")
 def unigram_library():
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
