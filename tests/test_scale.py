@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kotonoha import fixed
 from kotonoha.catalog import index_queries, retrieval_queries
-from kotonoha.operators import retrieve, segment, suggest
+from kotonoha.operators import collect, index, retrieve, score, segment, suggest
 from kotonoha.plans import scaling
 from kotonoha.session import cut_lineage
 from kotonoha.streaming import feeds
@@ -251,3 +251,42 @@ def test_sentence_texts_meet_quoting_queries_only(spark):
     assert "regexp_extract_all" not in plain._jdf.queryExecution().optimizedPlan().toString()  # the kana of the texts
     assert [r.item_id for r in found(["ねこ"]).collect()] == [2]
     assert found(["いぬ"]).collect() == []
+
+
+def test_weighted_pairs_against_plain_count(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcd") for _ in range(draw.randint(1, 9)))
+    names, asked = [(i, word()) for i in range(120)], [(f"q{i}", word()) for i in range(40)]
+    items = index.ngram_items(spark.createDataFrame(names, "id long, t string"), "id", "t")
+    grams = retrieve.query_grams(spark.createDataFrame(asked, "query_id string, q string"))
+    found = retrieve.ngram_candidates(grams, items, 0.3, weight=0.1)
+    found = found.where(score.dice_weighted(0.1) >= 0.3)
+    pieces = lambda t: {f"{'#' * 2}{t}{'#' * 2}"[i:i + 3] for i in range(len(t) + 2)}
+    want = {}
+    for q, a in asked:
+        for i, b in names:
+            x, y = pieces(a), pieces(b)
+            if len(x & y) / (0.1 * len(y) + 0.9 * len(x)) >= 0.3:
+                want[q, i] = len(x & y)
+    assert {(r.query_id, r.item_id): r.overlap for r in found.collect()} == want and len(want) > 40
+
+
+def test_best_hits_are_cut_before_they_move(spark):
+    draw = random.Random(3)
+    queries = spark.createDataFrame([(f"q{i}", i % 4) for i in range(24)], "query_id string, kind int")
+    rows = [(p, f"q{q}", draw.randrange(60), float(draw.randrange(9)), s) for p in range(5) for q in range(24) for s in range(2)
+            for _ in range(1 if p == 0 else draw.choice([0, 3, 40]))]
+    stored = cut_lineage(spark.createDataFrame(rows, "p int, query_id string, item_id long, relevance double, seq long"))
+
+    def run(p):
+        return lambda q: stored.where(F.col("p") == p).join(q.select("query_id"), "query_id", "left_semi").drop("p")
+
+    first = stored.where("p = 0").groupBy("query_id").agg(F.min("item_id").alias("item_id"))
+    by_id = lambda q: run(0)(q).join(first, ["query_id", "item_id"], "left_semi")
+    kind = F.col("kind")
+    stages = [collect.Stage(0, by_id, kind <= 1, few=1), collect.Stage(1, run(1), kind == 0), collect.Stage(2, run(2), kind.isin(1, 2)),
+              collect.Stage(3, run(3), kind.isin(2, 3)), collect.Stage(4, run(4), F.lit(True), below=6)]
+    whole, cut = collect.cascade(queries, stages), collect.cascade(queries, stages, depth=5)
+    top = lambda hits: sorted(tuple(r) for r in collect.top_k(hits, 5).collect())
+    assert top(cut) == top(whole) and cut.count() < whole.count()
+    assert "WindowGroupLimit" in plan(cut)
