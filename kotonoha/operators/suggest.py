@@ -11,6 +11,7 @@ from kotonoha.functions import kana, text
 from kotonoha.operators import radicals as radical_ops
 from kotonoha.operators import retrieve, score
 from kotonoha.plans.scaling import salted_join
+from kotonoha.session import cut_lineage
 
 LIMIT = fixed.SUGGESTION_LIMIT
 
@@ -202,14 +203,17 @@ def inflection_entries(parts: DataFrame, max_words: int = 15) -> tuple[DataFrame
     up to fifteen words offers its words as entries, without particles, symbols
     and blanks, scored by their place from the end.
     """
-    text = Window.partitionBy("query_id")  # windows: the parts of a text stay where they are
-    p = parts.where("query_id is not null").withColumn("n_parts", F.count(F.lit(1)).over(text))
-    single = p.where((F.col("n_parts") == 1) & F.col("has_inflections")).select(
-        "query_id", F.col("normalised").alias("q"), F.lit(0.75).alias("weight"))
-    words = p.where((F.col("n_parts") > 1) & ~F.col("word_class").isin("Particle", "Symbol", "Space"))
-    listed = words.withColumn("k", F.row_number().over(text.orderBy("pos"))).withColumn("size", F.count(F.lit(1)).over(text))
-    custom = listed.where((F.col("size") <= max_words) & (F.col("normalised") != "")).select(
-        "query_id", F.col("normalised").alias("text"), (F.col("size") - F.col("k") + 1).alias("score"))
+    listable = ~F.col("word_class").isin("Particle", "Symbol", "Space")
+    texts = parts.where("query_id is not null").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_parts"), F.bool_or("has_inflections").alias("inflected"), F.max("normalised").alias("q"),
+        F.sort_array(F.collect_list(F.when(listable, F.struct("pos", "normalised")))).alias("words"))
+    # stored, as both tables are made of it: the parts are then worked out once
+    texts = texts.withColumn("size", F.size("words").cast("bigint")).where((F.col("n_parts") == 1) | (F.col("size") <= max_words))
+    texts = cut_lineage(texts, "inflection-entries")
+    single = texts.where((F.col("n_parts") == 1) & F.col("inflected")).select("query_id", "q", F.lit(0.75).alias("weight"))
+    custom = texts.where("n_parts > 1").select("query_id", "size", F.posexplode("words").alias("k", "w")).where(
+        (F.col("size") <= max_words) & (F.col("w.normalised") != "")).select(
+        "query_id", F.col("w.normalised").alias("text"), (F.col("size") - F.col("k")).alias("score"))
     return single, custom
 
 
