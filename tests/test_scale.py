@@ -290,3 +290,44 @@ def test_best_hits_are_cut_before_they_move(spark):
     top = lambda hits: sorted(tuple(r) for r in collect.top_k(hits, 5).collect())
     assert top(cut) == top(whole) and cut.count() < whole.count()
     assert "WindowGroupLimit" in plan(cut)
+
+
+def test_words_are_cut_by_one_pattern(spark):
+    draw = random.Random(11)
+    forms = [("み", "見る"), ("みる", "みる"), ("たら", "た"), ("に", "だ"), ("じゃ", "だ"), ("さ", "する"), ("て", "て"), ("い", "いる"), ("れ", "れる"),
+             ("ない", "ない"), ("た", "た"), ("x", None), (None, "たい"), ("三", "三"), ("おく", "おく"), ("しまう", "しまう")]
+    rows = [(t, p * 3, *draw.choice(forms), "ヨミ", draw.choice(["Verb", "Noun", "Adjective", "Numeral", "Auxilary", None])) for t in range(80) for p in range(t % 40)]
+    rows += [(99, p, "てみ", "て" if p % 2 else "みる", "テ", "Verb") for p in range(6000)] + [(None, 0, "た", "た", "タ", None), (5, None, "た", "た", "タ", None)]
+    m = spark.createDataFrame(rows, "text_id long, pos long, surface string, lexeme string, reading string, word_class string").repartition(4, "text_id")
+    parts = segment.parts_of_texts(m)
+    assert "Window" not in plan(parts)
+    grouped = segment.group_words(m)
+    labels = {}
+    for r in sorted(segment.inflection_pairs(grouped).collect(), key=lambda r: r["first"]):
+        labels.setdefault((r.text_id, r.word), []).append(r.label)
+    words = {}
+    for r in sorted(grouped.collect(), key=lambda r: (r.text_id, r.pos)):
+        words.setdefault((r.text_id, r.word), []).append(r)
+    want = {k: ("".join(r.surface or "" for r in ms), ms[0].lexeme, labels.get(k, [])) for k, ms in words.items()}
+    assert {(r.query_id, r.pos): (r.inflected, r.normalised, r.inflections) for r in parts.collect()} == want
+    assert max(map(len, words.values())) > 1000 and len({x for v in labels.values() for x in v}) > 4
+
+
+def test_native_terms_meet_the_vocabulary_once(spark, monkeypatch):
+    draw = random.Random(13)
+    parts = [(q, draw.choice("abcd"), draw.choice("abcxy"), n) for q in range(60) for n in [q % 3 + 1] for _ in range(n)] + [(None, "a", "a", 2)]
+    p = spark.createDataFrame(parts, "query_id long, inflected string, normalised string, n_parts long").repartition(4, "query_id")
+    asked = spark.createDataFrame([(q, "b" if q % 7 == 0 else "no") for q in range(60)], "query_id long, q string")
+    known = {"a", "b", "x"}
+    want = set()
+    for q in range(60):
+        forms = [(0, x[1], x[3]) for x in parts if x[0] == q] + [(1, x[2], x[3]) for x in parts if x[0] == q]
+        forms = [f for f in forms if f[1] in known]
+        want |= {(q, "b")} if q % 7 == 0 else {(q, f[1]) for f in forms if f[2] > 1 or f[0] == min(forms)[0]}
+    vocabulary = spark.createDataFrame([(t,) for t in [*known, "b"]], "term string")
+    for rows in (100, 1):  # a small vocabulary is broadcast, a large one shuffled
+        monkeypatch.setattr(scaling, "BROADCAST_ROWS", rows)
+        terms = retrieve.native_query_terms(asked, vocabulary, p)
+        if rows > 1:  # the forms stay where the parts of their query are
+            assert plan(terms).count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" not in plan(terms)
+        assert sorted((r.query_id, r.term) for r in terms.collect()) == sorted(want)
