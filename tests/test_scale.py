@@ -8,10 +8,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from kotonoha import fixed
+from kotonoha import fixed, schemas
 from kotonoha.catalog import index_queries, retrieval_queries
-from kotonoha.operators import collect, index, retrieve, score, segment, suggest
-from kotonoha.plans import scaling
+from kotonoha.operators import collect, index, querylog, retrieve, score, segment, suggest
+from kotonoha.plans import scaling, search
 from kotonoha.session import cut_lineage
 from kotonoha.streaming import feeds
 
@@ -331,3 +331,14 @@ def test_native_terms_meet_the_vocabulary_once(spark, monkeypatch):
         if rows > 1:  # the forms stay where the parts of their query are
             assert plan(terms).count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" not in plan(terms)
         assert sorted((r.query_id, r.term) for r in terms.collect()) == sorted(want)
+
+
+def test_whole_texts_are_indexed_by_digest(spark):
+    long = " ".join(f"word{i}" for i in range(40))
+    s = spark.createDataFrame([(i, "あ", "あ", [(t, "English")], None, ["Slang"]) for i, t in enumerate([long, long + " end", "short one", "other"])],
+                              "id long, japanese string, furigana string, translations array<struct<text:string,language:string>>, jlpt_guess tinyint, tags array<string>")
+    idx = search.build_sentence_index(s, spark.createDataFrame([(0, "あ", 1)], "doc_id long, term string, tf long"))
+    assert idx.foreign.agg(F.max(F.length("term"))).first()[0] <= 65
+    raw = spark.createDataFrame([(0, long, "Sentences", "English", True, 1, 10, 0, None), (1, "short one", "Sentences", "English", True, 1, 10, 0, None)], schemas.RAW_QUERIES)
+    best = collect.top_k(search.search_sentences(querylog.annotate(raw), idx), 1).collect()
+    assert {r.query_id: r.item_id for r in best} == {0: 0, 1: 2}
