@@ -342,3 +342,18 @@ def test_whole_texts_are_indexed_by_digest(spark):
     raw = spark.createDataFrame([(0, long, "Sentences", "English", True, 1, 10, 0, None), (1, "short one", "Sentences", "English", True, 1, 10, 0, None)], schemas.RAW_QUERIES)
     best = collect.top_k(search.search_sentences(querylog.annotate(raw), idx), 1).collect()
     assert {r.query_id: r.item_id for r in best} == {0: 0, 1: 2}
+
+
+def test_repeated_places_and_names_count_as_before(spark):
+    rows = [(1, p // 2, x, x, x, "Verb") for p, x in enumerate(["見る", "て", "みる", "みる", "みる", "た", "ない", "みる"])]
+    m = spark.createDataFrame(rows, "text_id long, pos long, surface string, lexeme string, reading string, word_class string").coalesce(1)
+    words = {}
+    for r in sorted(segment.group_words(m).collect(), key=lambda r: (r.word, r.place)):
+        words.setdefault(r.word, []).append(r.surface)
+    assert {p.pos: p.inflected for p in segment.parts_of_texts(m).collect()} == {w: "".join(x) for w, x in words.items()}
+    # two rows of one name count together: 2 * 3 of 0.1 * 7 + 0.9 * 9 grams
+    names = spark.createDataFrame([(7, None, "abcde"), (7, None, "abcde"), (8, None, "abcde")], "sequence long, kanji string, transcription string").withColumn("kana", F.lit("あ"))
+    kanji = spark.createDataFrame([("音", ["オン"], ["おと"], [])], "literal string, onyomi array<string>, kunyomi array<string>, nanori array<string>")
+    raw = spark.createDataFrame([(0, "abcxyzw", "Names", "English", True, 1, 10, 0, None)], schemas.RAW_QUERIES)
+    hits = search.search_names(querylog.annotate(raw), search.build_name_index(names, kanji), depth=10).collect()
+    assert [(r.item_id, round(r.relevance, 6)) for r in hits] == [(7, round(6 / 8.8, 6))]
